@@ -72,12 +72,12 @@ def position_in_bins(df: DataFrame, by: Sequence[str], bin_col: Column, order: S
     binned = df.withColumn("_bin", bin_col)
     starts = _bin_starts(binned, by, {"n": F.count(F.lit(1))})
     inner = W.partitionBy(*by, "_bin").orderBy(*order)
-    out = (binned.withColumn("_rn", F.row_number().over(inner).cast("long"))
+    out = (binned.withColumn("_rn_in_bin", F.row_number().over(inner).cast("long"))
            .join(starts, [*by, "_bin"])
-           .withColumn(name, F.col("_start_n") + F.col("_rn")))
+           .withColumn(name, F.col("_start_n") + F.col("_rn_in_bin")))
     if total:
         out = out.withColumn(total, F.col("_all_n"))
-    return out.drop("_bin", "_rn", "_in_n", "_start_n", "_all_n")
+    return out.drop("_bin", "_rn_in_bin", "_in_n", "_start_n", "_all_n")
 
 
 def order_key(seed: int | str, *keys: str) -> Column:
