@@ -83,7 +83,8 @@ def match_by_speed(df: DataFrame, y: str, vel: str, n_bins: int, key: Sequence[s
     q = exact_quantiles(d, vel, [i / n_bins for i in range(n_bins + 1)])
     edges = F.array_distinct("q")
     inner = q.select(F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))).alias("e")).scalar()
-    d = d.withColumn("_e", inner).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col(vel)))).drop("_e")
+    above = [F.coalesce(F.get("_e", F.lit(i)) <= F.col(vel), F.lit(False)).cast("int") for i in range(n_bins - 1)]
+    d = d.withColumn("_e", inner).withColumn("bin", sum(above, F.lit(0))).drop("_e")
     r = hash_position(d, ["bin", y], seed, key, "_rn", total="_all")
     size = d.groupBy("bin").agg(F.least(F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)).alias("_k"))
     out = r.join(size, "bin")

@@ -118,7 +118,7 @@ def stratify(conf: DataFrame, value: str, n_bins: int = 3) -> DataFrame:
     q = exact_quantiles(conf, value, [i / n_bins for i in range(n_bins + 1)])
     d = conf.where(F.col(value).isNotNull()).withColumn("_q", q.select(F.struct("q", "n")).scalar())
     d = d.where(F.col("_q.n") >= 2 * n_bins)
-    b = F.size(F.filter(F.slice("_q.q", 1, n_bins), lambda e: e <= F.col(value))) - 1
+    b = sum([(F.get("_q.q", F.lit(i)) <= F.col(value)).cast("int") for i in range(1, n_bins)], F.lit(0))
     d = d.withColumn("bin", b).withColumn("lo", F.get("_q.q", F.col("bin"))).withColumn("hi", F.get("_q.q", F.col("bin") + 1))
     return pooled(d, ["bin", "lo", "hi"])
 
