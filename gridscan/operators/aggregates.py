@@ -190,25 +190,26 @@ def spacings(headers: DataFrame, y: str, px: str = "px_m", by: Sequence[str] = (
         F.count(F.lit(1)).alias("n"), (F.max(y) == 1).alias("seen_positive"))
 
 
-def label_components(mask: DataFrame, tile: Sequence[str] = TILE) -> DataFrame:
-    """8-connected components inside each tile.  `mask` holds the set pixels only; adds `comp`.
+def label_components(mask: DataFrame, ts: int, batch: int = 1) -> DataFrame:
+    """8-connected components inside each tile.  `mask`: (granule_id, row, col, r, c) of the set pixels; adds `comp`.
 
-    The tile is the unit of the rule (no component crosses a tile border), so each tile is labelled in one Arrow
-    group by hooking to the smallest neighbour label and pointer jumping.
+    No component crosses a tile border, so an Arrow group is a square of batch x batch whole tiles: 1 for full-size
+    tiles, more for small ones.  Labels come from hooking to the smallest neighbour label and pointer jumping.
     """
     import pandas as pd
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
-        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
-        order = np.lexsort((c, r))
-        r, c = r[order] - r.min(), c[order] - c.min()
-        w = int(c.max()) + 3
-        pos = r.astype(np.int64) * w + c + 1
+        r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
+        w = int(c.max() - c.min()) + 3
+        pos = (r - r.min()) * w + c - c.min() + 1
+        order = np.argsort(pos)
+        pos = pos[order]
+        tile = (pdf["row"].to_numpy(np.int64) * (int(pdf["col"].max()) + 1) + pdf["col"].to_numpy(np.int64))[order]
         pairs = []
         for step in (1, w - 1, w, w + 1):
             at = np.clip(np.searchsorted(pos, pos + step), 0, len(pos) - 1)
-            hit = np.flatnonzero(pos[at] == pos + step)
+            hit = np.flatnonzero((pos[at] == pos + step) & (tile[at] == tile))
             pairs.append(np.stack([hit, at[hit]]))
         a, b = np.concatenate(pairs, axis=1)
         root = np.arange(len(pos))
@@ -217,18 +218,17 @@ def label_components(mask: DataFrame, tile: Sequence[str] = TILE) -> DataFrame:
             new = root.copy()
             np.minimum.at(new, root[a], lo)
             np.minimum.at(new, root[b], lo)
-            new = new[new]
             while not np.array_equal(new, new[new]):
                 new = new[new]
             if np.array_equal(new, root):
                 break
             root = new
-        out = pdf.iloc[order].copy()
-        out["comp"] = root.astype(np.int64)
-        return out
+        return pdf.iloc[order].assign(comp=root)[["granule_id", "row", "col", "r", "c", "comp"]]
 
-    cols = [f"{f.name} {f.dataType.simpleString()}" for f in mask.schema.fields] + ["comp bigint"]
-    return mask.groupBy(*tile).applyInPandas(label, ", ".join(cols))
+    m = mask.select(*TILE, "r", "c")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema.fields)
+    span = ts * batch
+    return m.groupBy("granule_id", F.floor(F.col("row") / span), F.floor(F.col("col") / span)).applyInPandas(label, kinds + ", comp bigint")
 
 
 def component_shapes(labelled: DataFrame, tile: Sequence[str] = TILE) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridscan.functions.stats import pearson
@@ -142,29 +141,22 @@ def distance_to_positive(grid: DataFrame, positive: str, key: Sequence[str] = ("
     """Euclidean distance in tiles from every cell of a dense grid to the nearest positive cell; NULL if none.
 
     Separable: nearest positive along each column with two window passes, then the minimum of
-    (dj^2 + g^2) along each row in Arrow batches.  A group is one grid row, never a granule.
+    (dj^2 + g^2) over the cells of each grid row, held as one short array.  A group is one row or one column
+    of a granule's tile grid, never a granule.
     """
     w = W.partitionBy(*key, "tj").orderBy("ti")
     here = F.when(F.col(positive), F.col("ti"))
     up = F.last(here, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     down = F.first(here, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    g = grid.select(*key, "ti", "tj", F.least(F.col("ti") - up, down - F.col("ti")).cast("double").alias("g"))
-
-    def row_min(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        j, g = pdf["tj"].to_numpy(float), pdf["g"].to_numpy(float)
-        src = ~np.isnan(g)
-        d2 = np.full(len(j), np.nan)
-        if src.any():
-            js, gs = j[src], g[src] ** 2
-            for s in range(0, len(j), 256):
-                d2[s:s + 256] = ((j[s:s + 256, None] - js) ** 2 + gs).min(axis=1)
-        return pdf.drop(columns="g").assign(dist=np.sqrt(d2))
-
-    kt = {f.name: f.dataType.simpleString() for f in g.schema.fields}
-    schema = ", ".join(f"{c} {kt[c]}" for c in [*key, "ti", "tj"]) + ", dist double"
-    d = g.groupBy(*key, "ti").applyInPandas(row_min, schema)
-    return grid.join(d.withColumn("dist", F.when(~F.isnan("dist"), F.col("dist"))), [*key, "ti", "tj"], "left")
+    g = grid.withColumn("_g", F.least(F.col("ti") - up, down - F.col("ti")).cast("double"))
+    rest = [c for c in grid.columns if c not in (*key, "ti")]
+    rows = g.groupBy(*key, "ti").agg(F.collect_list(F.struct(*rest, "_g")).alias("_cells"))
+    rows = rows.withColumn("_src", F.filter("_cells", lambda x: x["_g"].isNotNull()))
+
+    def with_distance(cell: Column) -> Column:
+        d2 = F.array_min(F.transform("_src", lambda s: (s["tj"] - cell["tj"]) * (s["tj"] - cell["tj"]) + s["_g"] * s["_g"]))
+        return F.struct(*[cell[c].alias(c) for c in rest], F.sqrt(d2).alias("dist"))
+    return rows.select(*key, "ti", F.inline(F.transform("_cells", with_distance)))
 
 
 def scatter_back(tiles: DataFrame, results: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridscan.functions import stats as ST
 from gridscan.functions.stats import n_true
 from gridscan.operators.aggregates import by_threshold
+from gridscan.plans.lineage import settle
 from gridscan.plans.ordering import exact_quantiles, running_totals, value_position
 
 
@@ -103,7 +104,11 @@ def pooled(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def iou_summary(conf: DataFrame, tile: str, batch: int) -> DataFrame:
-    """Pooled IoU; mean, median, p10, p90 over tiles; mean over batches of `batch` tiles in tile order."""
+    """Pooled IoU; mean, median, p10, p90 over tiles; mean over batches of `batch` tiles in tile order.
+
+    The tile table (one row per tile) is settled first, so the pixels are read once.
+    """
+    conf = settle(conf)
     t = with_scores(conf)
     q = exact_quantiles(t, "iou", [0.1, 0.5, 0.9]).select("q").scalar()
     b = value_position(conf, [], tile, [], "_rn").withColumn("batch", F.floor((F.col("_rn") - 1) / batch))
@@ -114,7 +119,11 @@ def iou_summary(conf: DataFrame, tile: str, batch: int) -> DataFrame:
 
 
 def stratify(conf: DataFrame, value: str, n_bins: int = 3) -> DataFrame:
-    """Pooled metrics in quantile bins of a per-tile value: [lo, hi), the last bin closed; nothing when too few values."""
+    """Pooled metrics in quantile bins of a per-tile value: [lo, hi), the last bin closed; nothing when too few values.
+
+    The tile table is settled first, so the pixels are read once.
+    """
+    conf = settle(conf)
     q = exact_quantiles(conf, value, [i / n_bins for i in range(n_bins + 1)])
     d = conf.where(F.col(value).isNotNull()).withColumn("_q", q.select(F.struct("q", "n")).scalar())
     d = d.where(F.col("_q.n") >= 2 * n_bins)
@@ -139,7 +148,8 @@ def threshold_sweep(px: DataFrame, prob: str, target: str, target_theta: float =
     b = F.col(target) > target_theta
     parts = {"tp": lambda t: n_true((F.col(prob) > t) & b), "fp": lambda t: n_true((F.col(prob) > t) & ~b), "fn": lambda t: n_true(~(F.col(prob) > t) & b)}
     d = with_scores(by_threshold(px, thetas, parts))
-    return d.withColumn("best", F.col("iou") == d.agg(F.max("iou")).scalar())
+    one = W.partitionBy(F.lit(0))  # one row per threshold
+    return d.withColumn("best", F.col("iou") == F.max("iou").over(one))
 
 
 def control(df: DataFrame, measured: str, recorded: str, tol: float = 5e-3) -> DataFrame:

@@ -35,7 +35,7 @@ def draw(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED, by: Sequen
 
 def every_kth(tiles: DataFrame, k: int, by: Sequence[str] = ("granule_id",)) -> DataFrame:
     """Every k-th tile in scan order (the first included); ranks are finished grid row by grid row."""
-    p = position_in_bins(tiles, by, F.col("row").cast("long"), ["col"], "_pos")
+    p = position_in_bins(tiles, by, F.coalesce(F.col("row").cast("long"), F.lit(0)), ["row", "col"], "_pos")
     return p.where((F.col("_pos") - 1) % k == 0).drop("_pos")
 
 

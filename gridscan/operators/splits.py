@@ -38,7 +38,7 @@ def band_split(df: DataFrame, train: float, buffer: int = 1, by: Sequence[str] =
     else:
         d = df.withColumn("_x", rng.select(F.struct("_h", "_w")).scalar()).select("*", "_x._h", "_x._w").drop("_x")
     d = d.withColumn("coord", F.when(F.col("_h") >= F.col("_w"), F.col(row)).otherwise(F.col(col)).cast("long"))
-    d = position_in_bins(d.drop("_h", "_w"), by, F.col("coord"), [row, col], "_rn", total="_all")
+    d = position_in_bins(d.drop("_h", "_w"), by, F.coalesce("coord", F.lit(0)), ["coord", row, col], "_rn", total="_all")
     d = d.withColumn("part", F.when(F.col("_rn") <= F.floor(F.col("_all") * train), "train").otherwise("val")).drop("_rn", "_all")
     edge = d.where("part = 'val'").groupBy(*by).agg(F.min("coord").alias("_edge"))
     d = d.join(edge, list(by), "left") if by else d.withColumn("_edge", edge.select("_edge").scalar())
@@ -73,7 +73,7 @@ def buffered_split(df: DataFrame, val: float, block_m: float, buffer_m: float, s
     """Seeded blocks until the quota is met; train loses every tile inside a val block's nominal box + buffer."""
     d = map_blocks(df, block_m)
     blk = d.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")).withColumn("_h", order_key(seed, "bx", "by"))
-    blk = position_in_bins(blk, [], F.substring("_h", 1, 2), ["_h", "bx", "by"], "_o")
+    blk = position_in_bins(blk, [], F.coalesce(F.substring("_h", 1, 2), F.lit("")), ["_h", "bx", "by"], "_o")
     got = _fill_blocks(blk, "_o", "n", F.bround(val * F.col("all_n"))).select("bx", "by")
     boxes = got.select((F.col("bx") * block_m - buffer_m).alias("x0"), ((F.col("bx") + 1) * block_m + buffer_m).alias("x1"),
                        (F.col("by") * block_m - buffer_m).alias("y0"), ((F.col("by") + 1) * block_m + buffer_m).alias("y1"))

@@ -15,7 +15,7 @@ from gridscan.functions.scalar import flag
 from gridscan.operators.grid import center_crop, crop_window, data_bounds, overlap_tiles, swath_tiles, tile_grid, with_tile
 from gridscan.operators.joins import scatter_back
 from gridscan.operators.sampling import draw
-from gridscan.schema import TILE
+from gridscan.schema import GROUNDED, TILE
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -46,42 +46,58 @@ def cascade(tiles: DataFrame, gate: Stage | Column, segment: Stage | Column, thr
     return out
 
 
-def candidate_tiles(px: DataFrame, headers: DataFrame, ts: int, k: int, mask: DataFrame | None = None, min_grounded: float | None = None,
-                    max_tiles: int | None = None, seed: int = 0, bounds: DataFrame | None = None) -> DataFrame:
-    """Swath tiles of each granule after the grounded cut and the seeded cap."""
-    if (mask is None) != (min_grounded is None):
+def anchored(px: DataFrame, bounds: DataFrame, ts: int) -> DataFrame:
+    """Pixels keyed by tiles anchored at each granule's swath corner."""
+    b = bounds.select("granule_id", F.col("row_min").alias("_r0"), F.col("col_min").alias("_c0"))
+    return with_tile(px.join(b, "granule_id"), ts, "_r0", "_c0").drop("_r0", "_c0")
+
+
+def candidate_tiles(bounds: DataFrame, ts: int, grounded_px: DataFrame | None = None, min_grounded: float | None = None,
+                    max_tiles: int | None = None, seed: int = 0) -> DataFrame:
+    """Swath tiles of each granule after the grounded cut and the seeded cap.
+
+    `grounded_px`: number of grounded pixels per tile (TILE, n_grounded); a tile without a row has none.
+    """
+    if (grounded_px is None) != (min_grounded is None):
         raise ValueError("a surface mask and a minimum grounded fraction must be given together")
-    b = data_bounds(px, headers, k) if bounds is None else bounds
-    t = swath_tiles(b, ts)
-    if mask is not None:
-        m = anchored(mask, b, ts)
-        n = m.where(F.col("cls") == 1).groupBy(*TILE).agg(F.count(F.lit(1)).alias("_n"))
+    t = swath_tiles(bounds, ts)
+    if grounded_px is not None:
         area = F.least(F.lit(ts), F.col("height") - F.col("row")) * F.least(F.lit(ts), F.col("width") - F.col("col"))
-        t = t.join(n, TILE, "left").where(F.coalesce("_n", F.lit(0)) / area >= min_grounded).drop("_n")
+        t = t.join(grounded_px.select(*TILE, "n_grounded"), TILE, "left")
+        t = t.where(F.coalesce("n_grounded", F.lit(0)) / area >= min_grounded).drop("n_grounded")
     if max_tiles is not None:
         t = draw(t, max_tiles, TILE, seed, by=["granule_id"])
     return t
 
 
-def anchored(px: DataFrame, bounds: DataFrame, ts: int) -> DataFrame:
-    """Pixels keyed by tiles anchored at each granule's swath corner."""
-    b = bounds.select("granule_id", F.col("row_min").alias("_r0"), F.col("col_min").alias("_c0"))
-    return with_tile(px.join(b, "granule_id"), ts, "_r0", "_c0").drop("_r0", "_c0")
-
-
-def scan_granule(px: DataFrame, headers: DataFrame, ts: int, k: int, gate: Stage, segment: Stage, threshold: float,
-                 min_valid: float = 0.5, v: str = "v", **candidates) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_granule(px: DataFrame, headers: DataFrame, ts: int, k: int, gate: Stage | Column, segment: Stage, threshold: float,
+                 min_valid: float = 0.5, v: str = "v", mask: DataFrame | str | None = None, min_grounded: float | None = None,
+                 max_tiles: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tiles, segmented pixels, funnel) of every granule.
 
-    `gate`: pixels of tiles -> one row per tile with `gate_prob`.  `segment`: pixels of survivors -> the same pixels
-    with `seg`.  The tile keys (small) prune the pixels before each stage with semi-joins.
+    `gate`: an aggregate column over a tile's pixels, computed together with the valid and grounded fractions in
+    one pass over the pixels; or a function, pixels of tiles -> one row per tile with `gate_prob`, which only sees
+    the valid candidates.  `segment`: pixels of survivors -> the same pixels with `seg`.  `mask`: class column of
+    `px`, or another pixel table (granule_id, r, c, cls) on the same grid.
+    Tile keys are small; they prune the pixels before each later pass with semi-joins.
     """
     b = data_bounds(px, headers, k, v)
-    cand = candidate_tiles(px, headers, ts, k, bounds=b, **candidates)
-    pix = anchored(px, b, ts).join(cand.select(*TILE), TILE, "left_semi")
-    n = pix.groupBy(*TILE).agg((F.count_if(F.col(v) > 0) / (ts * ts)).alias("valid_frac"))
-    valid = n.where(F.col("valid_frac") >= min_valid)
-    scored = valid.join(gate(pix.join(valid.select(*TILE), TILE, "left_semi")).select(*TILE, "gate_prob"), TILE, "left")
+    pix = anchored(px, b, ts)
+    one_pass = [(F.count_if(F.col(v) > 0) / (ts * ts)).alias("valid_frac")]
+    if isinstance(gate, Column):
+        one_pass.append(gate.alias("gate_prob"))
+    if isinstance(mask, str):
+        one_pass.append(F.count_if(F.col(mask) == GROUNDED).alias("n_grounded"))
+    stats = pix.groupBy(*TILE).agg(*one_pass)
+    if isinstance(mask, DataFrame):
+        grounded = anchored(mask.where(F.col("cls") == GROUNDED), b, ts).groupBy(*TILE).agg(F.count(F.lit(1)).alias("n_grounded"))
+    else:
+        grounded = stats if mask is not None else None
+    cand = candidate_tiles(b, ts, grounded, min_grounded, max_tiles, seed)
+    scored = stats.where(F.col("valid_frac") >= min_valid).drop("n_grounded").join(cand.select(*TILE), TILE, "left_semi")
+    if not isinstance(gate, Column):
+        g = gate(pix.join(scored.select(*TILE), TILE, "left_semi")).select(*TILE, "gate_prob")
+        scored = scored.join(g, TILE, "left")
     scored = scored.withColumn("gate_flag", flag("gate_prob", threshold))
     seg_px = segment(pix.join(scored.where("gate_flag").select(*TILE), TILE, "left_semi"))
     per = seg_px.groupBy(*TILE).agg(F.avg("seg").alias("seg_mean"))

@@ -27,6 +27,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise a small table derived from pixels before it is read several times."""
+    return cut_lineage(df)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to reliable storage: lost executors re-read the files, they never replay earlier rounds."""
     sc = df.sparkSession.sparkContext

@@ -28,7 +28,9 @@ def value_bin(v: Column) -> Column:
     def mag(x: Column) -> Column:
         return F.floor(F.log2(x) * BINS_PER_OCTAVE) + 1 + _ZERO
 
-    return F.when(v > 0, mag(v)).when(v < 0, -mag(-v)).otherwise(F.lit(0).cast("long"))
+    # Never NULL: a nullable bin would add an inferred filter to one side of the rank joins, and the two
+    # sides could then no longer share one exchange.
+    return F.coalesce(F.when(v > 0, mag(v)).when(v < 0, -mag(-v)), F.lit(0).cast("long"))
 
 
 def _bin_starts(binned: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -89,7 +91,7 @@ def hash_position(df: DataFrame, by: Sequence[str], seed: int | str, keys: Seque
                   total: str | None = None) -> DataFrame:
     """Position of each row in the seeded order of its group; 256 hash prefixes share a hot group."""
     h = df.withColumn("_h", order_key(seed, *keys))
-    return position_in_bins(h, by, F.substring("_h", 1, 2), ["_h", *keys], name, total).drop("_h")
+    return position_in_bins(h, by, F.coalesce(F.substring("_h", 1, 2), F.lit("")), ["_h", *keys], name, total).drop("_h")
 
 
 def value_position(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str], name: str = "rn",

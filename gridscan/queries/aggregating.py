@@ -174,7 +174,7 @@ _COMP = """, m AS (SELECT granule_id, "row", col, r, c, r * 96 + c AS id FROM pt
     count(*) AS n FROM f GROUP BY ALL""", "pt", recursive=True)
 def _(spark, sf):
     m = with_tile(V.px(spark, sf).where("cls = 1").select("granule_id", "r", "c"), V.TS)
-    s = A.component_shapes(A.label_components(m))
+    s = A.component_shapes(A.label_components(m, V.TS, batch=6))
     return s.groupBy("granule_id", "row", "col", "area", F.round("eccentricity", 5).alias("eccentricity"),
                      F.round("major_axis", 5).alias("major_axis")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -184,7 +184,7 @@ def _(spark, sf):
     round(sum(CASE WHEN area >= 4 AND ecc >= 0.85 THEN len ELSE 0.0 END), 5) AS total_length FROM f GROUP BY 1, 2, 3""", "pt", recursive=True)
 def _(spark, sf):
     m = with_tile(V.px(spark, sf).where("cls = 1").select("granule_id", "r", "c"), V.TS)
-    d = A.component_funnel(A.component_shapes(A.label_components(m)), min_size=4)
+    d = A.component_funnel(A.component_shapes(A.label_components(m, V.TS, batch=6)), min_size=4)
     return d.withColumn("total_length", F.round("total_length", 5))
 
 

@@ -10,8 +10,8 @@ from gridscan.operators import features as X
 from gridscan.operators import filters as FL
 from gridscan.operators import metrics as M
 from gridscan.operators import models as MD
-from gridscan.operators.grid import clip_footprint, tile_grid, tile_scale, with_tile
-from gridscan.operators.joins import common_box, match_ground, outside_boxes
+from gridscan.operators.grid import clip_footprint, tile_grid, with_tile
+from gridscan.operators.joins import common_box, match_ground
 from gridscan.operators.splits import map_blocks
 from gridscan.plans import cascade as CA
 from gridscan.queries import views as V
@@ -78,17 +78,23 @@ def _(spark, sf):
     return o.select(*TILE, F.round("gate_prob", 6).alias("gate_prob"), "gate_flag", F.round("seg", 6).alias("seg"), "seg_mask")
 
 
-def gate(pix):
-    return pix.groupBy(*TILE).agg((F.count_if(F.col("v") > 60000) / F.count("v")).alias("gate_prob"))
+def gate():
+    return F.try_divide(F.count_if(F.col("v") > 60000), F.count("v"))
+
+
+def gate_stage(pix):
+    return pix.groupBy(*TILE).agg(gate().alias("gate_prob"))
 
 
 def segment(pix):
     return pix.withColumn("seg", S.clip((F.log10("v") - 3) / 2.5, 0.0, 1.0))
 
 
-def scan(spark, sf):
+def scan(spark, sf, stage=None):
+    """The granule plan; the gate as an aggregate (default) or as a separate stage with a separate mask table."""
     d = V.px(spark, sf)
-    return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, gate, segment, 0.35, mask=d, min_grounded=0.2, max_tiles=25)
+    g, m = (stage, d) if stage is not None else (gate(), "cls")
+    return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, g, segment, 0.35, mask=m, min_grounded=0.2, max_tiles=25)
 
 
 _SCAN = """, bd AS (SELECT granule_id, min(r // 4) * 4 AS r0, least((max(r // 4) + 1) * 4, 96) AS r1, min(c // 4) * 4 AS c0, least((max(c // 4) + 1) * 4, 96) AS c1
@@ -116,7 +122,7 @@ def _(spark, sf):
     f AS (SELECT granule_id, count(*) AS valid, count(p) AS scored, count(*) FILTER (p >= 0.35) AS flagged FROM st GROUP BY 1)
     SELECT granule_id, candidates, coalesce(valid, 0) AS valid, coalesce(scored, 0) AS scored, coalesce(flagged, 0) AS flagged FROM c LEFT JOIN f USING (granule_id)""", "px")
 def _(spark, sf):
-    return scan(spark, sf)[2]
+    return scan(spark, sf, gate_stage)[2]
 
 
 @query("m07_export_rasters", _SCAN + """, h AS (SELECT DISTINCT granule_id FROM px), a AS (SELECT granule_id, unnest(range(0, 96)) AS r FROM h), g AS (SELECT *, unnest(range(0, 96)) AS c FROM a),

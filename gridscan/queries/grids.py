@@ -12,7 +12,7 @@ _RANGE = """, r AS (SELECT granule_id, height, width, unnest(range(0, height, 16
 
 def px_headers(spark, sf):
     """Headers of the px granules: 96 x 96 at 5 m."""
-    return V.px(spark, sf).select("granule_id").distinct().select(
+    return V.table(spark, sf, "lineitem").select(V.granule_key().alias("granule_id")).distinct().select(
         "granule_id", F.lit(V.EDGE).alias("height"), F.lit(V.EDGE).alias("width"), F.lit(5.0).alias("px_m"),
         F.lit(0.0).alias("origin_x"), F.lit(0.0).alias("origin_y"))
 

@@ -2,16 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from gridscan.operators import filters as FL
 from gridscan.operators.grid import block_average, decimate, with_tile
-from gridscan.operators.metrics import tile_confusion, threshold_sweep
+from gridscan.operators.metrics import threshold_sweep
 from gridscan.plans.cascade import to_source_grid
 from gridscan.plans.lineage import scratch_path
 from gridscan.queries import views as V
 from gridscan.queries.grids import px_headers
-from gridscan.queries.joining import _TP, tile_p
 from gridscan.queries.registry import query
-from gridscan.schema import SCORES, TILE_LABELS
+from gridscan.schema import TILE_LABELS
 from gridscan.sources import catalog as C
 from gridscan.sources import raster as R
 from gridscan.sources import tables as T

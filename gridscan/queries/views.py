@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def granule_key():
+    return F.concat("l_returnflag", "l_linestatus", F.lit("_"),
+                    F.lpad(F.floor(F.col("l_partkey") / 2000).cast("string"), 4, "0"))
+
+
 def px(spark, sf) -> DataFrame:
     """Pixels of one granule per (return flag, line status, block of 2000 parts); discount <= .01 is nodata."""
     li = table(spark, sf, "lineitem")
-    gid = F.concat("l_returnflag", "l_linestatus", F.lit("_"),
-                   F.lpad(F.floor(F.col("l_partkey") / 2000).cast("string"), 4, "0"))
     return li.groupBy(
-        gid.alias("granule_id"),
+        granule_key().alias("granule_id"),
         (F.col("l_partkey") % EDGE).cast("int").alias("r"),
         (F.col("l_suppkey") % EDGE).cast("int").alias("c"),
     ).agg(
@@ -35,10 +38,8 @@ def px(spark, sf) -> DataFrame:
 def pols(spark, sf) -> DataFrame:
     """The same grid with four bands, linear intensity; a band is NULL where it has no sample."""
     li = table(spark, sf, "lineitem")
-    gid = F.concat("l_returnflag", "l_linestatus", F.lit("_"),
-                   F.lpad(F.floor(F.col("l_partkey") / 2000).cast("string"), 4, "0"))
     return li.groupBy(
-        gid.alias("granule_id"),
+        granule_key().alias("granule_id"),
         (F.col("l_partkey") % EDGE).cast("int").alias("r"),
         (F.col("l_suppkey") % EDGE).cast("int").alias("c"),
     ).agg(

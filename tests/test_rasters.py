@@ -143,9 +143,9 @@ def test_convolve_twin(spark):
     np.testing.assert_allclose(np.array(X.convolve_tiles(packed(spark, a, 1), k).first().data).reshape(6, 7), want)
 
 
-def components(spark, a, ts):
+def components(spark, a, ts, batch=1):
     m = G.with_tile(frame(spark, np.where(a, 1.0, np.nan)).where("v = 1").select("granule_id", "r", "c"), ts)
-    return A.label_components(m)
+    return A.label_components(m, ts, batch)
 
 
 def test_components_line_and_block(spark):
@@ -161,11 +161,12 @@ def test_components_line_and_block(spark):
     assert {r.r for r in A.kept_components(lab, A.component_shapes(lab), min_size=5).collect()} == {2}
 
 
-def test_components_are_8_connected_and_stay_in_their_tile(spark):
+@pytest.mark.parametrize("batch", [1, 2])
+def test_components_are_8_connected_and_stay_in_their_tile(spark, batch):
     a = np.zeros((8, 16), bool)
     for i in range(8):
         a[i, i] = a[i, 15 - i] = True
-    n = A.component_shapes(components(spark, a, 8)).groupBy("col").count().collect()
+    n = A.component_shapes(components(spark, a, 8, batch)).groupBy("col").count().collect()
     assert {r["col"]: r["count"] for r in n} == {0: 1, 8: 1}
 
 
