@@ -41,7 +41,7 @@ def coarse_prefilter(tiles: DataFrame, px: DataFrame, headers: DataFrame, k: int
     The mask costs 1/k^2 of the pixels; the survivors' keys then prune the full-resolution read.
     """
     step = max(1, ts // k)
-    hits = decimate(px.where(F.col(v) > 0), k).select("granule_id", "dr", "dc").distinct()
+    hits = decimate(px.where(F.col(v) > 0), k).select("granule_id", "dr", "dc")
     t = tiles.select(*TILE).join(headers.select("granule_id", F.floor(F.col("height") / k).cast("int").alias("mh"),
                                                 F.floor(F.col("width") / k).cast("int").alias("mw")), "granule_id")
     r0, c0 = F.floor(F.col("row") / k).cast("int"), F.floor(F.col("col") / k).cast("int")

@@ -52,8 +52,11 @@ def decimate(px: DataFrame, k: int, nearest: bool = True, height=None, width=Non
 
 
 def data_bounds(px: DataFrame, headers: DataFrame, k: int, v: str = "v") -> DataFrame:
-    """Bounding box of data on a k-decimated mask, and its coverage; an empty raster gives NULL bounds."""
-    hit = decimate(px.where(F.col(v) > 0), k).groupBy("granule_id", "dr", "dc").agg(F.lit(1).alias("one"))
+    """Bounding box of data on a k-decimated mask, and its coverage; an empty raster gives NULL bounds.
+
+    `px` has one row per pixel.  1/k^2 of the pixels are aggregated map-side to one row per granule.
+    """
+    hit = decimate(px.where(F.col(v) > 0), k).select("granule_id", "dr", "dc")
     box = (hit.join(headers.select("granule_id", "height", "width"), "granule_id")
            .where((F.col("dr") < F.floor(F.col("height") / k)) & (F.col("dc") < F.floor(F.col("width") / k)))
            .groupBy("granule_id")

@@ -12,10 +12,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridscan.plans.lineage import cut_lineage
-from gridscan.plans.ordering import order_key, position_in_bins, value_position
+from gridscan.plans.ordering import hash_position, order_key, position_in_bins, value_position
 from gridscan.schema import SEED, TILE
 
 
+GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+
+
+def _first_per_group(df: DataFrame, n: int, by: Sequence[str], order: Sequence, ranked) -> DataFrame:
+    """First n rows per group.  Up to GROUP_LIMIT Spark prunes before the shuffle; beyond it `ranked(df, name)`
+    ranks bin by bin, so that no group is sorted in one task."""
+    if n <= GROUP_LIMIT:
+        d = df.withColumn("_first", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+    else:
+        d = ranked(df, "_first")
+    return d.where(F.col("_first") <= n)
+
+
 def first_n(df: DataFrame, n: int, order: Sequence[str] = ("row", "col")) -> DataFrame:
     """The first n rows in scan order."""
     return df.orderBy(*order).limit(n)
@@ -26,8 +39,7 @@ def draw(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED, by: Sequen
     """n rows without replacement (per group with `by`); `scan_order` restores the reading order."""
     h = df.withColumn("_h", order_key(seed, *key))
     if by:
-        w = W.partitionBy(*by).orderBy("_h", *key)
-        out = h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn", "_h")
+        out = _first_per_group(h, n, by, ["_h", *key], lambda d, c: hash_position(d.drop("_h"), by, seed, key, c)).drop("_first", "_h")
     else:
         out = h.orderBy("_h", *key).limit(n).drop("_h")
     return out.orderBy(*scan_order) if scan_order else out
@@ -42,8 +54,8 @@ def every_kth(tiles: DataFrame, k: int, by: Sequence[str] = ("granule_id",)) ->
 def sample_valid(tiles: DataFrame, n: int, valid: Column, seed: int = SEED, every: int = 5, by: Sequence[str] = ("granule_id",)) -> DataFrame:
     """n random tiles among the first 3n valid ones of a systematic scan; random tiles where none is valid."""
     cand = every_kth(tiles, every, by).where(valid)
-    w = W.partitionBy(*by).orderBy("row", "col")
-    cand = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 3 * n).drop("_rn")
+    cand = _first_per_group(cand, 3 * n, by, ["row", "col"], lambda d, c: position_in_bins(
+        d, by, F.coalesce(F.col("row").cast("long"), F.lit(0)), ["row", "col"], c)).drop("_first")
     good = draw(cand, n, TILE, seed, by)
     rest = tiles.join(cand.select(*by).distinct(), list(by), "left_anti")
     return good.withColumn("fallback", F.lit(False)).unionByName(
@@ -89,9 +101,9 @@ def top_k(df: DataFrame, k: int, value: str, ties: Sequence[str] = ("row", "col"
 
 def per_class(df: DataFrame, k: int, cls: str, p: str, ties: Sequence[str], descending=("tp", "fp")) -> DataFrame:
     """k rows per confusion class: most confident first for tp/fp, lowest score first for fn/tn."""
-    order = F.when(F.col(cls).isin(list(descending)), -F.col(p)).otherwise(F.col(p))
-    w = W.partitionBy(cls).orderBy(order, *ties)
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    d = df.withColumn("_o", F.when(F.col(cls).isin(list(descending)), -F.col(p)).otherwise(F.col(p)))
+    out = _first_per_group(d, k, [cls], ["_o", *ties], lambda x, c: value_position(x, [cls], "_o", ties, c))
+    return out.withColumnRenamed("_first", "rn").drop("_o")
 
 
 def spread_thirds(df: DataFrame, value: str, tile: str, n: int) -> DataFrame:

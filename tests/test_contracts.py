@@ -194,3 +194,19 @@ def test_stream_of_small_batches_equals_batch(spark, tmp_path):
     dup = AR.drop_redelivered(AR.read_arrivals(spark, src, d.schema, files_per_batch=1), ["gi", "gj"], delay="10 days")
     AR.run(AR.append_to(dup, f"{out}/d", f"{out}/dc"))
     assert spark.read.parquet(f"{out}/d").count() == len(want)
+
+
+def test_presets(spark):
+    from gridscan.plans import presets as P
+    with pytest.raises(ValueError, match="unknown raster kind"):
+        P.preset("other")
+    with pytest.raises(ValueError, match="missing"):
+        P.checked_pixels(spark.createDataFrame([(1.0, 2.0)], "hh double, vv double"), "quad_pol")
+    px = spark.createDataFrame([(0.0,), (float("nan"),), (3.0,)], "v double")
+    assert [r.v for r in P.checked_pixels(px, "single_pol").collect()] == [None, None, 3.0]
+    with pytest.raises(Exception, match="not dB"):
+        P.checked_pixels(spark.createDataFrame([(-12.0,)], "v double"), "single_pol").collect()
+    with pytest.raises(ValueError, match="no default threshold"):
+        P.build("quad_pol", F.col("p"), F.col("p"), {"threshold": 0.3})
+    run = P.build("single_pol", F.col("p"), F.col("p"), {"threshold": 0.5})
+    assert run(stack(spark)).count() == 12
