@@ -74,8 +74,8 @@ def _(spark, sf):
 
 @query("t08_spread_thirds", """, t AS (SELECT tile, (count(*) FILTER (prob > 0.5 AND target > 0.4) + 1e-6) /
       (count(*) FILTER (prob > 0.5 OR target > 0.4) + 1e-6) AS iou FROM seg GROUP BY 1),
-    r AS (SELECT *, row_number() OVER (ORDER BY iou, tile) - 1 AS pos, count(*) OVER () AS n FROM t),
-    p AS (SELECT tile, round(iou, 6) AS iou, CASE WHEN pos < 4 THEN 'worst' WHEN pos >= n // 2 - 2 AND pos < n // 2 + 2 THEN 'median' WHEN pos >= n - 4 THEN 'best' END AS part FROM r)
+    r0 AS (SELECT *, row_number() OVER (ORDER BY iou, tile) - 1 AS pos, count(*) OVER () AS n FROM t), r AS (SELECT *, greatest(1, least(12, n) // 3) AS k FROM r0),
+    p AS (SELECT tile, round(iou, 6) AS iou, CASE WHEN pos < k THEN 'worst' WHEN pos >= greatest(0, n // 2 - k // 2) AND pos < n // 2 - k // 2 + k THEN 'median' WHEN pos >= n - k THEN 'best' END AS part FROM r)
     SELECT * FROM p WHERE part IS NOT NULL ORDER BY tile LIMIT 12""", "seg")
 def _(spark, sf):
     p, t = F.col("prob") > 0.5, F.col("target") > 0.4

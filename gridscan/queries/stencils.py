@@ -81,7 +81,7 @@ def _(spark, sf):
 
 
 @query("w04_lee", _MOM + """, o AS (SELECT granule_id, "row", col, var_pop(a) AS ov FROM den GROUP BY 1, 2, 3)
-    SELECT granule_id, r, c, round(mu + va / (va + ov) * (a - mu), 6) AS lee FROM m JOIN o USING (granule_id, "row", col)""", "px")
+    SELECT granule_id, r, c, round(mu + coalesce(va / nullif(va + ov, 0), 0) * (a - mu), 6) AS lee FROM m JOIN o USING (granule_id, "row", col)""", "px")
 def _(spark, sf):
     return out(ST.lee(image(spark, sf), "a", 5, TS), lee="lee")
 
@@ -133,7 +133,8 @@ def _(spark, sf):
 @query("w10_residual_rho1", DEN + nb("n1", "den", "a", 4) + """, b AS (SELECT granule_id, "row", col, r, c, a - avg(nv) AS x FROM n1
       GROUP BY granule_id, "row", col, r, c, a),
     z AS (SELECT granule_id, "row", col, r, c, x - avg(x) OVER (PARTITION BY granule_id, "row", col) AS x FROM b)
-    SELECT z.granule_id, z."row", z.col, round(avg(z.x * d.x) / avg(z.x * z.x), 6) AS rho_row, round(avg(z.x * e.x) / avg(z.x * z.x), 6) AS rho_col
+    SELECT z.granule_id, z."row", z.col, round(CASE WHEN avg(z.x * z.x) < 1e-20 THEN 0.0 ELSE avg(z.x * d.x) / avg(z.x * z.x) END, 6) AS rho_row,
+      round(CASE WHEN avg(z.x * z.x) < 1e-20 THEN 0.0 ELSE avg(z.x * e.x) / avg(z.x * z.x) END, 6) AS rho_col
     FROM z LEFT JOIN z d ON d.granule_id = z.granule_id AND d."row" = z."row" AND d.r = z.r + 1 AND d.c = z.c
       LEFT JOIN z e ON e.granule_id = z.granule_id AND e.col = z.col AND e.r = z.r AND e.c = z.c + 1 GROUP BY 1, 2, 3""", "px")
 def _(spark, sf):
