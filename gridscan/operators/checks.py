@@ -14,6 +14,7 @@ from gridscan.operators.aggregates import reciprocity
 from gridscan.operators.filters import valid_fraction_bands
 from gridscan.operators.grid import with_tile
 from gridscan.operators.splits import band_split, check_split
+from gridscan.operators.stencil import by_tile
 from gridscan.plans.ordering import exact_quantiles
 from gridscan.schema import EPSG, GROUND_M, NOISE_FLOOR_DB, POLS, TILE
 
@@ -71,7 +72,7 @@ def granule_suite(wide: DataFrame, headers: DataFrame, mask: DataFrame, label_or
         _row("grid", (F.abs(F.col("px_m") - px_m) <= 1e-6) & (F.col("epsg") == epsg), F.col("px_m"), f"{px_m:g} m, EPSG:{epsg}")]))
     for a, b, lo in (("hv", "vh", cross_r), ("hh", "vv", co_r)):
         out = out.unionByName(_report(reciprocity(wide, a, b), g, [_row(f"reciprocity {a}/{b}", F.col("r") >= lo, F.col("r"), f">= {lo:g}")]))
-    tiles = with_tile(wide.withColumn("_x", (F.col("hv") + F.col("vh")) / 2), ts).groupBy(*TILE).agg(
+    tiles = by_tile(with_tile(wide.select("granule_id", "r", "c", ((F.col("hv") + F.col("vh")) / 2).alias("_x")), ts)).groupBy(*TILE).agg(
         (10 * F.log10(F.percentile("_x", F.lit(0.5)))).alias("db"))
     med = exact_quantiles(tiles, "db", [0.5], g).select(*g, F.col("q")[0].alias("m"))
     m = F.col("m")

@@ -90,11 +90,11 @@ def segment(pix):
     return pix.withColumn("seg", S.clip((F.log10("v") - 3) / 2.5, 0.0, 1.0))
 
 
-def scan(spark, sf, stage=None):
+def scan(spark, sf, stage=None, min_valid=0.5, min_grounded=0.2):
     """The granule plan; the gate as an aggregate (default) or as a separate stage with a separate mask table."""
     d = V.px(spark, sf)
     g, m = (stage, d) if stage is not None else (gate(), "cls")
-    return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, g, segment, 0.35, mask=m, min_grounded=0.2, max_tiles=25)
+    return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, g, segment, 0.35, min_valid, mask=m, min_grounded=min_grounded, max_tiles=25)
 
 
 _SCAN = """, bd AS (SELECT granule_id, min(r // 4) * 4 AS r0, least((max(r // 4) + 1) * 4, 96) AS r1, min(c // 4) * 4 AS c0, least((max(c // 4) + 1) * 4, 96) AS c1
@@ -112,8 +112,8 @@ _SCAN = """, bd AS (SELECT granule_id, min(r // 4) * 4 AS r0, least((max(r // 4)
 @query("m06_scan_granule", _SCAN + """, sm AS (SELECT granule_id, "row", col, avg(seg) AS m FROM sg GROUP BY 1, 2, 3)
     SELECT granule_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, round(vf, 6) AS valid_frac, round(p, 6) AS gate_prob, p >= 0.35 AS gate_flag, round(m, 6) AS seg_mean
     FROM st LEFT JOIN sm USING (granule_id, "row", col)""", "px")
-def _(spark, sf):
-    t, _, _ = scan(spark, sf)
+def scanned_tiles(spark, sf, **cuts):
+    t, _, _ = scan(spark, sf, **cuts)
     return t.select("granule_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"),
                     *[F.round(c, 6).alias(c) for c in ("valid_frac", "gate_prob", "seg_mean")], "gate_flag")
 
