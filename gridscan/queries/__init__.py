@@ -1,12 +1,9 @@
 """All registered queries.  Importing a family module fills the registry."""
 
-import importlib, importlib.util
-
+from gridscan.queries import (  # noqa: F401
+    aggregating, arriving, cascading, checking, evaluating, featuring, filtering, grids, joining, labelling, sampling, scalars,
+    stencils, storing,
+)
 from gridscan.queries.registry import ORACLE, QUERIES
 
-FAMILIES = [f for f in ["scalars", "grids", "filtering", "joining", "aggregating", "stencils", "featuring", "sampling",
-            "labelling", "evaluating", "checking", "cascading", "storing", "arriving"] if importlib.util.find_spec("gridscan.queries."+f)]
-for _f in FAMILIES:
-    importlib.import_module(f"gridscan.queries.{_f}")
-
 __all__ = ["ORACLE", "QUERIES"]

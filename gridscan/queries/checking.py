@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from gridscan.functions.stats import share
 from gridscan.operators import checks as C
 from gridscan.operators.aggregates import tile_fractions
 from gridscan.operators.grid import with_tile

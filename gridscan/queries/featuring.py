@@ -7,7 +7,7 @@ from gridscan.operators import features as X
 from gridscan.operators.grid import with_tile
 from gridscan.operators.joins import common_box
 from gridscan.queries import views as V
-from gridscan.queries.joining import box_pairs, tile_p
+from gridscan.queries.joining import box_pairs
 from gridscan.queries.registry import query
 from gridscan.queries.stencils import DEN, TENSOR, image
 

@@ -11,7 +11,7 @@ from gridscan.functions.scalar import clean_granule_id
 from gridscan.functions.stats import share
 from gridscan.operators.features import pack
 from gridscan.operators.grid import block_average, with_tile
-from gridscan.schema import SCORES, TILE, TILE_LABELS
+from gridscan.schema import TILE, TILE_LABELS
 
 
 def read_labels(spark: SparkSession, path: str | Sequence[str], classes: Sequence[str], schema: StructType = TILE_LABELS) -> DataFrame:
