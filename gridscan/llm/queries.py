@@ -41,3 +41,10 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscan.llm.exact_dedup import dedup_exact
 
     return dedup_exact(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op2_near_dedup")
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
