@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridscan.llm.common import mix
 
 #: Bound on labelled rows that training gathers, in the order of a hash of the id.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 6000
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 5)
 #: A text holds few telling words among hundreds; the factor keeps the weights they need small.
 SCALE = 40.0
@@ -59,7 +59,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 10, rate: flo
     seen = np.bincount(rows, minlength=BUCKETS).astype(np.float64)
     idf = np.log((len(sizes) + 1) / (seen + 1))
     starts = np.r_[0, np.cumsum(sizes)]
-    values *= idf[rows]
+    values *= idf.astype(np.float32)[rows]
     pace = (len(sizes) / (seen + 20))[:, None]
     table, soft, bias = rng.normal(0, 0.02, (BUCKETS, DIM)), rng.normal(0, 1, (DIM, 2)), np.array([0, prior])
     full = np.flatnonzero(sizes)
@@ -93,12 +93,12 @@ def shares(word: np.ndarray, n: int) -> np.ndarray:
 
 def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Table rows and their weights of all texts, one text after the other, and the number of rows of each."""
-    rows, values, sizes = [np.empty(0, np.int64)], [np.empty(0)], []
+    rows, values, sizes = [np.empty(0, np.int32)], [np.empty(0, np.float32)], []
     for t in texts:
         row, word, n = word_grams(t)
         got, inverse = np.unique(row, return_inverse=True)
-        rows.append(got)
-        values.append(np.bincount(inverse, shares(word, n), len(got)) if n else np.empty(0))
+        rows.append(got.astype(np.int32))
+        values.append((np.bincount(inverse, shares(word, n), len(got)) if n else np.empty(0)).astype(np.float32))
         sizes.append(len(got))
     return np.concatenate(rows), np.concatenate(values), np.array(sizes, np.int64)
 
