@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridscan.llm.common import table
 
@@ -48,3 +48,13 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscan.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op5_secret_scan")
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.secret_scan import BASE, joined, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    base = joined(F.filter("spans", lambda x: x["kind"].isin(*BASE)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
