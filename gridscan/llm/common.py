@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,9 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: later jobs start from files."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect garbage: only then does Spark delete the shuffle files of jobs that have ended."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, counted inside generated code; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -58,3 +58,18 @@ def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = joined(F.filter("spans", lambda x: x["kind"].isin(*BASE)))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_best_fit_packing")
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeated_passages")
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.passages import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
