@@ -73,3 +73,11 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op1_line_rules")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.line_rules import line_rules
+
+    out = line_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.size("removed_lines").alias("n_removed_lines"), "n_removed_words")
