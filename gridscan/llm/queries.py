@@ -81,3 +81,14 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = line_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.size("removed_lines").alias("n_removed_lines"), "n_removed_words")
+
+
+@query("op4_bpe")
+def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridscan.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
