@@ -5,10 +5,16 @@ one with a band of the other: 2 x TABLES x ROWS minhashes do the work of TABLES
 similarity of 0.85 a pair shares no bucket with probability 2 x (1 - 0.85^ROWS)^TABLES at most, 0.2 %.
 
 Documents with equal sets form a class first; only class representatives are hashed into buckets.  Inside a
-bucket nobody is compared with everybody: a round compares the members with a few leaders, retires the
-leaders, joins what is linked, and drops buckets that have become one component.  Rounds go on, with more
-leaders each, until no bucket holds two components with an open comparison, so no link that could join two
-components is left out.  A family of near copies is done after a round or two, whatever its size.
+bucket not everybody is compared with everybody:
+
+1. all members meet the smallest one;
+2. in buckets that then still hold several components, all meet the most central member, the one with the
+   fewest shingles that nobody else has;
+3. what is left are pairs of different components.  Shingles of their own, and the difference of what they
+   miss of the central member, bound their distance from below, exactly; only pairs that this bound, their
+   sizes and their sketches leave open are compared.
+
+No pair that could join two components goes unexamined, whatever the size of a family of near copies.
 """
 
 from __future__ import annotations
@@ -91,12 +97,57 @@ def _may_link(a: str, b: str) -> Column:
     return (100 * F.least(n, m) >= LINK * F.greatest(n, m)) & (differ <= int(most))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; a's set travels once a pair, a leader's is merged in."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the size of the intersection of their full sets and whether they link.
+
+    The set of `a` travels once a pair; that of `b`, often the same leader, is merged in.
+    """
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * inter >= LINK * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return both.select("a", "b", "common", ((100 + LINK) * F.col("common") >= LINK * F.col("sizes")).alias("linked"))
+
+
+def _open(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members with their components, of the buckets that hold more than one."""
+    known = written(members.join(component, F.col("m.rep") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "m.rep").alias("component")), "members")
+    several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return written(known.join(several, "key", "left_semi"), "open-members")
+
+
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of buckets, enough for all components."""
+    meet = lambda df: df.where((F.col("m.rep") != F.col("l.rep")) & _may_link("m", "l")).select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b")).distinct()
+    first = written(members.groupBy("key").agg(F.min("m").alias("l")), "leaders")
+    found = written(_compared(meet(members.join(first, "key")), sets), "compared")
+    links = found.where("linked").select("a", "b")
+    rest = _open(members, components(links, "near"))
+    if rest.isEmpty():
+        return links
+
+    reps = rest.select(F.col("m.rep").alias("rep")).distinct()
+    single = sets.join(reps, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
+    own = written(single.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own-shingles")
+    rest = rest.join(own, F.col("m.rep") == own["rep"], "left").select("key", "m", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    central = written(rest.groupBy("key").agg(F.min(F.struct("own", "m")).alias("c")).select("key", F.col("c.m").alias("l")), "leaders")
+    rest = written(rest.join(central, "key"), "members")
+    found = written(_compared(meet(rest), sets), "compared")
+    links = links.union(found.where("linked").select("a", "b"))
+    rest = _open(rest, components(links, "near"))
+    if rest.isEmpty():
+        return links
+
+    missed = F.when(F.col("m.rep") == F.col("l.rep"), 0).otherwise(F.col("l.n") - F.col("common"))
+    rest = rest.join(found, (F.col("m.rep") == found["a"]) & (F.col("l.rep") == found["b"]), "left").withColumn("missed", missed)
+    main = written(rest.where("m.rep = l.rep").select("key", F.col("component").alias("main")).distinct(), "main")
+    rest = written(rest.join(main, "key").select("key", "m", "own", "missed", "component", "main"), "open-members")
+    x, y = rest.where("component <> main").alias("x"), rest.alias("y")
+    apart = F.col("x.own") + F.col("y.own") + F.coalesce(F.abs(F.col("x.missed") - F.col("y.missed")), F.lit(0))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.m.rep") > F.col("y.m.rep")))
+                   & ((100 + LINK) * apart <= (100 - LINK) * (F.col("x.m.n") + F.col("y.m.n"))) & _may_link("x.m", "y.m"))
+    found = written(_compared(pairs.select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct(), sets), "compared")
+    return links.union(found.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,33 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.join(wanted, (F.col("_id") == F.col("rep")) & (base["_content"] == wanted["_content"])).select("rep", "_text")
     sets = written(texts.mapInArrow(_sets, "rep long, shingles array<bigint>"), "sets")
 
-    links, component = None, None
-    leaders_per_bucket, members = 1, members.withColumn("component", F.col("m.rep"))
-    while True:
-        if links is None:
-            leaders = members.groupBy("key").agg(F.min(F.struct("m", "component")).alias("l"))
-        else:
-            members = written(
-                members.drop("component").join(component, F.col("m.rep") == F.col("node"), "left")
-                .select("key", "m", F.coalesce("component", "m.rep").alias("component")), "members")
-            state = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("m.rep", "component")).alias("first"))
-            still = state.where("lo <> hi").select("key", F.col("first.component").alias("main"))
-            members = written(members.join(still, "key"), "members")
-            if members.isEmpty():
-                break
-            share = F.pmod(F.xxhash64("m.rep"), F.lit(leaders_per_bucket))
-            leaders = members.where("component <> main").groupBy("key", share.alias("share")).agg(F.min(F.struct("m", "component")).alias("l")).drop("share")
-            members = members.drop("main")
-        leaders = written(leaders.select("key", F.col("l.m").alias("leader"), F.col("l.component").alias("theirs")), "leaders")
-        open_pairs = (members.join(leaders, "key").where((F.col("component") != F.col("theirs")) & _may_link("m", "leader"))
-                      .select(F.col("m.rep").alias("a"), F.col("leader.rep").alias("b")).distinct())
-        found = written(_confirmed(open_pairs, sets), "links")
-        links = found if links is None else links.union(found)
-        component = written(components(links, "near"), "component")
-        retired = leaders.select("key", F.col("leader.rep").alias("rep"))
-        members = written(members.join(retired, (members["key"] == retired["key"]) & (F.col("m.rep") == retired["rep"]), "left_anti"), "members")
-        leaders_per_bucket *= 8
-
+    component = written(components(_links(members, sets), "near"), "component")
     named = written(classes.join(component, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.col("n").alias("m"), F.coalesce("component", "rep").alias("found")), "named")
     out = sig.join(named, (sig["f0"] == named["f0"]) & (sig["f1"] == named["f1"]) & (sig["n"] == named["m"]), "left")
     out = out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("found", "_id").alias("component_id"), "_content")
