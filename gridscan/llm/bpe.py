@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
 # Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
