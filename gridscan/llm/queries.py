@@ -55,7 +55,8 @@ def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscan.llm.secret_scan import BASE, joined, scan_secrets
 
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of_kind = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in BASE]
     base = joined(F.filter("spans", lambda x: x["kind"].isin(*BASE)))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
@@ -119,3 +120,12 @@ def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(F.when(F.col("tree") != "", F.col("tree")).cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                       F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op9_quality_grade")
+def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.ordinal import grade_texts
+
+    # Three grades: bad, good but toxic, good.
+    ratings = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.when((F.col("quality") > 0) & (F.col("toxic") == 0), 1).otherwise(0)).alias("grade"))
+    return grade_texts(table(spark, sf_dir, "documents"), ratings, n_grades=3)
