@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from gridscan.plans.lineage import scratch_path
 
 #: A word is a run of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -56,38 +66,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive words, order-sensitive; empty when there are fewer."""
+    """Hash of every run of k consecutive word hashes, order-sensitive; empty when there are fewer."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix(out + np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
-    return out
-
-
-def per_row(fn: Callable[..., Iterable[tuple]], schema: pa.Schema, rows: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow body: `fn(*input columns)` yields output tuples for one row; they leave in batches of `rows`."""
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                for row in zip(*[c.to_pylist() for c in part.columns]):
-                    out.extend(fn(*row))
-                    if len(out) >= rows:
-                        yield packed(out, schema)
-                        out = []
-        if out:
-            yield packed(out, schema)
-
-    return body
-
-
-def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
+    out = h[:n] * ODD
+    for i in range(1, k):
+        out = (out + h[i:i + n]) * ODD
+    return mix(out + np.uint64(k))
 
 
 def flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Removal of repeated passages by recurring-phrase automata.
 
-1. Anchors: every window of 13 words has one anchor, the least of its eight 6-word hashes.  Equal windows have
+1. Anchors: every window of 13 words has one anchor, the least of its seven 7-word hashes.  Equal windows have
    equal anchors, so an anchor that only one text holds clears all windows it stands for.
 2. Confirmation: windows whose anchor recurs are counted over all texts; those that recur are confirmed, with
    the smallest document that has them, and their words are taken from that document.
@@ -15,162 +15,173 @@ Every document goes through all steps; copies of one word sequence are judged on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from gridscan.llm.common import flat, gram_hashes, mix, word_hashes, words, written
+from gridscan.llm.common import ODD, discard, gram_hashes, mix, word_hashes, words, written
 
-WINDOW, GRAM = 13, 6
-PLACE = np.uint64(0x9E3779B97F4A7C15)  # makes a digest of word hashes depend on their order
+WINDOW, GRAM = 13, 7
 SHARD_PATTERNS, SHARD_STRETCHES = 20_000, 100_000
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) of each run of windows that share an anchor place."""
+def hashed(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text, the hashes of all words in a row, and the number of words of each text."""
+    split = [words(t) for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    return split, word_hashes(list(chain.from_iterable(split))), sizes
+
+
+def places_in(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all words in a row: the text of each and its place in the text."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def anchors(h: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, text, first window, number of windows) of each run of windows that share an anchor place."""
     span = window - GRAM + 1
-    g = gram_hashes(h, GRAM)
-    n = len(g) - span + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    # Running minimum by halves; the rightmost least hash of a window is its anchor.
-    best, place = g.copy(), np.arange(len(g))
+    best = gram_hashes(h, GRAM)
+    place = np.arange(len(best))
     width = 1
+    # Running minimum in doubling steps; the rightmost least hash of a window is its anchor.
     while width < span:
         step = min(width, span - width)
-        m = len(best) - step
+        m = max(0, len(best) - step)
         right = best[step:] <= best[:m]
         place = np.where(right, place[step:], place[:m])
         best = np.where(right, best[step:], best[:m])
         width += step
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return best[first], first, np.diff(np.r_[first, n])
-
-
-def _hashed(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    w = words(text)
-    return w, word_hashes(w)
-
-
-def _anchor_batches(window: int, places: bool):
-    """Flat anchor rows of (id, content, text): distinct (anchor, words of the text) pairs, or all their places."""
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, contents = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
-                for k, text in enumerate(part.column(2).to_pylist()):
-                    _, h = _hashed(text)
-                    a, first, n = anchors(h, window)
-                    if places:
-                        for c, x in zip(cols, (a, np.full(len(a), ids[k]), np.full(len(a), contents[k]), first, n)):
-                            c.append(x)
-                    elif len(a):
-                        a = np.unique(a)
-                        cols[0].append(a)
-                        cols[1].append(np.full(len(a), np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64) * PLACE))))
-                if not cols[0]:
-                    continue
-                as_long = lambda x: pa.array(np.concatenate(x).astype(np.uint64, copy=False).view(np.int64) if x[0].dtype == np.uint64 else np.concatenate(x).astype(np.int64))
-                if places:
-                    yield pa.RecordBatch.from_arrays([as_long(c) for c in cols], names=["anchor", "_id", "_content", "first", "n"])
-                else:
-                    yield pa.RecordBatch.from_arrays([as_long(cols[0]), as_long(cols[1])], names=["anchor", "sequence"])
+    text, at = places_in(sizes)
+    whole = np.flatnonzero(at[:len(best)] + window <= sizes[text[:len(best)]])
+    best, place, text, at = best[whole], place[whole], text[whole], at[whole]
+    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])]) if len(whole) else whole
+    return best[new], text[new], at[new], np.diff(np.r_[new, len(whole)])
 
-    return body
+
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def _sequence_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, digest of the word sequence of its text)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            _, h, sizes = hashed(batch.slice(start, 512).column(2).to_pylist())
+            text, at = places_in(sizes)
+            anchor, of, _, _ = anchors(h, sizes, window)
+            digest = np.zeros(len(sizes), np.uint64)
+            full = np.flatnonzero(sizes)
+            if len(full):
+                digest[full] = np.bitwise_xor.reduceat(mix(h + at.astype(np.uint64) * ODD), (np.cumsum(sizes) - sizes)[full])
+            yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(digest[of])], names=["anchor", "sequence"])
+
+
+def _anchor_places(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, id, content, first window, number of windows)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            _, h, sizes = hashed(part.column(2).to_pylist())
+            anchor, of, first, n = anchors(h, sizes, window)
+            ids, contents = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(ids[of]), _longs(contents[of]), _longs(first), _longs(n)], names=["anchor", "_id", "_content", "first", "n"])
 
 
 def _stretch_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(id, content, text, runs) to one row a run: anchor, id, content, first window, words, hashes of its windows."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows, hashes = [], []
-            for i, c, text, runs in zip(*[col.to_pylist() for col in part.columns]):
-                w, h = _hashed(text)
-                g = gram_hashes(h, window)
-                for run in runs:
-                    a, first, n = run["anchor"], run["first"], run["n"]
-                    rows.append((a, i, c, first, b" ".join(w[first:first + n + window - 1])))
-                    hashes.append(g[first:first + n])
-            if rows:
-                values, offsets = flat(hashes)
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([
-                    *[pa.array(x, pa.int64()) for x in cols[:4]], pa.array(cols[4], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64))),
-                ], names=["anchor", "_id", "_content", "first", "phrase", "windows"])
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            split, h, sizes = hashed(part.column(2).to_pylist())
+            runs, counts = part.column(3).flatten(), pa.compute.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
+            anchor, first, n = (runs.field(k).to_numpy() for k in range(3))
+            of = np.repeat(np.arange(len(counts)), counts)
+            phrases = [b" ".join(split[t][f:f + k + window - 1]) for t, f, k in zip(of.tolist(), first.tolist(), n.tolist())]
+            offsets = np.r_[0, np.cumsum(n)]
+            begin = (np.cumsum(sizes) - sizes)[of] + first
+            windows = gram_hashes(h, window)[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], n)]
+            ids, contents = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([
+                _longs(anchor), _longs(ids[of]), _longs(contents[of]), _longs(first), pa.array(phrases, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _longs(windows)),
+            ], names=["anchor", "_id", "_content", "first", "phrase", "windows"])
 
 
 class Automaton:
     """Aho-Corasick over words: each word of the patterns is one character of the automaton's alphabet."""
 
     def __init__(self, window: int):
-        self.window, self.code, self.machine, self.least = window, {}, ahocorasick.Automaton(), {}
+        self.window, self.code, self.first, self.machine, self.known = window, {}, {}, None, {}
 
-    def letters(self, phrase: bytes, grow: bool = False) -> str:
-        code = self.code
-        if grow:
-            for w in phrase.split(b" "):
-                if w not in code:
-                    n = len(code) + 2
-                    code[w] = chr(n if n < 0xD800 else n + 0x800)
-        return "".join([code.get(w, "\x01") for w in phrase.split(b" ")])
+    def letters(self, phrase: bytes) -> str:
+        get = self.code.get
+        return "".join([get(w, "\x01") for w in phrase.split(b" ")])
 
     def add(self, phrase: bytes, starts: list[int], doc: int) -> None:
         """Windows of a confirmed passage, at word offsets in it, that first stand in `doc`."""
-        text = self.letters(phrase, grow=True)
+        code = self.code
+        for w in phrase.split(b" "):
+            if w not in code:
+                n = len(code) + 2
+                code[w] = chr(n if n < 0xD800 else n + 0x800)
+        text = self.letters(phrase)
         for s in starts:
             key = text[s:s + self.window]
-            if key not in self.machine or self.machine.get(key) > doc:
-                self.machine.add_word(key, doc)
+            self.first[key] = min(doc, self.first.get(key, doc))
 
-    def ready(self) -> Automaton:
-        if len(self.machine):
+    def compile(self) -> None:
+        self.machine = ahocorasick.Automaton()
+        for key, doc in self.first.items():
+            self.machine.add_word(key, doc)
+        if self.first:
             self.machine.make_automaton()
-        return self
-
-    def found(self, phrase: bytes, doc: int) -> list[int]:
-        """Word offsets at which a window stands that a smaller document has."""
-        if not len(self.machine):
-            return []
-        return [end - self.window + 1 for end, first in self.machine.iter(self.letters(phrase)) if first < doc]
-
-
-def _locate(window: int):
-    """Rows sorted by shard, patterns before stretches, to covered ranges (id, content, start, n)."""
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, machine, open_ = None, None, False
-        for batch in batches:
-            out: list[tuple] = []
-            for at in range(0, batch.num_rows, 4096):
-                for s, kind, i, c, first, phrase, starts in zip(*[x.to_pylist() for x in batch.slice(at, 4096).columns]):
-                    if s != shard:
-                        shard, machine, open_ = s, Automaton(window), True
-                    if kind == 0:
-                        machine.add(phrase, starts, i)
-                        continue
-                    if open_:
-                        machine, open_ = machine.ready(), False
-                    run = None
-                    for k in machine.found(phrase, i):
-                        if run and k <= run[1]:
-                            run[1] = k + window
-                        else:
-                            if run:
-                                out.append((i, c, first + run[0], run[1] - run[0]))
-                            run = [k, k + window]
-                    if run:
-                        out.append((i, c, first + run[0], run[1] - run[0]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["_id", "_content", "start", "n"])
-
-    return body
+
+    def found(self, phrase: bytes) -> list[tuple[int, int]]:
+        """(word offset, first document) of every confirmed window in a stretch; like stretches are read once."""
+        got = self.known.get(phrase)
+        if got is None:
+            if len(self.known) > SHARD_STRETCHES:
+                self.known.clear()
+            back = 1 - self.window
+            got = self.known[phrase] = [(end + back, doc) for end, doc in self.machine.iter(self.letters(phrase))] if self.first else []
+        return got
+
+
+def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, patterns before stretches, to covered ranges (id, content, start, n).
+
+    A pattern row has the hashes of its windows and of those that its document is the first to hold.
+    """
+    shard, machine = None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for at in range(0, batch.num_rows, 4096):
+            for s, i, c, first, phrase, windows, wanted in zip(*[x.to_pylist() for x in batch.slice(at, 4096).columns]):
+                if s != shard:
+                    shard, machine = s, Automaton(window)
+                if wanted is not None:
+                    wanted = set(wanted)
+                    machine.add(phrase, [k for k, x in enumerate(windows) if x in wanted], i)
+                    continue
+                if machine.machine is None:
+                    machine.compile()
+                begin = end = -1
+                for k, doc in machine.found(phrase):
+                    if doc < i:
+                        if k > end:
+                            if end > 0:
+                                out.append((i, c, first + begin, end - begin))
+                            begin = k
+                        end = k + window
+                if end > 0:
+                    out.append((i, c, first + begin, end - begin))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["_id", "_content", "start", "n"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,35 +227,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = counted.join(firsts, "sequence").withColumn("copy", F.col("_id") > F.col("first_id")).select("_id", "_content", "n_words", "copy").distinct()
     copies = written(copies, "copies")
 
-    pairs = named.mapInArrow(_anchor_batches(window, False), "anchor long, sequence long")
+    pairs = named.mapInArrow(lambda b: _sequence_anchors(b, window), "anchor long, sequence long")
     recurring = written(pairs.groupBy("anchor").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi")).where("lo <> hi").select("anchor"), "anchors")
-    places = named.mapInArrow(_anchor_batches(window, True), "anchor long, _id long, _content long, first long, n long").join(recurring, "anchor", "left_semi")
+    places = named.mapInArrow(lambda b: _anchor_places(b, window), "anchor long, _id long, _content long, first long, n long").join(recurring, "anchor", "left_semi")
     runs = (places.groupBy("_id", "_content").agg(F.collect_set(F.struct("anchor", "first", "n")).alias("runs"))
             .join(copies.where("NOT copy").select("_id", "_content"), ["_id", "_content"], "left_semi"))
     runs = written(runs, "runs")
 
-    stretches = base.join(runs, ["_id", "_content"]).select("_id", "_content", "_text", "runs")
+    texts = base.join(runs, ["_id", "_content"]).select("_id", "_content", "_text", "runs")
     schema = "anchor long, _id long, _content long, first long, phrase binary, windows array<bigint>"
-    stretches = written(stretches.mapInArrow(lambda b: _stretch_batches(b, window), schema), "stretches")
+    stretches = written(texts.mapInArrow(lambda b: _stretch_batches(b, window), schema), "stretches")
 
-    each = stretches.select("anchor", "_id", "_content", "first", F.posexplode("windows").alias("k", "window"))
-    confirmed = (each.groupBy("window").agg(F.min(F.struct("_id", "_content", "first", "anchor", "k")).alias("at"), F.max("_id").alias("hi"))
-                 .where("at._id < hi").groupBy("at._id", "at._content", "at.first", "at.anchor").agg(F.collect_set("at.k").alias("starts")))
-    confirmed = written(confirmed, "confirmed")
+    # A window has one anchor, so the anchor as a second key changes no group.
+    each = stretches.select("anchor", "_id", F.explode("windows").alias("window"))
+    confirmed = written(each.groupBy("window", "anchor").agg(F.min("_id").alias("_id"), F.max("_id").alias("hi")).where("_id < hi").select("anchor", "_id", "window"), "confirmed")
 
-    keys = ["_id", "_content", "first", "anchor"]
-    patterns = stretches.drop("windows").join(confirmed, keys)
-    shards = max(1, -(-confirmed.select(F.sum(F.size("starts")).alias("n")).first()["n"] // SHARD_PATTERNS)) if not confirmed.isEmpty() else 1
+    shards = max(1, -(-confirmed.count() // SHARD_PATTERNS))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    used = stretches.drop("windows").join(confirmed.select("anchor").distinct(), "anchor", "left_semi").withColumn("shard", shard)
+    wanted = confirmed.groupBy("anchor", "_id").agg(F.collect_set("window").alias("wanted"))
+    patterns = stretches.join(wanted, ["anchor", "_id"]).withColumn("shard", shard)
+    used = stretches.join(confirmed.select("anchor").distinct(), "anchor", "left_semi").withColumn("shard", shard)
     parts = written(used.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_STRETCHES).cast("long").alias("parts")), "shard-parts")
-    split = patterns.withColumn("shard", shard).join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = used.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("_id", "first"), F.col("parts"))).withColumn("starts", F.lit(None).cast("array<int>"))
-    cols = lambda df, kind: df.select((F.col("shard") * 1_000_003 + F.col("part")).alias("shard"), F.lit(kind).alias("kind"), "_id", "_content", "first", "phrase", "starts")
-    both = cols(split, 0).unionByName(cols(dealt, 1)).repartition(F.col("shard")).sortWithinPartitions("shard", "kind")
-    located = both.mapInArrow(_locate(window), "_id long, _content long, start long, n long")
+    split = patterns.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    none = F.lit(None).cast("array<bigint>")
+    dealt = used.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("_id", "first"), F.col("parts"))).withColumn("windows", none).withColumn("wanted", none)
+    cols = lambda df: df.select(F.struct("shard", "part").alias("shard"), "_id", "_content", "first", "phrase", "windows", "wanted")
+    both = cols(split).unionByName(cols(dealt)).repartition("shard").sortWithinPartitions("shard", F.col("wanted").isNull())
+    located = both.withColumn("shard", F.concat_ws("-", "shard.shard", "shard.part")).mapInArrow(lambda b: _locate(b, window), "_id long, _content long, start long, n long")
 
     ranges = located.union(copies.where("copy").select("_id", "_content", F.lit(0).cast("long"), "n_words"))
     ranges = written(ranges.groupBy("_id", "_content").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), "ranges")
+    discard(stretches, confirmed, runs, recurring)
     out = base.join(ranges, ["_id", "_content"], "left").select(F.col("_id").alias("doc_id"), "_text", "ranges")
     return out.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
