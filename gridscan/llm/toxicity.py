@@ -42,7 +42,7 @@ def word_grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(rows).astype(np.int64), np.concatenate(word), len(found)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 10, rate: float = 1.7, batch: int = 256, seed: int = 1) -> np.ndarray:
+def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 10, rate: float = 1.7, batches: int = 24, seed: int = 1) -> np.ndarray:
     """Weight of every table row for class 1 against class 0, and last the bias: embeddings times softmax.
 
     A word is the mean of its n-gram embeddings, a text `SCALE` times the mean of its distinct words; n-grams
@@ -63,6 +63,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 10, rate: flo
     pace = (len(sizes) / (seen + 20))[:, None]
     table, soft, bias = rng.normal(0, 0.02, (BUCKETS, DIM)), rng.normal(0, 1, (DIM, 2)), np.array([0, prior])
     full = np.flatnonzero(sizes)
+    batch = max(1, -(-len(full) // batches))  # as many steps at any size
     for epoch in range(epochs):
         order = full[rng.permutation(len(full))]
         for at in range(0, len(order), batch):

@@ -50,3 +50,68 @@ def repeats(rows, size=13):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def line_measures(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    text = text or ""
+    w = WORDS.findall(text)
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    at = defaultdict(list)
+    for k in range(len(w) - 2):
+        at[tuple(w[k:k + 3])].append(k)
+    twice = {k + j for places in at.values() if len(places) > 1 for k in places for j in range(3)}
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(twice)
+
+
+def line_removals(rows, min_docs, share):
+    """Per (doc_id, text, host) row: words that stand in lines above the limits."""
+    digits = re.compile("[1-9]")
+
+    def norm(line):
+        return digits.sub("0", " ".join(WORDS.findall(line)).lower())
+
+    texts, docs = defaultdict(set), defaultdict(set)
+    for _, text, host in rows:
+        texts[host].add(text or "")
+        for line in (text or "").split("\n"):
+            if WORDS.search(line):
+                docs[host, norm(line)].add(text)
+    out = []
+    for _, text, host in rows:
+        limit = max(min_docs, share * len(texts[host]))
+        out.append(sum(len(WORDS.findall(x)) for x in (text or "").split("\n") if WORDS.search(x) and len(docs[host, norm(x)]) > limit))
+    return out
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secrets(text):
+    """Base spans (kind, start, end), found with three regular expressions."""
+    out = []
+    for k, (kind, pattern) in enumerate((("assign", ASSIGN), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+")))):
+        for m in pattern.finditer(text or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= (6, 20, 24)[k]:
+                out.append((m.start(), k, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def branches(nodes):
+    """tree -> messages of the best root-to-leaf path, by mean score, ties to the smaller leaf."""
+    by_tree = defaultdict(dict)
+    for tree, node, parent, score in nodes:
+        by_tree[tree][node] = (parent, score or 0.0)
+    best = {}
+    for tree, ns in by_tree.items():
+        parents = {p for p, _ in ns.values() if p in ns}
+        for leaf in sorted(set(ns) - parents):
+            path, x, seen = [], leaf, set()
+            while x in ns and x not in seen:
+                seen.add(x)
+                path.append(x)
+                x = ns[x][0]
+            score = sum(ns[n][1] for n in path) / len(path)
+            if x not in seen and (tree not in best or score > best[tree][0]):
+                best[tree] = (score, path[::-1])
+    return {t: p for t, (_, p) in best.items()}
