@@ -24,7 +24,7 @@ def escaped(text: Column, line: bool = False) -> Column:
     quoted = lambda s: "".join(f"\\{c}" if not c.isalnum() and c != "_" else c for c in s)
     broken = "|".join(f"{quoted(c[0])}(?={quoted(c[1:])})" for c in CONTROL)
     out = F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), broken, r"$0\\")
-    return F.regexp_replace(out, "\n", "\\\\\\\\\n") if line else out
+    return F.regexp_replace(out, "\n", "\\\\\n") if line else out
 
 
 def unescaped(text: Column) -> Column:

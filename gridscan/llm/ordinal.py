@@ -97,11 +97,11 @@ def fit(texts: list[str | None], grades: np.ndarray, n_grades: int, epochs: int
     params = [np.zeros(BUCKETS), np.zeros(DENSE), np.r_[base[:1], gaps]]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     rng = np.random.default_rng(seed)
-    step = 0
+    step, batch = 0, max(1, -(-len(texts) // 24))  # as many steps at any size
     for _ in range(epochs if len(texts) else 0):
         order = rng.permutation(len(texts))
-        for at in range(0, len(order), 256):
-            part = order[at:at + 256]
+        for at in range(0, len(order), batch):
+            part = order[at:at + batch]
             n = sizes[part]
             places = np.arange(n.sum()) + np.repeat(starts[part] - np.r_[0, np.cumsum(n)[:-1]], n)
             row = np.repeat(np.arange(len(part)), n)
