@@ -67,14 +67,14 @@ def _(spark, sf):
     return MD.score_tiles(d, MD.fit_gate(d, f, **SMALL), f).select("vec_id", "vel", "p")
 
 
-@query("m05_cascade", _TP + """ SELECT granule_id, "row", col, round(p, 6) AS gate_prob, coalesce(p >= 0.35, false) AS gate_flag,
-    CASE WHEN p >= 0.35 THEN round(p * p + n / 1000.0, 6) END AS seg, coalesce(p >= 0.35 AND p * p + n / 1000.0 >= 0.3, false) AS seg_mask FROM tp""", "pt")
+@query("m05_cascade", _TP + """ SELECT granule_id, "row", col, round(p, 6) AS gate_prob, coalesce(p >= 0.55, false) AS gate_flag,
+    CASE WHEN p >= 0.55 THEN round(p * p + n / 1000.0, 6) END AS seg, coalesce(p >= 0.55 AND p * p + n / 1000.0 >= 0.45, false) AS seg_mask FROM tp""", "pt")
 def _(spark, sf):
     t = tile_p(spark, sf).withColumn("p", F.when(F.col("n") > 0, F.col("p")))
 
     def segment(d):
         return d.withColumn("seg", F.col("p") * F.col("p") + F.col("n") / 1000)
-    o = CA.cascade(t, F.col("p"), segment, 0.35, mask_threshold=0.3)
+    o = CA.cascade(t, F.col("p"), segment, 0.55, mask_threshold=0.45)
     return o.select(*TILE, F.round("gate_prob", 6).alias("gate_prob"), "gate_flag", F.round("seg", 6).alias("seg"), "seg_mask")
 
 
@@ -90,11 +90,11 @@ def segment(pix):
     return pix.withColumn("seg", S.clip((F.log10("v") - 3) / 2.5, 0.0, 1.0))
 
 
-def scan(spark, sf, stage=None, min_valid=0.5, min_grounded=0.2):
+def scan(spark, sf, stage=None):
     """The granule plan; the gate as an aggregate (default) or as a separate stage with a separate mask table."""
     d = V.px(spark, sf)
     g, m = (stage, d) if stage is not None else (gate(), "cls")
-    return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, g, segment, 0.35, min_valid, mask=m, min_grounded=min_grounded, max_tiles=25)
+    return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, g, segment, 0.55, 0.3, mask=m, min_grounded=0.1)
 
 
 _SCAN = """, bd AS (SELECT granule_id, min(r // 4) * 4 AS r0, least((max(r // 4) + 1) * 4, 96) AS r1, min(c // 4) * 4 AS c0, least((max(c // 4) + 1) * 4, 96) AS c1
@@ -102,24 +102,23 @@ _SCAN = """, bd AS (SELECT granule_id, min(r // 4) * 4 AS r0, least((max(r // 4)
     pa AS (SELECT px.*, ((r - r0) // 16) * 16 + r0 AS "row", ((c - c0) // 16) * 16 + c0 AS col FROM px JOIN bd USING (granule_id) WHERE r >= r0 AND c >= c0),
     q0 AS (SELECT *, unnest(range(r0, r1, 16)) AS "row" FROM bd), q1 AS (SELECT *, unnest(range(c0, c1, 16)) AS col FROM q0),
     gn AS (SELECT granule_id, "row", col, count(*) AS n FROM pa WHERE cls = 1 GROUP BY 1, 2, 3),
-    q2 AS (SELECT granule_id, "row", col FROM q1 LEFT JOIN gn USING (granule_id, "row", col) WHERE coalesce(n, 0) / (least(16, 96 - "row") * least(16, 96 - col)) >= 0.2),
-    cn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY granule_id ORDER BY md5(concat('0|', granule_id, '|', "row", '|', col))) AS k FROM q2) WHERE k <= 25),
+    cn AS (SELECT granule_id, "row", col FROM q1 LEFT JOIN gn USING (granule_id, "row", col) WHERE coalesce(n, 0) / (least(16, 96 - "row") * least(16, 96 - col)) >= 0.1),
     sp AS (SELECT pa.* FROM pa SEMI JOIN cn USING (granule_id, "row", col)),
-    st AS (SELECT granule_id, "row", col, count(v) / 256.0 AS vf, count(*) FILTER (v > 60000) / CAST(count(v) AS DOUBLE) AS p FROM sp GROUP BY 1, 2, 3 HAVING count(v) / 256.0 >= 0.5),
-    sg AS (SELECT sp.granule_id, sp."row", sp.col, r, c, CASE WHEN v IS NOT NULL THEN least(1.0, greatest(0.0, (log10(v) - 3) / 2.5)) END AS seg FROM sp JOIN st USING (granule_id, "row", col) WHERE p >= 0.35)"""
+    st AS (SELECT granule_id, "row", col, count(v) / 256.0 AS vf, count(*) FILTER (v > 60000) / CAST(count(v) AS DOUBLE) AS p FROM sp GROUP BY 1, 2, 3 HAVING count(v) / 256.0 >= 0.3),
+    sg AS (SELECT sp.granule_id, sp."row", sp.col, r, c, CASE WHEN v IS NOT NULL THEN least(1.0, greatest(0.0, (log10(v) - 3) / 2.5)) END AS seg FROM sp JOIN st USING (granule_id, "row", col) WHERE p >= 0.55)"""
 
 
 @query("m06_scan_granule", _SCAN + """, sm AS (SELECT granule_id, "row", col, avg(seg) AS m FROM sg GROUP BY 1, 2, 3)
-    SELECT granule_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, round(vf, 6) AS valid_frac, round(p, 6) AS gate_prob, p >= 0.35 AS gate_flag, round(m, 6) AS seg_mean
+    SELECT granule_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, round(vf, 6) AS valid_frac, round(p, 6) AS gate_prob, p >= 0.55 AS gate_flag, round(m, 6) AS seg_mean
     FROM st LEFT JOIN sm USING (granule_id, "row", col)""", "px")
-def scanned_tiles(spark, sf, **cuts):
-    t, _, _ = scan(spark, sf, **cuts)
+def scanned_tiles(spark, sf):
+    t, _, _ = scan(spark, sf)
     return t.select("granule_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"),
                     *[F.round(c, 6).alias(c) for c in ("valid_frac", "gate_prob", "seg_mean")], "gate_flag")
 
 
 @query("m06_funnel", _SCAN + """, c AS (SELECT granule_id, count(*) AS candidates FROM cn GROUP BY 1),
-    f AS (SELECT granule_id, count(*) AS valid, count(p) AS scored, count(*) FILTER (p >= 0.35) AS flagged FROM st GROUP BY 1)
+    f AS (SELECT granule_id, count(*) AS valid, count(p) AS scored, count(*) FILTER (p >= 0.55) AS flagged FROM st GROUP BY 1)
     SELECT granule_id, candidates, coalesce(valid, 0) AS valid, coalesce(scored, 0) AS scored, coalesce(flagged, 0) AS flagged FROM c LEFT JOIN f USING (granule_id)""", "px")
 def _(spark, sf):
     return scan(spark, sf, gate_stage)[2]

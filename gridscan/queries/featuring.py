@@ -135,10 +135,9 @@ def _(spark, sf):
     return rk(d, ["coherence_mean", "coherence_p90", "coherence_frac_hi"])
 
 
-@query("x07_looks", 'SELECT granule_id, "row", col, round(pow(avg(v) / stddev_pop(v), 2), 6) AS enl FROM pt GROUP BY 1, 2, 3 HAVING stddev_pop(v) > 0', "pt")
+@query("x07_looks", 'SELECT granule_id, "row", col, CASE WHEN stddev_pop(v) > 0 THEN round(pow(avg(v) / stddev_pop(v), 2), 6) END AS enl FROM pt GROUP BY 1, 2, 3', "pt")
 def _(spark, sf):
-    d = with_tile(V.px(spark, sf), TS).groupBy(*TILE).agg(F.round(looks("v"), 6).alias("enl"))
-    return d.where("enl IS NOT NULL")
+    return with_tile(V.px(spark, sf), TS).groupBy(*TILE).agg(F.round(looks("v"), 6).alias("enl"))
 
 
 _ORI = TENSOR[:TENSOR.index(", t1 AS")] + """,
@@ -211,13 +210,15 @@ def _(spark, sf):
     return d.select(*TILE, *[F.round(x, 6).alias(x) for x in X.CONTEXT_FEATURES])
 
 
-@query("x13_chips", """, b AS (SELECT granule_id, (r // 16) * 16 AS "row", (c // 16) * 16 AS col, r // 2 AS br, c // 2 AS bc,
-      CASE WHEN count(hh) >= 4 THEN round(10 * log10(avg(hh)), 6) END AS hh, CASE WHEN count(hv) >= 4 THEN round(10 * log10(avg(hv)), 6) END AS hv FROM pols GROUP BY ALL)
-    SELECT granule_id, "row", col, count(*) AS n, list(hh ORDER BY br, bc) AS hh, list(hv ORDER BY br, bc) AS hv FROM b GROUP BY 1, 2, 3""".replace(
-    "GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5"), "pols")
+_CHIP = ", ".join(f"CASE WHEN count({b}) >= 4 THEN round(10 * log10(avg({b})), 6) END AS {b}" for b in ("hh", "hv", "vh", "vv"))
+
+
+@query("x13_chips", f""", b AS (SELECT granule_id, (r // 16) * 16 AS "row", (c // 16) * 16 AS col, r // 2 AS br, c // 2 AS bc, {_CHIP} FROM pols GROUP BY 1, 2, 3, 4, 5)
+    SELECT granule_id, "row", col, count(*) AS n, {", ".join(f"list({x} ORDER BY br, bc) AS {x}" for x in ("hh", "hv", "vh", "vv"))} FROM b GROUP BY 1, 2, 3""", "pols")
 def _(spark, sf):
-    d = X.chips(pol_tiles(spark, sf), TS, 2, ["hh", "hv"])
-    return d.select(*TILE, "n", *[F.transform(b, lambda x: F.round(x, 6)).alias(b) for b in ("hh", "hv")])
+    bands = ["hh", "hv", "vh", "vv"]
+    d = X.chips(pol_tiles(spark, sf), TS, 2, bands)
+    return d.select(*TILE, "n", *[F.transform(b, lambda x: F.round(x, 6)).alias(b) for b in bands])
 
 
 _PSF = (TENSOR[:TENSOR.index(", t1 AS")] + """,

@@ -44,14 +44,14 @@ def _(spark, sf):
 
 @query("j04_regrid_nearest", """, t AS (SELECT granule_id, unnest(range(0, 40)) AS r FROM (SELECT DISTINCT granule_id FROM px)),
     g AS (SELECT granule_id, r, unnest(range(0, 40)) AS c FROM t)
-    SELECT granule_id, CAST(g.r AS INTEGER) AS r, CAST(g.c AS INTEGER) AS c, cls FROM g LEFT JOIN
-      (SELECT granule_id, r AS sr, c AS sc, cls FROM px) s USING (granule_id)
-    WHERE sr = CAST(floor((10 + (g.r + 0.5) * 12) / 5) AS INTEGER) AND sc = CAST(floor((20 + (g.c + 0.5) * 12) / 5) AS INTEGER)
+    SELECT g.granule_id, CAST(g.r AS INTEGER) AS r, CAST(g.c AS INTEGER) AS c, cls FROM g LEFT JOIN
+      (SELECT granule_id, r AS sr, c AS sc, cls FROM px) s ON s.granule_id = g.granule_id
+    AND sr = CAST(floor((10 + (g.r + 0.5) * 12) / 5) AS INTEGER) AND sc = CAST(floor((20 + (g.c + 0.5) * 12) / 5) AS INTEGER)
     """, "px")
 def _(spark, sf):
     t = tile_grid(px_headers(spark, sf).withColumn("height", F.lit(40)).withColumn("width", F.lit(40)), 1)
     t = t.select("granule_id", F.col("row").alias("r"), F.col("col").alias("c"))
-    return J.regrid_nearest(t, V.px(spark, sf), "cls", 12.0, 5.0, ["granule_id"], 20.0, 10.0).where("cls IS NOT NULL")
+    return J.regrid_nearest(t, V.px(spark, sf), "cls", 12.0, 5.0, ["granule_id"], 20.0, 10.0)
 
 
 @query("j05_regrid_bilinear", """, t AS (SELECT granule_id, unnest(range(0, 40)) AS r FROM (SELECT DISTINCT granule_id FROM px)),
@@ -143,13 +143,13 @@ def _(spark, sf):
     return d.select("granule_id", "ti", "tj", F.round("dist", 6).alias("dist"))
 
 
-@query("j12_scatter_back", _TP + """ SELECT granule_id, "row", col, CASE WHEN p >= 0.35 THEN round(p * p, 6) END AS stage2,
-    coalesce(p >= 0.35, false) AS flag FROM tp""", "pt")
+@query("j12_scatter_back", _TP + """ SELECT granule_id, "row", col, CASE WHEN p >= 0.55 THEN round(p * p, 6) END AS stage2,
+    coalesce(p >= 0.55, false) AS flag FROM tp""", "pt")
 def _(spark, sf):
     t = tile_p(spark, sf)
-    s2 = t.where("p >= 0.35").withColumn("stage2", F.round(F.col("p") * F.col("p"), 6))
+    s2 = t.where("p >= 0.55").withColumn("stage2", F.round(F.col("p") * F.col("p"), 6))
     d = J.scatter_back(t, s2, ["granule_id", "row", "col"], ["stage2"])
-    return d.select("granule_id", "row", "col", "stage2", F.coalesce(F.col("p") >= 0.35, F.lit(False)).alias("flag"))
+    return d.select("granule_id", "row", "col", "stage2", F.coalesce(F.col("p") >= 0.55, F.lit(False)).alias("flag"))
 
 
 @query("j13_scatter_scores", "SELECT vec_id, CASE WHEN p_b IS NOT NULL AND vel IS NOT NULL THEN round(p_b * 0.5, 6) END AS p FROM feat", "feat")

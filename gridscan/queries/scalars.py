@@ -124,9 +124,9 @@ def _(spark, sf):
 
 @query("p13_odds_fusion", """SELECT vec_id, round(p_a * q / (p_a * q + (1 - p_a) * (1 - q) + 1e-12), 6) AS fused,
     round(0.6 * (1 - q) / (0.6 * (1 - q) + (1 - 0.6) * q + 1e-12), 6) AS equivalent
-    FROM (SELECT *, least(0.9, greatest(0.1, p_b)) AS q FROM feat WHERE p_b IS NOT NULL)""", "feat")
+    FROM (SELECT *, CASE WHEN p_b IS NOT NULL THEN least(0.9, greatest(0.1, p_b)) END AS q FROM feat)""", "feat")
 def _(spark, sf):
-    d = V.feat(spark, sf).where("p_b IS NOT NULL").withColumn("q", S.clip("p_b", 0.1, 0.9))
+    d = V.feat(spark, sf).withColumn("q", F.when(F.col("p_b").isNotNull(), S.clip("p_b", 0.1, 0.9)))
     return d.select("vec_id", F.round(S.odds_fusion("p_a", "q"), 6).alias("fused"),
                     F.round(S.fused_equivalent_threshold(0.6, "q"), 6).alias("equivalent"))
 

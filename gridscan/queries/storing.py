@@ -151,10 +151,10 @@ def _(spark, sf):
     return spark.read.parquet(path).select("granule_id", "r", "c", "lg")
 
 
-@query("s15_band_statistics", """, l AS (UNPIVOT (SELECT granule_id, log10(hh) AS hh, log10(hv) AS hv FROM pols) ON hh, hv INTO NAME band VALUE x)
+@query("s15_band_statistics", """, l AS (UNPIVOT (SELECT granule_id, log10(hh) AS hh, log10(hv) AS hv, log10(vh) AS vh, log10(vv) AS vv FROM pols) ON hh, hv, vh, vv INTO NAME band VALUE x)
     SELECT granule_id, upper(band) AS band, round(min(x), 6) AS "min", round(max(x), 6) AS "max", round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(x) AS n_valid FROM l GROUP BY 1, 2""", "pols")
 def _(spark, sf):
-    d = R.unpivot_bands(V.pols(spark, sf), ["HH", "HV"]).withColumn("v", F.log10("v"))
+    d = R.unpivot_bands(V.pols(spark, sf), ["HH", "HV", "VH", "VV"]).withColumn("v", F.log10("v"))
     s = T.band_statistics(d)
     return s.select("granule_id", "band", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")], "n_valid")
 
