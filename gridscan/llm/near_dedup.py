@@ -121,7 +121,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     first = written(members.groupBy("key").agg(F.min("m").alias("l")), "leaders")
     found = written(_compared(meet(members.join(first, "key")), sets), "compared")
     links = found.where("linked").select("a", "b")
-    rest = _open(members, components(links, "near"))
+    rest = _open(members, components(links, "near", exact=False))
     if rest.isEmpty():
         return links
 
@@ -133,7 +133,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     rest = written(rest.join(central, "key"), "members")
     found = written(_compared(meet(rest), sets), "compared")
     links = links.union(found.where("linked").select("a", "b"))
-    rest = _open(rest, components(links, "near"))
+    rest = _open(rest, components(links, "near", exact=False))
     if rest.isEmpty():
         return links
 
