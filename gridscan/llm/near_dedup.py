@@ -8,11 +8,10 @@ Documents with equal sets form a class first; only class representatives are has
 bucket not everybody is compared with everybody:
 
 1. all members meet the smallest one;
-2. in buckets that then still hold several components, all meet the most central member, the one with the
-   fewest shingles that nobody else has;
-3. what is left are pairs of different components.  Shingles of their own, and the difference of what they
-   miss of the central member, bound their distance from below, exactly; only pairs that this bound, their
-   sizes and their sketches leave open are compared.
+2. in buckets that then still hold several components, all meet the largest one;
+3. what is left are pairs of different components.  The parity sketches of two sets differ in no more bits
+   than the sets differ in elements, so they bound the distance from below, exactly; only pairs that this
+   bound, the sizes and the minhash bits leave open are compared.
 
 No pair that could join two components goes unexamined, whatever the size of a family of near copies.
 """
@@ -20,6 +19,8 @@ No pair that could join two components goes unexamined, whatever the size of a f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SEEDS = mix(np.arange(1, 2 * TABLES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9
 #: share of (1 + s) / 2; a margin of 5 standard deviations lets go of no link in a million.
 BITS = len(SEEDS)
 MARGIN = 5.0
+#: Words of the parity sketch: bit j tells whether an odd number of shingles fall on j.
+PARITY = [f"p{k}" for k in range(8)]
 LINK = 85  # per cent of the union
 
 
@@ -56,14 +59,15 @@ def least_hashes(s: np.ndarray) -> np.ndarray:
 
 
 def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band values of both collections, two words of sketch bits) of a non-empty set."""
+    """(band values of both collections, two words of minhash bits and those of the parity sketch) of a non-empty set."""
     low = least_hashes(s)
     value = np.arange(2 * TABLES, dtype=np.uint64)
     for j in range(ROWS):
         value = mix(value * np.uint64(31) + low.reshape(-1, ROWS)[:, j])
     bits = np.zeros(128, np.uint8)
     bits[:BITS] = mix(low) & np.uint64(1)
-    return value, np.packbits(bits).view(np.uint64)
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * len(PARITY)), minlength=64 * len(PARITY)).astype(np.uint8) & 1
+    return value, np.packbits(np.r_[bits, odd]).view(np.uint64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,13 +76,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 1024)
             sets = [shingle_set(t) for t in part.column(2).to_pylist()]
             prints = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in sets]
-            made = [bands(x) if len(x) else (np.empty(0, np.uint64), np.zeros(2, np.uint64)) for x in sets]
+            made = [bands(x) if len(x) else (np.empty(0, np.uint64), np.zeros(2 + len(PARITY), np.uint64)) for x in sets]
             half = lambda shift: pa.array(np.array([(p >> shift) & (2**64 - 1) for p in prints], np.uint64).view(np.int64))
-            sketch = np.array([m[1] for m in made], np.uint64).reshape(-1, 2).view(np.int64)
+            sketch = np.array([m[1] for m in made], np.uint64).reshape(len(made), -1).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), half(64), half(0),
-                long_lists([m[0] for m in made]), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
-            ], names=["_id", "_content", "n", "f0", "f1", "bands", "s0", "s1"])
+                long_lists([m[0] for m in made]), *[pa.array(np.ascontiguousarray(x)) for x in sketch.T],
+            ], names=["_id", "_content", "n", "f0", "f1", "bands", "s0", "s1", *PARITY])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,21 +95,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _may_link(a: str, b: str) -> Column:
     """Neither the sizes nor the sketches of two members rule a link out."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
+    apart = lambda names: reduce(add, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in names])
     p = (1 + LINK / 100) / 2
     most = BITS * (1 - p) + MARGIN * (BITS * p * (1 - p)) ** 0.5
-    return (100 * F.least(n, m) >= LINK * F.greatest(n, m)) & (differ <= int(most))
+    near = (100 + LINK) * apart(PARITY) <= (100 - LINK) * (n + m)
+    return (100 * F.least(n, m) >= LINK * F.greatest(n, m)) & near & (apart(["s0", "s1"]) <= int(most))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the size of the intersection of their full sets and whether they link.
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity.
 
     The set of `a` travels once a pair; that of `b`, often the same leader, is merged in.
     """
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    return both.select("a", "b", "common", ((100 + LINK) * F.col("common") >= LINK * F.col("sizes")).alias("linked"))
+    return both.where((100 + LINK) * F.size(F.array_intersect("sa", "sb")) >= LINK * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def _open(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -117,37 +121,22 @@ def _open(members: DataFrame, component: DataFrame) -> DataFrame:
 
 def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the members of buckets, enough for all components."""
-    meet = lambda df: df.where((F.col("m.rep") != F.col("l.rep")) & _may_link("m", "l")).select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b")).distinct()
-    first = written(members.groupBy("key").agg(F.min("m").alias("l")), "leaders")
-    found = written(_compared(meet(members.join(first, "key")), sets), "compared")
-    links = found.where("linked").select("a", "b")
-    rest = _open(members, components(links, "near", exact=False))
-    if rest.isEmpty():
-        return links
-
-    reps = rest.select(F.col("m.rep").alias("rep")).distinct()
-    single = sets.join(reps, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).where("c = 1")
-    own = written(single.groupBy("rep").agg(F.count(F.lit(1)).alias("own")), "own-shingles")
-    rest = rest.join(own, F.col("m.rep") == own["rep"], "left").select("key", "m", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
-    central = written(rest.groupBy("key").agg(F.min(F.struct("own", "m")).alias("c")).select("key", F.col("c.m").alias("l")), "leaders")
-    rest = written(rest.join(central, "key"), "members")
-    found = written(_compared(meet(rest), sets), "compared")
-    links = links.union(found.where("linked").select("a", "b"))
-    rest = _open(rest, components(links, "near", exact=False))
-    if rest.isEmpty():
-        return links
-
-    missed = F.when(F.col("m.rep") == F.col("l.rep"), 0).otherwise(F.col("l.n") - F.col("common"))
-    rest = rest.join(found, (F.col("m.rep") == found["a"]) & (F.col("l.rep") == found["b"]), "left").withColumn("missed", missed)
-    main = written(rest.where("m.rep = l.rep").select("key", F.col("component").alias("main")).distinct(), "main")
-    rest = written(rest.join(main, "key").select("key", "m", "own", "missed", "component", "main"), "open-members")
-    x, y = rest.where("component <> main").alias("x"), rest.alias("y")
-    apart = F.col("x.own") + F.col("y.own") + F.coalesce(F.abs(F.col("x.missed") - F.col("y.missed")), F.lit(0))
+    links = None
+    for leader in (F.min, F.max):
+        chosen = written(members.groupBy("key").agg(leader("m").alias("l")), "leaders")
+        met = members.join(chosen, "key").where((F.col("m.rep") != F.col("l.rep")) & _may_link("m", "l"))
+        found = written(_linked(met.select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b")).distinct(), sets), "links")
+        links = found if links is None else links.union(found)
+        rest = _open(members.select("key", "m"), components(links, "near"))
+        if rest.isEmpty():
+            return links
+        members = rest
+    main = written(members.groupBy("key").agg(F.min("component").alias("main")), "main")
+    members = written(members.join(main, "key"), "open-members")
+    x, y = members.where("component <> main").alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.m.rep") > F.col("y.m.rep")))
-                   & ((100 + LINK) * apart <= (100 - LINK) * (F.col("x.m.n") + F.col("y.m.n"))) & _may_link("x.m", "y.m"))
-    found = written(_compared(pairs.select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct(), sets), "compared")
-    return links.union(found.where("linked").select("a", "b"))
+                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.m.rep") > F.col("y.m.rep"))) & _may_link("x.m", "y.m"))
+    return links.union(written(_linked(pairs.select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct(), sets), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,18 +148,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answer each.  Other columns are not read; an empty table gives an empty one.
     """
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_content"), F.col(text_col).alias("_text"))
-    sig = written(base.mapInArrow(_signatures, "_id long, _content long, n long, f0 long, f1 long, bands array<bigint>, s0 long, s1 long"), "signatures")
+    sketch = ["s0", "s1", *PARITY]
+    schema = "_id long, _content long, n long, f0 long, f1 long, bands array<bigint>, " + ", ".join(f"{x} long" for x in sketch)
+    sig = written(base.mapInArrow(_signatures, schema), "signatures")
 
-    # Documents of one set are one class, stood for by its smallest id.
-    best = F.min(F.struct("_id", "_content", "bands", "s0", "s1"))
+    # Documents of one set are one class, stood for by its smallest id; one id may still stand for several sets.
+    best = F.min(F.struct("_id", "_content", "bands", *sketch))
     classes = written(sig.where("n > 0 AND _id IS NOT NULL").groupBy("f0", "f1", "n").agg(best.alias("c")).select("f0", "f1", "n", F.col("c._id").alias("rep"), "c.*").drop("_id"), "classes")
 
+    # Only keys and names go through the large shuffle; what else members need joins those that share a bucket.
     a, b = F.slice("bands", 1, TABLES), F.slice("bands", TABLES + 1, TABLES)
     keys = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))
-    # A class with several ids of equal sets was folded; one id may still stand for several sets.
-    hashed = classes.select(F.explode(keys).alias("key"), F.struct("rep", "n", "s0", "s1", "_content").alias("m"))
+    hashed = classes.select(F.explode(keys).alias("key"), "rep", "_content")
     filled = hashed.select("key").groupBy("key").count().where("count > 1").select("key")
-    members = written(hashed.join(filled, "key"), "members")
+    shared = written(hashed.join(filled, "key"), "shared-buckets")
+    known = classes.select("rep", "_content", F.struct("rep", "_content", "n", *sketch).alias("m"))
+    members = written(shared.join(known, ["rep", "_content"]).select("key", "m"), "members")
 
     wanted = members.select("m.rep", "m._content").distinct()
     texts = base.join(wanted, (F.col("_id") == F.col("rep")) & (base["_content"] == wanted["_content"])).select("rep", "_text")
