@@ -92,24 +92,49 @@ def _anchor_places(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(ids[of]), _longs(contents[of]), _longs(first), _longs(n)], names=["anchor", "_id", "_content", "first", "n"])
 
 
-def _stretch_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(id, content, text, runs) to one row a run: anchor, id, content, first window, words, hashes of its windows."""
+def _runs(part: pa.RecordBatch, window: int) -> tuple[list[list[bytes]], np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of rows (id, content, text, runs): words of each text, text of each run, fields of the runs, offsets into the hashes of their windows, and those."""
+    split, h, sizes = hashed(part.column(2).to_pylist())
+    runs, counts = part.column(3).flatten(), pa.compute.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
+    fields = [runs.field(k).to_numpy() for k in range(runs.type.num_fields)]
+    of = np.repeat(np.arange(len(counts)), counts)
+    first, n = fields[:2]
+    offsets = np.r_[0, np.cumsum(n)]
+    begin = (np.cumsum(sizes) - sizes)[of] + first
+    return split, of, fields, offsets, gram_hashes(h, window)[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], n)]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(window, anchor, id) of all windows of runs (first, n, anchor)."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            split, h, sizes = hashed(part.column(2).to_pylist())
-            runs, counts = part.column(3).flatten(), pa.compute.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
-            anchor, first, n = (runs.field(k).to_numpy() for k in range(3))
-            of = np.repeat(np.arange(len(counts)), counts)
-            phrases = [b" ".join(split[t][f:f + k + window - 1]) for t, f, k in zip(of.tolist(), first.tolist(), n.tolist())]
-            offsets = np.r_[0, np.cumsum(n)]
-            begin = (np.cumsum(sizes) - sizes)[of] + first
-            windows = gram_hashes(h, window)[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], n)]
-            ids, contents = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([
-                _longs(anchor), _longs(ids[of]), _longs(contents[of]), _longs(first), pa.array(phrases, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _longs(windows)),
-            ], names=["anchor", "_id", "_content", "first", "phrase", "windows"])
+            _, of, (_, n, anchor), _, windows = _runs(part, window)
+            ids = part.column(0).to_numpy(zero_copy_only=False)[of]
+            yield pa.RecordBatch.from_arrays([_longs(windows), _longs(np.repeat(anchor, n)), _longs(np.repeat(ids, n))], names=["window", "anchor", "_id"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of text, one a run (first, n, shard, parts), and before them patterns: stretches with confirmed windows that first stand in their document."""
+    names = ["shard", "part", "_id", "_content", "first", "phrase", "starts"]
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            split, of, fields, offsets, windows = _runs(part, window)
+            ids, contents, wanted = (part.column(k).to_pylist() for k in (0, 1, 4))
+            known = [set(w or ()) for w in wanted]
+            windows, rows = windows.view(np.int64).tolist(), []
+            for k, (t, first, n, shard, parts) in enumerate(zip(of.tolist(), *[f.tolist() for f in fields])):
+                phrase = b" ".join(split[t][first:first + n + window - 1])
+                rows.append((shard, (ids[t] * 31 + first) % parts, ids[t], contents[t], first, phrase, None))
+                if known[t]:
+                    starts = [j for j, x in enumerate(windows[offsets[k]:offsets[k + 1]]) if x in known[t]]
+                    if starts:
+                        rows += [(shard, p, ids[t], contents[t], first, phrase, starts) for p in range(parts)]
+            if rows:
+                cols = list(zip(*rows))
+                types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types)], names=names)
 
 
 class Automaton:
@@ -155,18 +180,17 @@ class Automaton:
 def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard, patterns before stretches, to covered ranges (id, content, start, n).
 
-    A pattern row has the hashes of its windows and of those that its document is the first to hold.
+    A pattern row has the word offsets of the windows that its document is the first to hold.
     """
     shard, machine = None, None
     for batch in batches:
         out: list[tuple] = []
         for at in range(0, batch.num_rows, 4096):
-            for s, i, c, first, phrase, windows, wanted in zip(*[x.to_pylist() for x in batch.slice(at, 4096).columns]):
-                if s != shard:
-                    shard, machine = s, Automaton(window)
-                if wanted is not None:
-                    wanted = set(wanted)
-                    machine.add(phrase, [k for k, x in enumerate(windows) if x in wanted], i)
+            for s, p, i, c, first, phrase, starts in zip(*[x.to_pylist() for x in batch.slice(at, 4096).columns]):
+                if (s, p) != shard:
+                    shard, machine = (s, p), Automaton(window)
+                if starts is not None:
+                    machine.add(phrase, starts, i)
                     continue
                 if machine.machine is None:
                     machine.compile()
@@ -230,33 +254,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = named.mapInArrow(lambda b: _sequence_anchors(b, window), "anchor long, sequence long")
     recurring = written(pairs.groupBy("anchor").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi")).where("lo <> hi").select("anchor"), "anchors")
     places = named.mapInArrow(lambda b: _anchor_places(b, window), "anchor long, _id long, _content long, first long, n long").join(recurring, "anchor", "left_semi")
-    runs = (places.groupBy("_id", "_content").agg(F.collect_set(F.struct("anchor", "first", "n")).alias("runs"))
-            .join(copies.where("NOT copy").select("_id", "_content"), ["_id", "_content"], "left_semi"))
-    runs = written(runs, "runs")
+    places = written(places.join(copies.where("NOT copy").select("_id", "_content"), ["_id", "_content"], "left_semi"), "places")
 
-    texts = base.join(runs, ["_id", "_content"]).select("_id", "_content", "_text", "runs")
-    schema = "anchor long, _id long, _content long, first long, phrase binary, windows array<bigint>"
-    stretches = written(texts.mapInArrow(lambda b: _stretch_batches(b, window), schema), "stretches")
+    def with_text(runs: DataFrame) -> DataFrame:
+        return base.join(runs, ["_id", "_content"]).select("_id", "_content", "_text", *[c for c in runs.columns if c[0] != "_"])
 
     # A window has one anchor, so the anchor as a second key changes no group.
-    each = stretches.select("anchor", "_id", F.explode("windows").alias("window"))
+    runs = places.groupBy("_id", "_content").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs"))
+    each = with_text(runs).mapInArrow(lambda b: _windows(b, window), "window long, anchor long, _id long")
     confirmed = written(each.groupBy("window", "anchor").agg(F.min("_id").alias("_id"), F.max("_id").alias("hi")).where("_id < hi").select("anchor", "_id", "window"), "confirmed")
 
     shards = max(1, -(-confirmed.count() // SHARD_PATTERNS))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    wanted = confirmed.groupBy("anchor", "_id").agg(F.collect_set("window").alias("wanted"))
-    patterns = stretches.join(wanted, ["anchor", "_id"]).withColumn("shard", shard)
-    used = stretches.join(confirmed.select("anchor").distinct(), "anchor", "left_semi").withColumn("shard", shard)
+    used = places.join(confirmed.select("anchor").distinct(), "anchor", "left_semi").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     parts = written(used.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_STRETCHES).cast("long").alias("parts")), "shard-parts")
-    split = patterns.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    none = F.lit(None).cast("array<bigint>")
-    dealt = used.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("_id", "first"), F.col("parts"))).withColumn("windows", none).withColumn("wanted", none)
-    cols = lambda df: df.select(F.struct("shard", "part").alias("shard"), "_id", "_content", "first", "phrase", "windows", "wanted")
-    both = cols(split).unionByName(cols(dealt)).repartition("shard").sortWithinPartitions("shard", F.col("wanted").isNull())
-    located = both.withColumn("shard", F.concat_ws("-", "shard.shard", "shard.part")).mapInArrow(lambda b: _locate(b, window), "_id long, _content long, start long, n long")
+    runs = used.join(parts, "shard").groupBy("_id", "_content").agg(F.collect_set(F.struct("first", "n", "shard", "parts")).alias("runs"))
+    wanted = confirmed.groupBy("_id").agg(F.collect_set("window").alias("wanted"))
+    runs = written(runs.join(wanted, "_id", "left"), "runs")
+    dealt = with_text(runs).mapInArrow(lambda b: _dealt(b, window), "shard long, part long, _id long, _content long, first long, phrase binary, starts array<int>")
+    both = dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("starts").isNull())
+    located = both.mapInArrow(lambda b: _locate(b, window), "_id long, _content long, start long, n long")
 
     ranges = located.union(copies.where("copy").select("_id", "_content", F.lit(0).cast("long"), "n_words"))
     ranges = written(ranges.groupBy("_id", "_content").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), "ranges")
-    discard(stretches, confirmed, runs, recurring)
+    discard(places, confirmed, runs, recurring)
     out = base.join(ranges, ["_id", "_content"], "left").select(F.col("_id").alias("doc_id"), "_text", "ranges")
     return out.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
