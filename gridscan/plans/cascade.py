@@ -166,16 +166,24 @@ def pixels_of_reads(px: DataFrame, reads: DataFrame, ts: int, margin: int) -> Da
 
 
 def score_new_granules(wide: DataFrame, acceptance: DataFrame, features: Stage, scorers: dict[str, Stage], thresholds: dict[str, float] | None,
-                       strict: bool = True) -> DataFrame:
-    """Acceptance first, then features, then side-by-side scores; no labels needed.
+                       strict: bool = True, chips: Stage | None = None) -> DataFrame:
+    """Acceptance first, then features and chips, then side-by-side scores; no labels needed.
 
-    strict: a failed granule stops the job; otherwise it is left out.
+    Every tile of every granule comes back with `accepted`; in a rejected granule all else is NULL and nothing
+    is computed.  A granule without a report is not accepted.  strict: a failed granule stops the job instead.
+    `features` and `chips`: pixels of accepted granules -> one row per tile.
     """
     from gridscan.operators.checks import verdict
     from gridscan.operators.models import score_side_by_side
-    v = verdict(acceptance, ["granule_id"])
+    v = verdict(acceptance, ["granule_id"]).select("granule_id", "accepted")
     if strict:
         stop = F.raise_error(F.concat(F.lit("granule failed acceptance: "), F.col("granule_id"))).cast("boolean")
         v = v.where(F.when(F.col("accepted"), F.lit(True)).otherwise(stop))
-    ok = v.where("accepted").select("granule_id")
-    return score_side_by_side(features(wide.join(ok, "granule_id", "left_semi")), scorers, thresholds)
+    tiles = wide.select(*TILE).distinct().join(v, "granule_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    ok = wide.join(v.where("accepted").select("granule_id"), "granule_id", "left_semi")
+    scored = score_side_by_side(features(ok), scorers, thresholds)
+    out = scatter_back(tiles, scored, TILE, [c for c in scored.columns if c not in TILE])
+    if chips is not None:
+        cut = chips(ok)
+        out = scatter_back(out, cut, TILE, [c for c in cut.columns if c not in TILE])
+    return out

@@ -15,8 +15,9 @@ from gridscan.operators.joins import common_box, match_ground
 from gridscan.operators.splits import map_blocks
 from gridscan.plans import cascade as CA
 from gridscan.queries import views as V
-from gridscan.queries.checking import granule_report
+from gridscan.queries.checking import REPORT, granule_report
 from gridscan.queries.evaluating import speckle_tiles
+from gridscan.queries.featuring import _X1 as RADIOMETRIC
 from gridscan.queries.grids import px_headers
 from gridscan.queries.joining import _TP, box_pairs, tile_p, two_granules
 from gridscan.queries.registry import query
@@ -165,12 +166,18 @@ def _(spark, sf):
     return d.select("vec_id", F.round("p_full", 6).alias("p_full"), F.round("p_oof", 6).alias("p_oof"))
 
 
-@query("m10_new_granules")
+@query("m10_new_granules", REPORT + """, vd AS (SELECT granule_id, count(*) FILTER (status = 'fail') = 0 AS accepted FROM o GROUP BY 1)""" + RADIOMETRIC + """,
+    cp AS (SELECT granule_id, (r // 16) * 16 AS "row", (c // 16) * 16 AS col, count(DISTINCT 100 * (r // 2) + c // 2) AS n_chips FROM pols GROUP BY 1, 2, 3),
+    sc AS (SELECT *, CASE WHEN accepted AND ok THEN least(1.0, greatest(0.0, ratio_logstd)) END AS p FROM x1 JOIN vd USING (granule_id))
+    SELECT granule_id, "row", col, accepted, round(p, 6) AS p_rule, p >= 0.4 AS flag_rule, CASE WHEN accepted THEN n_chips END AS n_chips
+    FROM sc JOIN cp USING (granule_id, "row", col)""", "pt pols")
 def _(spark, sf):
-    rep = granule_report(spark, sf).where("name <> 'label grid alignment'")
-    d = CA.score_new_granules(with_tile(V.pols(spark, sf), V.TS), rep, lambda w: X.radiometric_features(w, V.TS),
-                              {"rule": lambda x: x.withColumn("p_rule", S.clip(F.col("ratio_logstd"), 0.0, 1.0))}, {"rule": 0.4}, strict=False)
-    return d.select(*TILE, "p_rule", "flag_rule")
+    """Granules N* fail the alignment check of the report; their tiles stay, unscored."""
+    bands = ["hh", "hv", "vh", "vv"]
+    d = CA.score_new_granules(with_tile(V.pols(spark, sf), V.TS), granule_report(spark, sf), lambda w: X.radiometric_features(w, V.TS),
+                              {"rule": lambda x: x.withColumn("p_rule", S.clip(F.col("ratio_logstd"), 0.0, 1.0))}, {"rule": 0.4}, strict=False,
+                              chips=lambda w: X.chips(w, V.TS, 2, bands).withColumnRenamed("n", "n_chips"))
+    return d.select("granule_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "accepted", F.round("p_rule", 6).alias("p_rule"), "flag_rule", F.col("n_chips").cast("long").alias("n_chips"))
 
 
 @query("e15_block_buffer_sweep")
