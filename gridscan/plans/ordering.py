@@ -22,7 +22,7 @@ _ZERO = 1100 * BINS_PER_OCTAVE  # beyond the exponent range of a double
 
 
 def value_bin(v: Column) -> Column:
-    """Order-preserving bin of a finite number: 1024 bins per power of two, on each side of zero."""
+    """Order-preserving bin: 1024 per power of two on each side of zero, one each for -infinity, infinity and NaN (last)."""
     v = v.cast("double")
 
     def mag(x: Column) -> Column:
@@ -30,7 +30,9 @@ def value_bin(v: Column) -> Column:
 
     # Never NULL: a nullable bin would add an inferred filter to one side of the rank joins, and the two
     # sides could then no longer share one exchange.
-    return F.coalesce(F.when(v > 0, mag(v)).when(v < 0, -mag(-v)), F.lit(0).cast("long"))
+    edge, beyond = F.lit(2 * _ZERO).cast("long"), F.lit(2 * _ZERO + 1).cast("long")
+    infinite = F.lit(float("inf"))
+    return F.coalesce(F.when(F.isnan(v), beyond).when(v == infinite, edge).when(v == -infinite, -edge).when(v > 0, mag(v)).when(v < 0, -mag(-v)), F.lit(0).cast("long"))
 
 
 def _bin_starts(binned: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -138,5 +140,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     qs = []
     for i, p in enumerate(probs):
         h = (n - 1) * F.lit(float(p))
-        qs.append(at[i, 0] + (at[i, 1] - at[i, 0]) * (h - F.floor(h)))
+        step = (at[i, 1] - at[i, 0]) * (h - F.floor(h))
+        # Between equal ends (two infinities too) there is nothing to add.
+        qs.append(F.when(at[i, 0] == at[i, 1], at[i, 0]).otherwise(at[i, 0] + step))
     return hits.groupBy(*by).agg(F.array(*qs).alias(name), n.alias("n"))

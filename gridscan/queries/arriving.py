@@ -30,7 +30,7 @@ def _(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("y02_drop_redelivered")
+@query("y02_drop_redelivered", "SELECT DISTINCT granule, tile FROM arr", "arr")
 def _(spark, sf):
     out, ck = sink(spark)
     ST.run(ST.append_to(ST.drop_redelivered(arrivals(spark, sf), ["granule", "tile"]), out, ck))

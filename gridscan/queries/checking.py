@@ -79,8 +79,12 @@ def _(spark, sf):
     return d.select("grp", "name", "status", F.round("measured", 6).alias("measured"))
 
 
-@query("v04_stored_equals_recomputed", """SELECT 'stored equals recomputed' AS name, 'ok' AS status, 0.0::DOUBLE AS measured FROM (SELECT count(*) FROM px)
-    UNION ALL SELECT 'same keys', 'ok', 0.0::DOUBLE""", "px")
+@query("v04_stored_equals_recomputed", """, a AS (SELECT granule_id, "row", col, count(*) FILTER (cls = 1) / 256.0 AS f FROM pt GROUP BY 1, 2, 3),
+    b4 AS (SELECT granule_id, r // 4 AS br, c // 4 AS bc, count(*) FILTER (cls = 1) AS n FROM px GROUP BY 1, 2, 3),
+    b AS (SELECT granule_id, (br // 4) * 16 AS "row", (bc // 4) * 16 AS col, sum(n) / 256.0 AS g FROM b4 GROUP BY 1, 2, 3),
+    j AS (SELECT max(abs(f - g)) AS d, count(*) FILTER (f IS NULL OR g IS NULL) AS missing FROM a FULL JOIN b USING (granule_id, "row", col))
+    SELECT 'stored equals recomputed' AS name, CASE WHEN d < 1e-6 AND missing = 0 THEN 'ok' ELSE 'fail' END AS status, CAST(d AS DOUBLE) AS measured FROM j
+    UNION ALL SELECT 'same keys', CASE WHEN missing = 0 THEN 'ok' ELSE 'fail' END, CAST(missing AS DOUBLE) FROM j""", "pt")
 def _(spark, sf):
     d = V.px(spark, sf)
     stored = tile_fractions(d, d, V.TS, 4).select("granule_id", "row", "col", F.col("aoi_pos_frac").alias("f"))
@@ -89,13 +93,13 @@ def _(spark, sf):
     return r.select("name", "status", "measured")
 
 
-@query("v05_pinned_funnel", """, t AS (SELECT granule_id, "row", col, count(v) / 256.0 AS vf, count(*) FILTER (v > 60000) / CAST(count(v) AS DOUBLE) AS p FROM pt GROUP BY 1, 2, 3)
-    SELECT unnest(['candidates', 'valid', 'flagged']) AS name, unnest(['ok', 'ok', 'fail']) AS status,
-      unnest([CAST(count(*) AS DOUBLE), count(*) FILTER (vf >= 0.1), count(*) FILTER (vf >= 0.5 AND p >= 0.35)]) AS measured FROM t""", "pt")
+@query("v05_pinned_funnel", """, t AS (SELECT granule_id, "row", col, count(v) / 256.0 AS vf, count(*) FILTER (v > 60000) / CAST(count(v) AS DOUBLE) AS p FROM pt GROUP BY 1, 2, 3),
+    f AS (SELECT count(*) AS c, count(*) FILTER (vf >= 0.1) AS v, count(*) FILTER (vf >= 0.3 AND p >= 0.55) AS g, (SELECT count(*) FROM (SELECT DISTINCT granule_id, r // 16, c // 16 FROM px)) AS n FROM t)
+    SELECT unnest(['candidates', 'valid', 'flagged']) AS name, CASE WHEN unnest([c, v, g]) = n THEN 'ok' ELSE 'fail' END AS status, CAST(unnest([c, v, g]) AS DOUBLE) AS measured FROM f""", "pt")
 def _(spark, sf):
     t = with_tile(V.px(spark, sf), V.TS).groupBy("granule_id", "row", "col").agg(
         (F.count("v") / 256).alias("vf"), (F.count_if(F.col("v") > 60000) / F.nullif(F.count("v"), F.lit(0))).alias("p"))
     f = t.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("vf") >= 0.1).alias("valid"),
-              F.count_if((F.col("vf") >= 0.5) & (F.col("p") >= 0.35)).alias("flagged"))
+              F.count_if((F.col("vf") >= 0.3) & (F.col("p") >= 0.55)).alias("flagged"))
     n = V.px(spark, sf).select("granule_id", F.floor(F.col("r") / 16), F.floor(F.col("c") / 16)).distinct().count()
-    return C.pinned(f, {"candidates": n, "valid": n, "flagged": -1}).select("name", "status", "measured")
+    return C.pinned(f, {"candidates": n, "valid": n, "flagged": n}).select("name", "status", "measured")

@@ -104,12 +104,10 @@ def _(spark, sf):
     return out(ST.median_filter(image(spark, sf), "a", 3, TS), med="med")
 
 
-_GRAD = DEN + """, gd AS (SELECT d.*, CASE WHEN d.r = d."row" THEN s.a - d.a WHEN d.r = d."row" + 15 THEN d.a - n.a ELSE (s.a - n.a) / 2 END AS gr,
-      CASE WHEN d.c = d.col THEN e.a - d.a WHEN d.c = d.col + 15 THEN d.a - w.a ELSE (e.a - w.a) / 2 END AS gc FROM den d
-    LEFT JOIN den s ON s.granule_id = d.granule_id AND s."row" = d."row" AND s.r = d.r + 1 AND s.c = d.c
-    LEFT JOIN den n ON n.granule_id = d.granule_id AND n."row" = d."row" AND n.r = d.r - 1 AND n.c = d.c
-    LEFT JOIN den e ON e.granule_id = d.granule_id AND e.col = d.col AND e.r = d.r AND e.c = d.c + 1
-    LEFT JOIN den w ON w.granule_id = d.granule_id AND w.col = d.col AND w.r = d.r AND w.c = d.c - 1)"""
+_GRAD = DEN + """, sh AS (SELECT *, lead(a) OVER (PARTITION BY granule_id, c ORDER BY r) AS s_, lag(a) OVER (PARTITION BY granule_id, c ORDER BY r) AS n_,
+      lead(a) OVER (PARTITION BY granule_id, r ORDER BY c) AS e_, lag(a) OVER (PARTITION BY granule_id, r ORDER BY c) AS w_ FROM den),
+    gd AS (SELECT granule_id, r, c, "row", col, lv, a, CASE WHEN r = "row" THEN s_ - a WHEN r = "row" + 15 THEN a - n_ ELSE (s_ - n_) / 2 END AS gr,
+      CASE WHEN c = col THEN e_ - a WHEN c = col + 15 THEN a - w_ ELSE (e_ - w_) / 2 END AS gc FROM sh)"""
 
 
 @query("w08_gradient", _GRAD + " SELECT granule_id, r, c, round(gr, 6) AS gr, round(gc, 6) AS gc FROM gd", "px")

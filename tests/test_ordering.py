@@ -106,3 +106,18 @@ def test_draw_is_prefix_stable(spark):
     a = {r.k for r in T.draw(df, 20, ["k"]).collect()}
     b = {r.k for r in T.draw(df, 60, ["k"]).collect()}
     assert len(a) == 20 and a < b
+
+
+def test_values_beyond_the_numbers(spark):
+    """NaN sorts last and infinities at the ends, as in `percentile`."""
+    inf, nan = float("inf"), float("nan")
+    rows = [("n", x) for x in (1.0, 2.0, 1e6, 2e6, 3e6, nan)] + [("i", x) for x in (-inf, -inf, 0.0, 5.0, inf, inf, inf)] + [("e", 7.0)] * 5 + [("a", nan)] * 3
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.5, 1.0]
+    got = {r.g: r.q for r in O.exact_quantiles(df, "x", probs, ["g"]).collect()}
+    for r in df.groupBy("g").agg(*[F.percentile("x", F.lit(p)).alias(f"p{i}") for i, p in enumerate(probs)]).collect():
+        np.testing.assert_equal(got[r.g], list(r[1:]))
+    placed = O.value_position(df.withColumn("i", F.monotonically_increasing_id()), ["g"], "x", ["i"], "rn").toPandas()
+    for g, part in placed.groupby("g"):
+        x = part.sort_values("rn").x.to_numpy()
+        np.testing.assert_equal(x, np.sort(x))
