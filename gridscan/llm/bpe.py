@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 # Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -173,7 +173,10 @@ def encode_block(vocabulary: Vocabulary, texts: list[str | None], split: Splitte
     packed = ids.astype("<u4").tobytes()
     cuts = [0, *(ends * 4).tolist()]
     pieces = [packed[a:b] for a, b in zip(cuts, cuts[1:])]
-    return [b"".join([pieces[p] if p >= 0 else (-1 - p).to_bytes(4, "little") for p in out]) for out in parts]
+    # Added tokens stand after the pieces, so that a negative number finds theirs.
+    added = max(vocabulary.added.values(), default=-1) + 1
+    pieces += [k.to_bytes(4, "little") for k in range(added - 1, -1, -1)]
+    return [b"".join(map(pieces.__getitem__, out)) for out in parts]
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
