@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridscan.functions.stats import n_true
 from gridscan.operators.filters import assert_not_empty
 from gridscan.operators.joins import outside_boxes, outside_tiles
-from gridscan.plans.ordering import hash_position, order_key, position_in_bins, running_totals, value_position
+from gridscan.plans.ordering import hash_position, order_key, position_in_bins, running_totals, value_bin, value_position
 from gridscan.schema import SEED
 
 
@@ -140,10 +140,16 @@ def stratified_folds(df: DataFrame, k: int, key: Sequence[str], y: str = "y", se
     return d.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
 
 
-def group_folds(df: DataFrame, k: int, group: Sequence[str], y: str = "y") -> DataFrame:
-    """Whole groups to folds: groups by falling size are dealt back and forth (0..k-1, k-1..0, ...)."""
-    g = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    g = value_position(g, [], "_n", list(group), "_rn", descending=True)
+def group_folds(df: DataFrame, k: int, group: Sequence[str], y: str = "y", seed: int = SEED) -> DataFrame:
+    """Stratified group folds: whole groups, dealt back and forth (0..k-1, k-1..0, ...) by falling class counts.
+
+    Groups go by positives, then by other rows, then in seeded order, so each fold gets its share of the groups
+    rich and poor in positives.  Only the group table is ranked, and groups of equal counts share no single bin.
+    """
+    pos = n_true(F.col(y) == 1)
+    g = df.groupBy(*group).agg(pos.alias("_p"), (F.count(F.lit(1)) - pos).alias("_n")).withColumn("_h", order_key(seed, *group))
+    bins = F.struct((-value_bin(F.col("_p"))).alias("p"), (-value_bin(F.col("_n"))).alias("n"), F.substring("_h", 1, 1).alias("h"))
+    g = position_in_bins(g, [], bins, ["_h", *group], "_rn")
     i = (F.col("_rn") - 1) % (2 * k)
     g = g.withColumn("fold", F.when(i < k, i).otherwise(2 * k - 1 - i).cast("int")).select(*group, "fold")
     return df.join(g, list(group))

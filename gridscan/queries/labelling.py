@@ -164,8 +164,8 @@ def _(spark, sf):
     return SP.stratified_folds(V.feat(spark, sf), 5, ["vec_id"]).select("vec_id", "fold")
 
 
-@query("l12_group_folds", """, f AS (SELECT vec_id, ti // 4 AS br, tj // 4 AS bc FROM feat), g AS (SELECT br, bc, count(*) AS n FROM f GROUP BY 1, 2),
-    r AS (SELECT *, (row_number() OVER (ORDER BY n DESC, br, bc) - 1) % 10 AS i FROM g)
+@query("l12_group_folds", """, f AS (SELECT vec_id, y, ti // 4 AS br, tj // 4 AS bc FROM feat), g AS (SELECT br, bc, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS n FROM f GROUP BY 1, 2),
+    r AS (SELECT *, (row_number() OVER (ORDER BY p DESC, n DESC, md5(concat('42|', br, '|', bc)), br, bc) - 1) % 10 AS i FROM g)
     SELECT vec_id, CAST(CASE WHEN i < 5 THEN i ELSE 9 - i END AS INTEGER) AS fold FROM f JOIN r USING (br, bc)""", "feat")
 def _(spark, sf):
     return SP.group_folds(SP.tile_blocks(V.feat(spark, sf), 4), 5, ["br", "bc"]).select("vec_id", "fold")

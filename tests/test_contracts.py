@@ -210,3 +210,23 @@ def test_presets(spark):
         P.build("quad_pol", F.col("p"), F.col("p"), {"threshold": 0.3})
     run = P.build("single_pol", F.col("p"), F.col("p"), {"threshold": 0.5})
     assert run(stack(spark)).count() == 12
+
+
+def test_group_folds_are_stratified(spark):
+    """Whole groups in one fold, each class shared out evenly, also when all groups are of one size."""
+    import numpy as np
+    from gridscan.operators.splits import group_folds
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(i), int(rng.random() < (0.9 if g % 7 == 0 else 0.05))) for g in range(140) for i in range(20)]
+    d = group_folds(spark.createDataFrame(rows, "g int, i int, y int"), 5, ["g"]).toPandas()
+    assert len(d) == len(rows) and (d.groupby("g").fold.nunique() == 1).all()
+    share = d.groupby("fold").y.sum() / d.y.sum()
+    assert (abs(share - 0.2) < 0.02).all() and (abs(d.groupby("fold").size() / len(d) - 0.2) < 0.02).all()
+
+
+def test_out_of_fold_keeps_rows_without_a_fold(spark):
+    from gridscan.operators.models import out_of_fold
+    d = spark.range(90).selectExpr("id", "id % 2 y", "cast(id % 2 + rand(1) as double) f", "if(id < 10, null, id % 3) fold")
+    got = out_of_fold(d, "fold", ["f"], numTrees=3, maxDepth=2)
+    assert got.count() == 90 and got.where("oof IS NULL").count() == 10
+    assert out_of_fold(d.where("false"), "fold", ["f"]).count() == 0
