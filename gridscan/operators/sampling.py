@@ -16,13 +16,10 @@ from gridscan.plans.ordering import hash_position, order_key, position_in_bins,
 from gridscan.schema import SEED, TILE
 
 
-GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
-
-
 def _first_per_group(df: DataFrame, n: int, by: Sequence[str], order: Sequence, ranked) -> DataFrame:
-    """First n rows per group.  Up to GROUP_LIMIT Spark prunes before the shuffle; beyond it `ranked(df, name)`
-    ranks bin by bin, so that no group is sorted in one task."""
-    if n <= GROUP_LIMIT:
+    """First n rows per group.  While the session lets Spark prune groups of n before the shuffle, a plain
+    window does; beyond that `ranked(df, name)` ranks bin by bin, so that no group is sorted in one task."""
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         d = df.withColumn("_first", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
     else:
         d = ranked(df, "_first")
@@ -51,10 +48,10 @@ def every_kth(tiles: DataFrame, k: int, by: Sequence[str] = ("granule_id",)) ->
     return p.where((F.col("_pos") - 1) % k == 0).drop("_pos")
 
 
-def sample_valid(tiles: DataFrame, n: int, valid: Column, seed: int = SEED, every: int = 5, by: Sequence[str] = ("granule_id",)) -> DataFrame:
-    """n random tiles among the first 3n valid ones of a systematic scan; random tiles where none is valid."""
+def sample_valid(tiles: DataFrame, n: int, valid: Column, seed: int = SEED, every: int = 5, by: Sequence[str] = ("granule_id",), scan: int = 3) -> DataFrame:
+    """n random tiles among the first scan x n valid ones of a systematic scan; random tiles where none is valid."""
     cand = every_kth(tiles, every, by).where(valid)
-    cand = _first_per_group(cand, 3 * n, by, ["row", "col"], lambda d, c: position_in_bins(
+    cand = _first_per_group(cand, scan * n, by, ["row", "col"], lambda d, c: position_in_bins(
         d, by, F.coalesce(F.col("row").cast("long"), F.lit(0)), ["row", "col"], c)).drop("_first")
     good = draw(cand, n, TILE, seed, by)
     rest = tiles.join(cand.select(*by).distinct(), list(by), "left_anti")

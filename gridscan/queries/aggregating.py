@@ -195,7 +195,7 @@ def _(spark, sf):
     return A.ensemble_mean(li, ["tile", "pix"], "p").withColumn("p", F.round("p", 6))
 
 
-@query("a23_spacings", """SELECT round(px_m + (height % 4) * 0.1, 4) AS px_m, count(*) AS n, max(y) = 1 AS seen_positive FROM gran GROUP BY 1""", "gran")
+@query("a23_spacings", """SELECT round(px_m + (height % 20) * 0.1, 4) AS px_m, count(*) AS n, max(y) = 1 AS seen_positive FROM gran GROUP BY 1""", "gran")
 def _(spark, sf):
-    g = V.gran(spark, sf).withColumn("px_m", F.col("px_m") + (F.col("height") % 4) * 0.1)
+    g = V.gran(spark, sf).withColumn("px_m", F.col("px_m") + (F.col("height") % 20) * 0.1)
     return A.spacings(g, "y")

@@ -48,12 +48,12 @@ def _(spark, sf):
                     F.round("coarse_frac", 6).alias("coarse_frac"))
 
 
-@query("f03_coarse_all_bands", """, cell AS (SELECT granule_id, r // 4 AS cr, c // 4 AS cc, count(hh) > 0 AND count(hv) > 0
+@query("f03_coarse_all_bands", """, cell AS (SELECT granule_id, r // 2 AS cr, c // 2 AS cc, count(hh) > 0 AND count(hv) > 0
       AND count(vh) > 0 AND count(vv) > 0 AS ok FROM pols GROUP BY 1, 2, 3)
-    SELECT granule_id, (cr // 4) * 16 AS "row", (cc // 4) * 16 AS col, round(count(*) FILTER (ok) / 16.0, 6) AS valid_frac
+    SELECT granule_id, (cr // 8) * 16 AS "row", (cc // 8) * 16 AS col, round(count(*) FILTER (ok) / 64.0, 6) AS valid_frac
     FROM cell GROUP BY 1, 2, 3""", "pols")
 def _(spark, sf):
-    d = FL.coarse_valid_all_bands(V.pols(spark, sf), 4, V.TS, BANDS)
+    d = FL.coarse_valid_all_bands(V.pols(spark, sf), 2, V.TS, BANDS)
     return d.select("granule_id", "row", "col", F.round("valid_frac", 6).alias("valid_frac"))
 
 

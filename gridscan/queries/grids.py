@@ -51,13 +51,14 @@ def _(spark, sf):
 
 
 @query("g02_data_bounds", """, d AS (SELECT granule_id, r // 4 AS dr, c // 4 AS dc FROM px
-      WHERE r % 4 = 2 AND c % 4 = 2 AND v > 50000),
+      WHERE r % 4 = 2 AND c % 4 = 2 AND v > 50000 AND r >= CASE WHEN granule_id LIKE 'N%' THEN 30 ELSE 12 END AND c < 70),
     h AS (SELECT DISTINCT granule_id FROM px)
     SELECT granule_id, min(dr) * 4 AS row_min, least((max(dr) + 1) * 4, 96) AS row_max, min(dc) * 4 AS col_min,
       least((max(dc) + 1) * 4, 96) AS col_max, round(count(dr) * 100.0 / (24 * 24), 6) AS coverage_percent
     FROM h LEFT JOIN d USING (granule_id) GROUP BY 1""", "px")
 def _(spark, sf):
-    d = V.px(spark, sf).withColumn("v", F.when(F.col("v") > 50000, F.col("v")))
+    inside = (F.col("v") > 50000) & (F.col("r") >= F.when(F.col("granule_id").startswith("N"), 30).otherwise(12)) & (F.col("c") < 70)
+    d = V.px(spark, sf).withColumn("v", F.when(inside, F.col("v")))
     b = G.data_bounds(d, px_headers(spark, sf), 4)
     return b.select("granule_id", "row_min", "row_max", "col_min", "col_max",
                     F.round("coverage_percent", 6).alias("coverage_percent"))

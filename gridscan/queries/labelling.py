@@ -57,8 +57,8 @@ _GRID = """, gh AS (SELECT DISTINCT granule_id FROM px), ga AS (SELECT granule_i
     ds AS (SELECT a.granule_id, a.ti, a.tj, min(sqrt((a.ti - b.ti) * (a.ti - b.ti) + (a.tj - b.tj) * (a.tj - b.tj))) AS dist FROM g a JOIN g b ON b.granule_id = a.granule_id AND b.pf > 0 GROUP BY 1, 2, 3)"""
 
 
-@query("l01_derive_labels", _GRID + """, lb AS (SELECT granule_id, ti, tj, pf, dist, CASE WHEN pf > 0.006 OR pf >= 0.004 THEN 'positive' WHEN pf = 0 AND (dist IS NULL OR dist >= 1) AND (dist IS NULL OR dist <= 3) THEN 'none' END AS label,
-      CASE WHEN pf > 0 AND pf <= 0.006 AND pf >= 0.004 THEN 'hard' ELSE 'core' END AS tier FROM g LEFT JOIN ds USING (granule_id, ti, tj) WHERE df >= 0.4)
+@query("l01_derive_labels", _GRID + """, lb AS (SELECT granule_id, ti, tj, pf, dist, CASE WHEN pf > 0.006 OR pf >= 0.003 THEN 'positive' WHEN pf = 0 AND (dist IS NULL OR dist >= 1) AND (dist IS NULL OR dist <= 3) THEN 'none' END AS label,
+      CASE WHEN pf > 0 AND pf <= 0.006 AND pf >= 0.003 THEN 'hard' ELSE 'core' END AS tier FROM g LEFT JOIN ds USING (granule_id, ti, tj) WHERE df >= 0.4)
     SELECT granule_id, CAST(ti AS INTEGER) AS ti, CAST(tj AS INTEGER) AS tj, round(pf, 6) AS aoi_pos_frac, label, tier, round(dist * 2.56, 6) AS dist_km FROM lb WHERE label IS NOT NULL""", "px")
 def _(spark, sf):
     d = V.px(spark, sf)
@@ -66,7 +66,7 @@ def _(spark, sf):
     g = tile_grid(px_headers(spark, sf), V.TS).select("granule_id", "row", "col").join(fr, ["granule_id", "row", "col"], "left")
     g = g.select("granule_id", (F.col("row") / 16).cast("int").alias("ti"), (F.col("col") / 16).cast("int").alias("tj"),
                  F.coalesce("aoi_pos_frac", F.lit(0.0)).alias("aoi_pos_frac"), F.coalesce("data_frac", F.lit(0.0)).alias("data_frac"))
-    o = L.derive_labels(g, "positive", pos=0.006, min_data=0.4, neg_buffer=1, neg_max=3, hard_min=0.004)
+    o = L.derive_labels(g, "positive", pos=0.006, min_data=0.4, neg_buffer=1, neg_max=3, hard_min=0.003)
     return o.select("granule_id", "ti", "tj", F.round("aoi_pos_frac", 6).alias("aoi_pos_frac"), "label", "tier", F.round("dist_km", 6).alias("dist_km"))
 
 

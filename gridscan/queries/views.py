@@ -55,7 +55,7 @@ def ctx(spark, sf) -> DataFrame:
     return p.groupBy(
         (F.floor(F.col("p_partkey") / 6) % 6).cast("int").alias("gi"),
         (F.col("p_partkey") % 6).cast("int").alias("gj"),
-    ).agg(F.max("p_size").alias("vel"), F.min(F.col("p_size") % 5).alias("cls"))
+    ).agg((F.sum("p_size") % 50).cast("int").alias("vel"), (F.sum("p_size") % 5).cast("int").alias("cls"))
 
 
 def gran(spark, sf) -> DataFrame:
@@ -132,7 +132,7 @@ CTES = {
         max(CASE WHEN l_discount > 0.01 THEN l_extendedprice * (1 - l_discount) END) AS vv
         FROM lineitem GROUP BY 1, 2, 3)""",
     "ctx": """ctx AS (SELECT CAST((p_partkey // 6) % 6 AS INTEGER) AS gi, CAST(p_partkey % 6 AS INTEGER) AS gj,
-        max(p_size) AS vel, min(p_size % 5) AS cls FROM part GROUP BY 1, 2)""",
+        CAST(sum(p_size) % 50 AS INTEGER) AS vel, CAST(sum(p_size) % 5 AS INTEGER) AS cls FROM part GROUP BY 1, 2)""",
     "gran": """gran AS (SELECT concat('G', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS granule_id,
         CAST(40 + s_suppkey % 60 AS INTEGER) AS height, CAST(50 + (s_suppkey * 7) % 40 AS INTEGER) AS width,
         CASE WHEN s_nationkey % 2 = 0 THEN CAST(2.5 AS DOUBLE) ELSE CAST(5.0 AS DOUBLE) END AS px_m,

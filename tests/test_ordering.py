@@ -92,12 +92,13 @@ def test_spaced_pick_equals_sequential_greedy(spark, sep):
     assert {(r.ti, r.tj) for r in T.spaced_pick(df, sep, n=9).collect()} == set(taken[:9])
 
 
-def test_large_per_group_draws_take_the_binned_way(spark, monkeypatch):
+def test_large_per_group_draws_take_the_binned_way(spark):
     df = spark.range(900).select(F.col("id").alias("k"), (F.col("id") % 2).alias("g"), F.sin("id").alias("p"), F.lit("tp").alias("cls"))
     want = [T.draw(df, 40, ["k"], by=["g"]), T.per_class(df, 40, "cls", "p", ["k"])]
     want = [{(r.k, r.g) for r in w.collect()} for w in want]
-    monkeypatch.setattr(T, "GROUP_LIMIT", 10)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
     got = [T.draw(df, 40, ["k"], by=["g"]), T.per_class(df, 40, "cls", "p", ["k"])]
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     assert [{(r.k, r.g) for r in w.collect()} for w in got] == want
 
 
