@@ -21,6 +21,47 @@ def query(name: str, sql: str | None = None):
 
     return deco
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+LINES_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS k FROM tri WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, host, text, line, len(lw) AS n, regexp_replace(lower(array_to_string(lw, ' ')), '[1-9]', '0', 'g') AS norm
+  FROM (SELECT *, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(lw) > 0),
+lim AS (SELECT host, greatest(10, 0.01 * count(DISTINCT text)) AS most FROM d GROUP BY 1),
+freq AS (SELECT host, norm FROM l JOIN lim USING (host) GROUP BY host, norm, most HAVING count(DISTINCT text) > most),
+lost AS (SELECT doc_id, count(DISTINCT norm) AS k, sum(n) AS n FROM l JOIN freq USING (host, norm) GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  CAST(coalesce(lost.k, 0) AS INTEGER) AS n_removed_lines, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND n_removed_words <= 0.5 * n_words AS kept FROM f
+"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a)
+SELECT doc_id, any_value(n) AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept FROM n JOIN r ON x = doc_id GROUP BY doc_id
+"""
+
+PASSAGES_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT g, min(doc_id) AS first FROM x GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS k FROM x JOIN m USING (g) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM t ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+
 
 @query("op3_toxicity")
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +84,7 @@ def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query("op2_near_dedup")
+@query("op2_near_dedup", NEAR_SQL)
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscan.llm.near_dedup import near_duplicates
 
@@ -68,7 +109,7 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op10_repeated_passages")
+@query("op10_repeated_passages", PASSAGES_SQL)
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscan.llm.passages import remove_repeats
 
@@ -76,7 +117,7 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query("op1_line_rules")
+@query("op1_line_rules", LINES_SQL)
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscan.llm.line_rules import line_rules
 
