@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridscan.llm.common import ODD, discard, gram_hashes, mix, word_hashes, words, written
 
 WINDOW, GRAM = 13, 7
-SHARD_PATTERNS, SHARD_STRETCHES = 20_000, 100_000
+SHARD_PATTERNS, SHARD_STRETCHES = 10_000, 100_000
 
 
 def hashed(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -138,31 +138,32 @@ def _dealt(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 class Automaton:
-    """Aho-Corasick over words: each word of the patterns is one character of the automaton's alphabet."""
+    """Aho-Corasick over words.
+
+    A word is spelt as a number in base 64, each digit in letters of its own: a node then has 64 children at
+    most, and matches begin and end with words.  Words of no pattern are spelt with a letter of no pattern.
+    """
 
     def __init__(self, window: int):
         self.window, self.code, self.first, self.machine, self.known = window, {}, {}, None, {}
 
-    def letters(self, phrase: bytes) -> str:
-        get = self.code.get
-        return "".join([get(w, "\x01") for w in phrase.split(b" ")])
-
     def add(self, phrase: bytes, starts: list[int], doc: int) -> None:
         """Windows of a confirmed passage, at word offsets in it, that first stand in `doc`."""
         code = self.code
-        for w in phrase.split(b" "):
-            if w not in code:
-                n = len(code) + 2
-                code[w] = chr(n if n < 0xD800 else n + 0x800)
-        text = self.letters(phrase)
+        ids = tuple([code.setdefault(w, len(code)) for w in phrase.split(b" ")])
         for s in starts:
-            key = text[s:s + self.window]
+            key = ids[s:s + self.window]
             self.first[key] = min(doc, self.first.get(key, doc))
 
     def compile(self) -> None:
+        self.digits = 1
+        while 64 ** self.digits < len(self.code):
+            self.digits += 1
+        spelt = ["".join(chr(2 + 64 * d + (n >> 6 * d) % 64) for d in range(self.digits)) for n in range(len(self.code))]
+        self.spelling, self.other = dict(zip(self.code, spelt)), "\x01" * self.digits
         self.machine = ahocorasick.Automaton()
         for key, doc in self.first.items():
-            self.machine.add_word(key, doc)
+            self.machine.add_word("".join([spelt[n] for n in key]), doc)
         if self.first:
             self.machine.make_automaton()
 
@@ -172,8 +173,9 @@ class Automaton:
         if got is None:
             if len(self.known) > SHARD_STRETCHES:
                 self.known.clear()
-            back = 1 - self.window
-            got = self.known[phrase] = [(end + back, doc) for end, doc in self.machine.iter(self.letters(phrase))] if self.first else []
+            spell, other, digits, window = self.spelling.get, self.other, self.digits, self.window
+            letters = "".join([spell(w, other) for w in phrase.split(b" ")])
+            got = self.known[phrase] = [((end + 1) // digits - window, doc) for end, doc in self.machine.iter(letters)] if self.first else []
         return got
 
 
@@ -265,7 +267,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     confirmed = written(each.groupBy("window", "anchor").agg(F.min("_id").alias("_id"), F.max("_id").alias("hi")).where("_id < hi").select("anchor", "_id", "window"), "confirmed")
 
     shards = max(1, -(-confirmed.count() // SHARD_PATTERNS))
-    used = places.join(confirmed.select("anchor").distinct(), "anchor", "left_semi").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    telling = written(confirmed.select("anchor").distinct(), "telling-anchors")
+    used = places.join(telling, "anchor", "left_semi").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     parts = written(used.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_STRETCHES).cast("long").alias("parts")), "shard-parts")
     runs = used.join(parts, "shard").groupBy("_id", "_content").agg(F.collect_set(F.struct("first", "n", "shard", "parts")).alias("runs"))
     wanted = confirmed.groupBy("_id").agg(F.collect_set("window").alias("wanted"))
@@ -276,6 +279,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ranges = located.union(copies.where("copy").select("_id", "_content", F.lit(0).cast("long"), "n_words"))
     ranges = written(ranges.groupBy("_id", "_content").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), "ranges")
-    discard(places, confirmed, runs, recurring)
+    discard(places, confirmed, runs, recurring, telling)
     out = base.join(ranges, ["_id", "_content"], "left").select(F.col("_id").alias("doc_id"), "_text", "ranges")
     return out.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
