@@ -9,7 +9,7 @@
    shard with many stretches is dealt out with its automaton repeated, so a passage that a third of all texts
    share is not one task's work.
 
-Every document goes through all steps; copies of one word sequence are judged once, through the first of them.
+Every document goes through all steps; copies of one text are judged once, through the first of them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from gridscan.llm.common import ODD, discard, gram_hashes, mix, word_hashes, words, written
+from gridscan.llm.common import discard, gram_hashes, word_hashes, words, written
 
 WINDOW, GRAM = 13, 7
 SHARD_PATTERNS, SHARD_STRETCHES = 10_000, 100_000
@@ -67,28 +67,17 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _sequence_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, digest of the word sequence of its text)."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            _, h, sizes = hashed(batch.slice(start, 512).column(2).to_pylist())
-            text, at = places_in(sizes)
-            anchor, of, _, _ = anchors(h, sizes, window)
-            digest = np.zeros(len(sizes), np.uint64)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                digest[full] = np.bitwise_xor.reduceat(mix(h + at.astype(np.uint64) * ODD), (np.cumsum(sizes) - sizes)[full])
-            yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(digest[of])], names=["anchor", "sequence"])
-
-
-def _anchor_places(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, id, content, first window, number of windows)."""
+def _anchor_places(batches: Iterator[pa.RecordBatch], window: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """(anchor, content) or, `whole`, (anchor, id, content, first window, number of windows)."""
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             _, h, sizes = hashed(part.column(2).to_pylist())
             anchor, of, first, n = anchors(h, sizes, window)
             ids, contents = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            if not whole:
+                yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(contents[of])], names=["anchor", "_content"])
+                continue
             yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(ids[of]), _longs(contents[of]), _longs(first), _longs(n)], names=["anchor", "_id", "_content", "first", "n"])
 
 
@@ -210,7 +199,8 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["_id", "_content", "start", "n"])
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(id, text, ranges) to words that no range covers; a range from -1 covers a copy: all its words, if it has windows."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -221,21 +211,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if ranges:
                     keep = np.ones(len(w), bool)
                     for r in ranges:
-                        keep[r["start"]:r["start"] + r["n"]] = False
+                        if r["start"] >= 0:
+                            keep[r["start"]:r["start"] + r["n"]] = False
+                        elif len(w) >= window:
+                            keep[:] = False
                     w = [w[k] for k in np.flatnonzero(keep)]
                 removed.append(total[-1] - len(w))
                 texts.append(b" ".join(w).decode())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
-        found = [words(t) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in found], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in found], pa.binary())], names=["_id", "_content", "n_words", "sequence"])
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, text (kept words joined by one space).
 
@@ -247,38 +232,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_content"), F.col(text_col).alias("_text"))
     named = base.where("_id IS NOT NULL")
 
-    # Copies of one word sequence: the first stays to be judged, from the others every window goes.
-    counted = written(named.mapInArrow(_digests, "_id long, _content long, n_words long, sequence binary").where(f"n_words >= {window}"), "sequences")
-    firsts = written(counted.groupBy("sequence").agg(F.min("_id").alias("first_id")), "first-copies")
-    copies = counted.join(firsts, "sequence").withColumn("copy", F.col("_id") > F.col("first_id")).select("_id", "_content", "n_words", "copy").distinct()
-    copies = written(copies, "copies")
+    # Copies of one text: the first stays to be judged, from the others every window goes.
+    counted = named.select("_id", "_content", F.sha2(F.coalesce("_text", F.lit("")), 256).alias("sha")).distinct()
+    firsts = written(counted.groupBy("sha").agg(F.min("_id").alias("first_id")), "first-copies")
+    copies = written(counted.join(firsts, "sha").select("_id", "_content", (F.col("_id") > F.col("first_id")).alias("copy")).distinct(), "copies")
 
-    pairs = named.mapInArrow(lambda b: _sequence_anchors(b, window), "anchor long, sequence long")
-    recurring = written(pairs.groupBy("anchor").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi")).where("lo <> hi").select("anchor"), "anchors")
-    places = named.mapInArrow(lambda b: _anchor_places(b, window), "anchor long, _id long, _content long, first long, n long").join(recurring, "anchor", "left_semi")
-    places = written(places.join(copies.where("NOT copy").select("_id", "_content"), ["_id", "_content"], "left_semi"), "places")
+    # Joins with sets of unique keys hash those and leave the many rows unsorted.
+    among = lambda rows, keys, on: rows.join(keys.hint("shuffle_hash"), on, "left_semi")
+    pairs = named.mapInArrow(lambda b: _anchor_places(b, window, False), "anchor long, _content long")
+    recurring = written(pairs.groupBy("anchor").agg(F.min("_content").alias("lo"), F.max("_content").alias("hi")).where("lo <> hi").select("anchor"), "anchors")
+    places = among(named.mapInArrow(lambda b: _anchor_places(b, window, True), "anchor long, _id long, _content long, first long, n long"), recurring, "anchor")
+    places = written(among(places, copies.where("NOT copy").select("_id", "_content"), ["_id", "_content"]), "places")
 
     def with_text(runs: DataFrame) -> DataFrame:
         return base.join(runs, ["_id", "_content"]).select("_id", "_content", "_text", *[c for c in runs.columns if c[0] != "_"])
 
     # A window has one anchor, so the anchor as a second key changes no group.
-    runs = places.groupBy("_id", "_content").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("runs"))
+    runs = places.groupBy("_id", "_content").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("runs"))
     each = with_text(runs).mapInArrow(lambda b: _windows(b, window), "window long, anchor long, _id long")
     confirmed = written(each.groupBy("window", "anchor").agg(F.min("_id").alias("_id"), F.max("_id").alias("hi")).where("_id < hi").select("anchor", "_id", "window"), "confirmed")
 
     shards = max(1, -(-confirmed.count() // SHARD_PATTERNS))
     telling = written(confirmed.select("anchor").distinct(), "telling-anchors")
-    used = places.join(telling, "anchor", "left_semi").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    used = among(places, telling, "anchor").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     parts = written(used.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_STRETCHES).cast("long").alias("parts")), "shard-parts")
-    runs = used.join(parts, "shard").groupBy("_id", "_content").agg(F.collect_set(F.struct("first", "n", "shard", "parts")).alias("runs"))
+    runs = used.join(parts, "shard").groupBy("_id", "_content").agg(F.collect_list(F.struct("first", "n", "shard", "parts")).alias("runs"))
     wanted = confirmed.groupBy("_id").agg(F.collect_set("window").alias("wanted"))
     runs = written(runs.join(wanted, "_id", "left"), "runs")
     dealt = with_text(runs).mapInArrow(lambda b: _dealt(b, window), "shard long, part long, _id long, _content long, first long, phrase binary, starts array<int>")
     both = dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("starts").isNull())
     located = both.mapInArrow(lambda b: _locate(b, window), "_id long, _content long, start long, n long")
 
-    ranges = located.union(copies.where("copy").select("_id", "_content", F.lit(0).cast("long"), "n_words"))
+    ranges = located.union(copies.where("copy").select("_id", "_content", F.lit(-1).cast("long"), F.lit(0).cast("long")))
     ranges = written(ranges.groupBy("_id", "_content").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), "ranges")
     discard(places, confirmed, runs, recurring, telling)
     out = base.join(ranges, ["_id", "_content"], "left").select(F.col("_id").alias("doc_id"), "_text", "ranges")
-    return out.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
+    return out.mapInArrow(lambda b: _kept(b, window), "doc_id long, n_words long, n_removed long, text string")
