@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridscan.functions.stats import n_true, share
 from gridscan.operators.aggregates import reciprocity
@@ -33,6 +33,24 @@ def verdict(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                                    F.count_if(F.col("status") == "warn").alias("warnings"))
 
 
+def acceptance_steps(steps: Sequence[tuple[str, DataFrame | None]]) -> DataFrame:
+    """One row per step: position, step, fails, verdict PASS, FAIL or SKIPPED.
+
+    A step is a report (name, status, ...), or None where its inputs are missing.  Steps go in order: after a
+    failed one the rest are skipped; one without inputs is skipped itself and holds up none.
+    """
+    spark = next(r for _, r in steps if r is not None).sparkSession
+    rows = None
+    for i, (name, report) in enumerate(steps, 1):
+        fails = F.count_if(F.col("status") == "fail") if report is not None else F.lit(None).cast("long")
+        one = (report if report is not None else spark.range(1)).agg(F.lit(i).alias("position"), F.lit(name).alias("step"), fails.alias("fails"))
+        rows = one if rows is None else rows.unionByName(one)
+    # One row a step: a handful, whatever the data.
+    before = W.partitionBy(F.lit(0)).orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    stopped = F.coalesce(F.max(F.coalesce("fails", F.lit(0))).over(before), F.lit(0)) > 0
+    return rows.withColumn("verdict", F.when(stopped | F.col("fails").isNull(), "SKIPPED").when(F.col("fails") > 0, "FAIL").otherwise("PASS"))
+
+
 def target_checks(px: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """NaN/NULL, range and interior-fraction checks of a soft target."""
     t = F.col(target)

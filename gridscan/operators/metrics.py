@@ -169,6 +169,14 @@ def feature_auc(df: DataFrame, features: Sequence[str], y: str, by: Sequence[str
     return auc(long, "x", y, [*by, "feature"])
 
 
+def margin_over_baseline(df: DataFrame, features: Sequence[str], baseline: Sequence[str], y: str, by: Sequence[str] = ()) -> DataFrame:
+    """AUC of every feature beside the best AUC among the `baseline` columns (map coordinates, say), and the margin."""
+    a = feature_auc(df, [*features, *baseline], y, by)
+    best = F.max(F.when(F.col("feature").isin(*baseline), F.col("auc"))).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0)))
+    a = a.withColumn("baseline_auc", best).where(~F.col("feature").isin(*baseline))
+    return a.withColumn("margin", F.col("auc") - F.col("baseline_auc"))
+
+
 def speckle_table(tiles: DataFrame, metrics: Sequence[str], source: str, key: Sequence[str], a: str, b: str) -> DataFrame:
     """Median of each metric for two sources on the tiles both have, and their ratio."""
     two = tiles.where(F.col(source).isin(a, b))

@@ -7,7 +7,7 @@ from gridscan.operators.aggregates import tile_fractions
 from gridscan.operators.grid import with_tile
 from gridscan.queries import views as V
 from gridscan.queries.grids import px_headers
-from gridscan.queries.registry import query
+from gridscan.queries.registry import ORACLE, QUERIES, query
 
 
 def label_set(spark, sf):
@@ -103,3 +103,17 @@ def _(spark, sf):
               F.count_if((F.col("vf") >= 0.3) & (F.col("p") >= 0.55)).alias("flagged"))
     n = V.px(spark, sf).select("granule_id", F.floor(F.col("r") / 16), F.floor(F.col("c") / 16)).distinct().count()
     return C.pinned(f, {"candidates": n, "valid": n, "flagged": n}).select("name", "status", "measured")
+
+
+def _fails(i: int, step: str, name: str) -> str:
+    return f"SELECT {i} AS position, '{step}' AS step, count(*) FILTER (status = 'fail') AS fails FROM ({ORACLE[name]})"
+
+
+@query("v06_acceptance_steps", f"""WITH r AS ({_fails(1, "label set", "v01_label_suite")} UNION ALL SELECT 2, 'registration', NULL
+    UNION ALL {_fails(3, "granules", "v02_granule_suite")} UNION ALL {_fails(4, "targets", "v03_target_checks")}),
+    p AS (SELECT *, coalesce(max(coalesce(fails, 0)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS stopped FROM r)
+    SELECT CAST(position AS INTEGER) AS position, step, CAST(fails AS BIGINT) AS fails, CASE WHEN stopped OR fails IS NULL THEN 'SKIPPED' WHEN fails > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM p""")
+def _(spark, sf):
+    px, tiles = label_set(spark, sf)
+    return C.acceptance_steps([("label set", C.label_suite(px, tiles, "target", ["tile"], "orient_conc", row="ti", col="tj")), ("registration", None),
+                               ("granules", granule_report(spark, sf)), ("targets", QUERIES["v03_target_checks"](spark, sf))])

@@ -161,6 +161,15 @@ def _(spark, sf):
     return M.feature_auc(V.feat(spark, sf), ["e0", "e1", "e2", "x_m", "y_m"], "y").select("feature", F.round("auc", 6).alias("auc"))
 
 
+@query("e14_margin_over_coordinates", """, l AS (UNPIVOT (SELECT y, e0, e1, e2, x_m, y_m FROM feat) ON e0, e1, e2, x_m, y_m INTO NAME feature VALUE x),
+    lo AS (SELECT *, 1 AS one FROM l)""" + _RANK.format(by="feature", p="x", src="lo") + f""", au AS (SELECT feature, {_AUC} AS auc FROM rk GROUP BY 1),
+    bs AS (SELECT max(auc) AS b FROM au WHERE feature IN ('x_m', 'y_m'))
+    SELECT feature, round(auc, 6) AS auc, round(b, 6) AS baseline_auc, round(auc - b, 6) AS margin FROM au, bs WHERE feature NOT IN ('x_m', 'y_m')""", "feat")
+def _(spark, sf):
+    d = M.margin_over_baseline(V.feat(spark, sf), ["e0", "e1", "e2"], ["x_m", "y_m"], "y")
+    return d.select("feature", *[F.round(c, 6).alias(c) for c in ("auc", "baseline_auc", "margin")])
+
+
 def speckle_tiles(spark, sf):
     rho = residual_rho1(image(spark, sf), "a", V.TS)
     enl = image(spark, sf).groupBy("granule_id", "row", "col").agg(looks("a").alias("enl"))
