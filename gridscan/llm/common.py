@@ -101,26 +101,23 @@ def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col
     return docs.join(c, F.col(id_col).eqNullSafe(c["_id"]) & (content == c["_content"]), "left_semi")
 
 
-def components(edges: DataFrame, name: str, exact: bool = True) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of the undirected `edges` (a, b): component = smallest node reachable.
 
     Large-star / small-star contraction: every round each node links its larger neighbours to the smallest
     one, then its smaller ones; rounds grow with the logarithm of the longest path.  A star's hub only
-    aggregates minima map-side and joins, so a hub of any degree is dealt out.  Without `exact` one round is
-    made: nodes of one component may then still differ, those of different ones never agree.
+    aggregates minima map-side and joins, so a hub of any degree is dealt out.
     """
     links = written(both_ways(edges).distinct(), f"{name}-links")
     while True:
         large = star(links, True, name)
         small = written(star(both_ways(large), False, name).distinct(), f"{name}-links")
-        if exact:
-            # A forest of stars: every child has one parent, and no parent is a child.
-            ends = small.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(small.select("b", F.lit(0), F.lit(1)))
-            if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
-                links = both_ways(small)
-                continue
-        roots = small.select(F.col("b").alias("node"), F.col("b").alias("component"))
-        return small.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
+        # A forest of stars: every child has one parent, and no parent is a child.
+        ends = small.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(small.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
+            roots = small.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return small.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+        links = both_ways(small)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

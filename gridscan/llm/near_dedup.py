@@ -119,24 +119,36 @@ def _open(members: DataFrame, component: DataFrame) -> DataFrame:
     return written(known.join(several, "key", "left_semi"), "open-members")
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the members of buckets, enough for all components."""
-    links = None
+def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of all members of buckets that link with another.
+
+    What earlier steps joined goes on as stars, so each step only contracts its own links.
+    """
+    component, stars = None, None
     for leader in (F.min, F.max):
         chosen = written(members.groupBy("key").agg(leader("m").alias("l")), "leaders")
         met = members.join(chosen, "key").where((F.col("m.rep") != F.col("l.rep")) & _may_link("m", "l"))
         found = written(_linked(met.select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b")).distinct(), sets), "links")
-        links = found if links is None else links.union(found)
-        rest = _open(members.select("key", "m"), components(links, "near"))
+        component, stars = _joined(component, stars, found)
+        rest = _open(members.select("key", "m"), component)
         if rest.isEmpty():
-            return links
+            return component
         members = rest
     main = written(members.groupBy("key").agg(F.min("component").alias("main")), "main")
     members = written(members.join(main, "key"), "open-members")
     x, y = members.where("component <> main").alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("y.component") == F.col("y.main")) | (F.col("x.m.rep") > F.col("y.m.rep"))) & _may_link("x.m", "y.m"))
-    return links.union(written(_linked(pairs.select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct(), sets), "links"))
+    found = written(_linked(pairs.select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct(), sets), "links")
+    return _joined(component, stars, found)[0]
+
+
+def _joined(component: DataFrame | None, stars: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components, and their edges to the smallest member, with the links `found` added."""
+    if component is not None and found.isEmpty():
+        return component, stars
+    component = written(components(found if stars is None else stars.union(found), "near"), "component")
+    return component, component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.join(wanted, (F.col("_id") == F.col("rep")) & (base["_content"] == wanted["_content"])).select("rep", "_text")
     sets = written(texts.mapInArrow(_sets, "rep long, shingles array<bigint>"), "sets")
 
-    component = written(components(_links(members, sets), "near"), "component")
+    component = _components(members, sets)
     named = written(classes.join(component, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.col("n").alias("m"), F.coalesce("component", "rep").alias("found")), "named")
     out = sig.join(named, (sig["f0"] == named["f0"]) & (sig["f1"] == named["f1"]) & (sig["n"] == named["m"]), "left")
     out = out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("found", "_id").alias("component_id"), "_content")
