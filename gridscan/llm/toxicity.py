@@ -6,6 +6,7 @@ table.  A misspelling never seen in training still shares most n-gram rows with
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,7 +60,8 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 10, rate: flo
     seen = np.bincount(rows, minlength=BUCKETS).astype(np.float64)
     idf = np.log((len(sizes) + 1) / (seen + 1))
     starts = np.r_[0, np.cumsum(sizes)]
-    values *= idf.astype(np.float32)[rows]
+    for at in range(0, len(rows), 1 << 20):
+        values[at:at + (1 << 20)] *= idf[rows[at:at + (1 << 20)]]
     pace = (len(sizes) / (seen + 20))[:, None]
     table, soft, bias = rng.normal(0, 0.02, (BUCKETS, DIM)), rng.normal(0, 1, (DIM, 2)), np.array([0, prior])
     full = np.flatnonzero(sizes)
@@ -94,14 +96,16 @@ def shares(word: np.ndarray, n: int) -> np.ndarray:
 
 def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Table rows and their weights of all texts, one text after the other, and the number of rows of each."""
-    rows, values, sizes = [np.empty(0, np.int32)], [np.empty(0, np.float32)], []
+    # Growing buffers: joining a list of arrays would hold everything twice.
+    rows, values, sizes = array("i"), array("f"), []
     for t in texts:
         row, word, n = word_grams(t)
         got, inverse = np.unique(row, return_inverse=True)
-        rows.append(got.astype(np.int32))
-        values.append((np.bincount(inverse, shares(word, n), len(got)) if n else np.empty(0)).astype(np.float32))
+        if n:
+            rows.frombytes(got.astype(np.int32).tobytes())
+            values.frombytes(np.bincount(inverse, shares(word, n), len(got)).astype(np.float32).tobytes())
         sizes.append(len(got))
-    return np.concatenate(rows), np.concatenate(values), np.array(sizes, np.int64)
+    return np.frombuffer(rows, np.int32), np.frombuffer(values, np.float32), np.array(sizes, np.int64)
 
 
 def logits(texts: Iterable[str | None], weights: np.ndarray) -> np.ndarray:
