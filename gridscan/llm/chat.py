@@ -8,6 +8,8 @@ row a message, never one row for each pair of a message and its ancestors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridscan.llm.common import written
@@ -56,12 +58,19 @@ def branches(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     answered = steps[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = reached.join(answered, ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
     chosen = value_position(leaves, ["tree"], "mean", ["leaf"], "path_rank", descending=True).where(F.col("path_rank") <= per_tree)
-    marked = written(chosen.select("tree", "leaf", "path_rank", F.col("leaf").alias("node")), "branches")
-    for step in steps:
-        if step.where("up IS NOT NULL").isEmpty():
+    marked = written(chosen.select("tree", "leaf", "path_rank", F.col("depth").alias("length"), F.col("leaf").alias("node")), "branches")
+    whole = []
+    for k, step in enumerate(steps):
+        # The messages less than 2^k above the leaf are marked; shorter branches are done and set aside.
+        whole.append(marked.where(F.col("length") <= 1 << k))
+        going = marked.where(F.col("length") > 1 << k)
+        if going.isEmpty():
             break
-        both = marked.join(step.select("tree", "node", "up"), ["tree", "node"], "left")
-        marked = written(both.select("tree", "leaf", "path_rank", F.explode(F.filter(F.array("node", "up"), lambda x: x.isNotNull())).alias("node")), "branches")
+        both = going.join(step.select("tree", "node", "up"), ["tree", "node"], "left")
+        marked = written(both.select("tree", "leaf", "path_rank", "length", F.explode(F.filter(F.array("node", "up"), lambda x: x.isNotNull())).alias("node")), "branches")
+    else:
+        whole.append(marked)
+    marked = reduce(DataFrame.union, whole).drop("length")
     return marked.join(reached.select("tree", "node", "depth"), ["tree", "node"])
 
 
