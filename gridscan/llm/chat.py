@@ -52,8 +52,10 @@ def branches(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
             break
         last = steps[-1]
         above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = last.join(above, ["tree", "up"], "left")
-        steps.append(written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "reply-steps"))
+        # Messages that have met their root wait; only the others go on.
+        joined = last.where("up IS NOT NULL").join(above, ["tree", "up"], "left")
+        joined = joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        steps.append(written(joined.union(last.where("up IS NULL").select("tree", "node", "up", "total", "depth")), "reply-steps"))
     reached = steps[-1].where("up IS NULL").select("tree", "node", "depth", (F.col("total") / F.col("depth")).alias("mean"))
     answered = steps[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = reached.join(answered, ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
