@@ -18,12 +18,24 @@ from gridscan.llm.automata import compiled
 
 @dataclass(frozen=True)
 class Rule:
-    """`least` characters in all and, after the first accepting one, `tail` characters; shorter matches are dropped."""
+    """`least` characters in all and, after the first accepting one, `tail` characters; shorter matches are dropped.
+
+    `rest` is what may follow a match and belongs to it; it moves no start, so only the rule's own automaton has it.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     tail: int = 0
+    rest: str = ""
+
+
+# What follows the first line of a key: all up to the END line, which no second BEGIN comes before, also as an
+# escaped or quoted string.  Without an END line (a text that was cut), headers and then runs of 16 or more base64
+# characters and a shorter last one; what shorter runs hold of a key is the same in every key of its kind.
+BASE64, BREAK = "[A-Za-z0-9+/=]", r"""[\x20\x09\x0a\x0d"'\\]"""
+WHOLE = r"""(-?[A-Za-z0-9+/=:,"'\\\x20\x09\x0a\x0d])*-----END [A-Z ]*PRIVATE KEY-----"""
+CUT = rf"({BREAK}+[A-Za-z\-]+:[A-Za-z0-9+/=,.:@_\-\x20]*)*({BREAK}*{BASE64}{{16,}})+({BREAK}+{BASE64}+)?"
 
 
 # The three base rules, then formats of published credential types.  A hex run shorter than
@@ -32,7 +44,7 @@ RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]+""", tail=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", rest=f"({WHOLE}|{CUT})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", least=20),
     Rule("google", r"AIza[A-Za-z0-9_\-]+", least=39),
@@ -47,7 +59,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.back = compiled([r.pattern for r in rules], reverse=True, anywhere=True)
-        self.ahead = [compiled([r.pattern]) for r in rules]
+        self.ahead = [compiled([r.pattern + r.rest]) for r in rules]
 
     def starts(self, data: bytes) -> list[tuple[int, int]]:
         """(byte offset, mask of rules) of every match start, from the right."""
