@@ -13,6 +13,8 @@ from gridscan.llm.toxicity import scorer, train
 
 #: Toxicity and packing cannot be told in SQL.
 ORACLE_SQL = None
+#: Near copies share this percentage of their five-word shingles or more (op2's contract has 85).
+NEAR = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near copies."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), "_content")
+    kept = near_duplicates(docs, link=NEAR).where("kept").select(F.col("doc_id").alias("_id"), "_content")
     return rows_of(docs, kept)
 
 

@@ -1,8 +1,9 @@
 """MinHash near-duplicates with tensored banding, every link confirmed on the full shingle sets.
 
-Two small collections of `TABLES` minhash bands each give TABLES x TABLES bucket keys by combining a band of
-one with a band of the other: 2 x TABLES x ROWS minhashes do the work of TABLES x TABLES x 2 x ROWS.  At a
-similarity of 0.85 a pair shares no bucket with probability 2 x (1 - 0.85^ROWS)^TABLES at most, 0.2 %.
+Two small collections of minhash bands, `tables` of `rows` each, give tables x tables bucket keys by combining a
+band of one with a band of the other: 2 x tables x rows minhashes do the work of tables x tables x 2 x rows.  A
+pair at the least similarity s that links shares no bucket with probability 2 x (1 - s^rows)^tables at most;
+`banding` takes as many tables as keep that under `MISS`, whatever s is.
 
 Documents with equal sets form a class first; only class representatives are hashed into buckets.  Inside a
 bucket not everybody is compared with everybody:
@@ -18,8 +19,9 @@ No pair that could join two components goes unexamined, whatever the size of a f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from operator import add
 
 import numpy as np
@@ -30,15 +32,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridscan.llm.common import components, gram_hashes, long_lists, mix, word_hashes, written
 
 SHINGLE = 5
-ROWS, TABLES = 4, 11
-SEEDS = mix(np.arange(1, 2 * TABLES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+LINK = 85  # per cent of the union
+#: Bound on the share of links at the least similarity that meet in no bucket, and of bucket keys a set where rows can be spared.
+MISS, KEYS = 6e-4, 170
 #: A bit of every minhash makes a sketch that spares most full comparisons.  Texts of similarity s agree on a
 #: share of (1 + s) / 2; a margin of 5 standard deviations lets go of no link in a million.
-BITS = len(SEEDS)
 MARGIN = 5.0
 #: Words of the parity sketch: bit j tells whether an odd number of shingles fall on j.
 PARITY = [f"p{k}" for k in range(8)]
-LINK = 85  # per cent of the union
+
+
+def banding(link: int) -> tuple[int, int]:
+    """(rows, tables) for links of `link` per cent or more: the most rows that need no more than `KEYS` keys, or one."""
+    s, found = link / 100, []
+    for rows in range(1, 9):
+        tables = 1 if s == 1 else max(1, math.ceil(math.log(MISS / 2) / math.log(1 - s**rows)))
+        if rows == 1 or tables**2 <= KEYS and 2 * rows * tables <= 128:  # a bit each in two words
+            found.append((rows, tables))
+    return found[-1]
+
+
+def seeds(rows: int, tables: int) -> np.ndarray:
+    return mix(np.arange(1, 2 * tables * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -50,33 +65,34 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(h, min(size, len(h))))
 
 
-def least_hashes(s: np.ndarray) -> np.ndarray:
+def least_hashes(s: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Minimum of the set under each of the hash functions, in blocks so that long texts stay small in memory."""
-    out = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(len(by), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 1024):
-        np.minimum(out, (s[None, at:at + 1024] * SEEDS[:, None]).min(1), out=out)
+        np.minimum(out, (s[None, at:at + 1024] * by[:, None]).min(1), out=out)
     return out
 
 
-def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands(s: np.ndarray, by: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(band values of both collections, two words of minhash bits and those of the parity sketch) of a non-empty set."""
-    low = least_hashes(s)
-    value = np.arange(2 * TABLES, dtype=np.uint64)
-    for j in range(ROWS):
-        value = mix(value * np.uint64(31) + low.reshape(-1, ROWS)[:, j])
+    low = least_hashes(s, by)
+    value = np.arange(len(by) // rows, dtype=np.uint64)
+    for j in range(rows):
+        value = mix(value * np.uint64(31) + low.reshape(-1, rows)[:, j])
     bits = np.zeros(128, np.uint8)
-    bits[:BITS] = mix(low) & np.uint64(1)
+    bits[:len(by)] = mix(low) & np.uint64(1)
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * len(PARITY)), minlength=64 * len(PARITY)).astype(np.uint8) & 1
     return value, np.packbits(np.r_[bits, odd]).view(np.uint64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], rows: int, tables: int) -> Iterator[pa.RecordBatch]:
+    by = seeds(rows, tables)
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             sets = [shingle_set(t) for t in part.column(2).to_pylist()]
             prints = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in sets]
-            made = [bands(x) if len(x) else (np.empty(0, np.uint64), np.zeros(2 + len(PARITY), np.uint64)) for x in sets]
+            made = [bands(x, by, rows) if len(x) else (np.empty(0, np.uint64), np.zeros(2 + len(PARITY), np.uint64)) for x in sets]
             half = lambda shift: pa.array(np.array([(p >> shift) & (2**64 - 1) for p in prints], np.uint64).view(np.int64))
             sketch = np.array([m[1] for m in made], np.uint64).reshape(len(made), -1).view(np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -92,24 +108,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), long_lists([shingle_set(t) for t in part.column(1).to_pylist()])], names=["rep", "shingles"])
 
 
-def _may_link(a: str, b: str) -> Column:
+def _may_link(a: str, b: str, link: int) -> Column:
     """Neither the sizes nor the sketches of two members rule a link out."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = lambda names: reduce(add, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in names])
-    p = (1 + LINK / 100) / 2
-    most = BITS * (1 - p) + MARGIN * (BITS * p * (1 - p)) ** 0.5
-    near = (100 + LINK) * apart(PARITY) <= (100 - LINK) * (n + m)
-    return (100 * F.least(n, m) >= LINK * F.greatest(n, m)) & near & (apart(["s0", "s1"]) <= int(most))
+    rows, tables = banding(link)
+    bits, p = 2 * rows * tables, (1 + link / 100) / 2
+    most = bits * (1 - p) + MARGIN * (bits * p * (1 - p)) ** 0.5
+    near = (100 + link) * apart(PARITY) <= (100 - link) * (n + m)
+    return (100 * F.least(n, m) >= link * F.greatest(n, m)) & near & (apart(["s0", "s1"]) <= int(most))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
     The set of `a` travels once a pair; that of `b`, often the same leader, is merged in.
     """
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.where((100 + LINK) * F.size(F.array_intersect("sa", "sb")) >= LINK * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return both.where((100 + link) * F.size(F.array_intersect("sa", "sb")) >= link * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def _open(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -119,7 +136,7 @@ def _open(members: DataFrame, component: DataFrame) -> DataFrame:
     return written(known.join(several, "key", "left_semi"), "open-members")
 
 
-def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _components(members: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     """(node, component) of all members of buckets that link with another.
 
     What earlier steps joined goes on as stars, so each step only contracts its own links.
@@ -127,8 +144,8 @@ def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
     component, stars = None, None
     for leader in (F.min, F.max):
         chosen = written(members.groupBy("key").agg(leader("m").alias("l")), "leaders")
-        met = members.join(chosen, "key").where((F.col("m.rep") != F.col("l.rep")) & _may_link("m", "l"))
-        found = written(_linked(met.select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b")).distinct(), sets), "links")
+        met = members.join(chosen, "key").where((F.col("m.rep") != F.col("l.rep")) & _may_link("m", "l", link))
+        found = written(_linked(met.select(F.col("m.rep").alias("a"), F.col("l.rep").alias("b")).distinct(), sets, link), "links")
         component, stars = _joined(component, stars, found)
         rest = _open(members.select("key", "m"), component)
         if rest.isEmpty():
@@ -138,8 +155,8 @@ def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
     members = written(members.join(main, "key"), "open-members")
     x, y = members.where("component <> main").alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.m.rep") > F.col("y.m.rep"))) & _may_link("x.m", "y.m"))
-    found = written(_linked(pairs.select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct(), sets), "links")
+                   & ((F.col("y.component") == F.col("y.main")) | (F.col("x.m.rep") > F.col("y.m.rep"))) & _may_link("x.m", "y.m", link))
+    found = written(_linked(pairs.select(F.col("x.m.rep").alias("a"), F.col("y.m.rep").alias("b")).distinct(), sets, link), "links")
     return _joined(component, stars, found)[0]
 
 
@@ -151,10 +168,10 @@ def _joined(component: DataFrame | None, stars: DataFrame | None, found: DataFra
     return component, component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept, `_content` (names the row for `rows_of`).
 
-    Links: Jaccard similarity of the shingle sets of 85 % or more.  component_id is the smallest id reachable.
+    Links: Jaccard similarity of the shingle sets of `link` per cent or more.  component_id is the smallest id reachable.
     A null, empty or all-blank text has no shingles and is its own component.  A row with a null id takes the
     component of its equal texts, if they have ids, and is kept only without any.  Repeated rows get the same
     answer each.  Other columns are not read; an empty table gives an empty one.
@@ -162,14 +179,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_content"), F.col(text_col).alias("_text"))
     sketch = ["s0", "s1", *PARITY]
     schema = "_id long, _content long, n long, f0 long, f1 long, bands array<bigint>, " + ", ".join(f"{x} long" for x in sketch)
-    sig = written(base.mapInArrow(_signatures, schema), "signatures")
+    rows, tables = banding(link)
+    sig = written(base.mapInArrow(partial(_signatures, rows=rows, tables=tables), schema), "signatures")
 
     # Documents of one set are one class, stood for by its smallest id; one id may still stand for several sets.
     best = F.min(F.struct("_id", "_content", "bands", *sketch))
     classes = written(sig.where("n > 0 AND _id IS NOT NULL").groupBy("f0", "f1", "n").agg(best.alias("c")).select("f0", "f1", "n", F.col("c._id").alias("rep"), "c.*").drop("_id"), "classes")
 
     # Only keys and names go through the large shuffle; what else members need joins those that share a bucket.
-    a, b = F.slice("bands", 1, TABLES), F.slice("bands", TABLES + 1, TABLES)
+    a, b = F.slice("bands", 1, tables), F.slice("bands", tables + 1, tables)
     keys = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))
     hashed = classes.select(F.explode(keys).alias("key"), "rep", "_content")
     filled = hashed.select("key").groupBy("key").count().where("count > 1").select("key")
@@ -181,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.join(wanted, (F.col("_id") == F.col("rep")) & (base["_content"] == wanted["_content"])).select("rep", "_text")
     sets = written(texts.mapInArrow(_sets, "rep long, shingles array<bigint>"), "sets")
 
-    component = _components(members, sets)
+    component = _components(members, sets, link)
     named = written(classes.join(component, F.col("rep") == F.col("node"), "left").select("f0", "f1", F.col("n").alias("m"), F.coalesce("component", "rep").alias("found")), "named")
     out = sig.join(named, (sig["f0"] == named["f0"]) & (sig["f1"] == named["f1"]) & (sig["n"] == named["m"]), "left")
     out = out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("found", "_id").alias("component_id"), "_content")

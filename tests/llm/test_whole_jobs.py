@@ -3,7 +3,12 @@
 import base64
 import random
 
-from gridscan.llm import secret_scan
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gridscan.llm import near_dedup, secret_scan
 
 
 def test_private_keys_go_with_their_bodies():
@@ -25,3 +30,36 @@ def test_private_keys_go_with_their_bodies():
         assert clean(f"the line {first} and more.\nNote: this") == "the line [pem] and more.\nNote: this"
     text = "\n".join(["-----BEGIN PRIVATE KEY-----", "token=abcdef0123456789abcdef01234567", *lines, "-----END PRIVATE KEY-----"])
     assert [k for k, _, _ in scanner.spans(text)] == ["pem", "assign", "hex"] and clean(text) == "[pem]"
+
+
+def between(n, first, last):
+    """(doc_id, text) of families of two, whose similarities lie between the two shares."""
+    rng = random.Random(11)
+    out = []
+    for k in range(n):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        keep = rng.uniform(2 * first / (1 + first), 2 * last / (1 + last))  # of 200 shingles each
+        cut = round(200 * (1 - keep))
+        out += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[cut:] + [f"x{rng.randrange(10**9)}" for _ in range(cut)]))]
+    return out
+
+
+@pytest.mark.parametrize("link", [85, 80, 60])
+def test_near_copies_at_a_link_percentage(spark, link):
+    rows = between(150, 0.5, 0.99)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, link=link).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows, link)
+
+
+def test_banding_finds_links_as_surely_at_any_percentage():
+    assert near_dedup.banding(85) == (4, 11)
+    for link in range(50, 100):
+        rows, tables = near_dedup.banding(link)
+        assert 2 * (1 - (link / 100) ** rows) ** tables <= near_dedup.MISS and 2 * rows * tables <= 128
+
+
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    rows = between(40, 0.81, 0.84)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == set(range(0, 80, 2))
