@@ -6,6 +6,7 @@ the expected grade ranks texts, a tail probability selects them.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,20 +27,17 @@ DENSE = 8
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashed columns, their weights of unit length, dense features); no words: all zero but the constant.
 
-    Hashed are the distinct word shapes (letter case, digits and symbols of a word, runs shortened), word ends
-    and words of up to 12 bytes; a feature's weight does not grow with the length of the text.
+    Hashed are the distinct word shapes (letter case, digits and symbols of a whole word, runs shortened), word
+    ends and whole words, whatever their length; a feature's weight does not grow with the length of the text.
     """
     found = text.encode().split() if text else []
     n = len(found)
     if not n:
         return np.empty(0, np.int64), np.empty(0), np.eye(1, DENSE)[0]
     distinct = set(found)
-    names = {w[-3:] for w in distinct} | {w for w in distinct if len(w) <= 12}
+    names = {w[-3:] for w in distinct} | distinct
     data = text.encode()
-    shapes: dict[bytes, int] = {}
-    for kinds, times in Counter(data.translate(KINDS).split()).items():
-        s = shape(kinds)
-        shapes[s] = shapes.get(s, 0) + times
+    shapes = Counter(shape(data.translate(KINDS)).split())
     columns = [xxhash.xxh3_64_intdigest(b"w" + x) % BUCKETS for x in names] + [xxhash.xxh3_64_intdigest(b"s" + x) % BUCKETS for x in shapes]
     weights = np.r_[np.full(len(names), 1 / np.sqrt(len(names))), np.sqrt(np.array(list(shapes.values())) / n)]
     lines = [x for x in text.split("\n") if x.strip()]
@@ -54,14 +52,12 @@ UPPER = bytes(range(65, 91))
 KINDS = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
+RUN = re.compile(rb"(\S)\1+")
+
+
 def shape(kinds: bytes) -> bytes:
-    """Runs of one kind shortened to one."""
-    out, last = bytearray(), -1
-    for b in kinds[:64]:
-        if b != last:
-            out.append(b)
-            last = b
-    return bytes(out)
+    """Runs of one kind shortened to one, white space as it is."""
+    return RUN.sub(rb"\1", kinds)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

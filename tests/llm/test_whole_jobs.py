@@ -4,11 +4,12 @@ import base64
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridscan.llm import near_dedup, secret_scan
+from gridscan.llm import near_dedup, ordinal, secret_scan
 
 
 def test_private_keys_go_with_their_bodies():
@@ -63,3 +64,14 @@ def test_pipeline_drops_near_copies_from_four_fifths(spark):
     rows = between(40, 0.81, 0.84)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
     assert {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()} == set(range(0, 80, 2))
+
+
+def test_grades_see_whole_words():
+    blob = "aB3+" * 5000
+    for one, other in ((blob + "=" + blob, blob + "==-" + blob), ("x" * 40 + "1" * 40 + "tail", "x" * 40 + "1-" * 20 + "tail"), ("предложение", "приложение"), ("人工知能の研究", "自然言語の研究")):
+        a, b = ordinal.features(one), ordinal.features(other)
+        assert set(a[0]) != set(b[0])
+    for text in (blob, "Ab1 ccc--D\x0b  e", "привет мир"):
+        columns, weights, _ = ordinal.features(text)
+        assert len(columns) == len(weights) and np.isclose((weights**2).sum(), 2, atol=0.5)
+    assert ordinal.shape(b"aaA00 --a  a") == b"aA0 -a  a"
