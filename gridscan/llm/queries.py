@@ -170,3 +170,40 @@ def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Three grades: bad, good but toxic, good.
     ratings = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.when((F.col("quality") > 0) & (F.col("toxic") == 0), 1).otherwise(0)).alias("grade"))
     return grade_texts(table(spark, sf_dir, "documents"), ratings, n_grades=3)
+
+
+#: crc32 of a UTF-8 text in SQL: the table of bytes from its rule, then one fold over the bytes.
+_CRC_TABLE = "SELECT list(c ORDER BY v) AS t FROM (SELECT v, list_reduce([v]::BIGINT[] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS v))"
+_BYTES = "[4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+_CRC = "xor(list_reduce({}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _shards_sql(shards: int = 24, seed: int = 0) -> str:
+    from gridscan.llm.sharding import PRIME, round_keys
+
+    steps = "SELECT i, n, a, b, x // b AS l, x % b AS r FROM {}"
+    for k, key in enumerate(round_keys(seed)):
+        side, other, modulus = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        for now in (f"({other} + {key}) % {PRIME} AS t", f"t * t % {PRIME} AS t", f"(t + {key}) * t % {PRIME} AS t"):
+            steps = f"SELECT i, n, a, b, l, r, {now} FROM ({steps})"
+        steps = f"SELECT i, n, a, b, {other}, ({side} + t) % {modulus} AS {side} FROM ({steps})"
+    steps = f"SELECT i, n, a, b, l * b + r AS x FROM ({steps})"
+    named = lambda c: f"coalesce(md5(CAST({c} AS VARCHAR)), '-')"
+    return f"""
+WITH RECURSIVE tab AS MATERIALIZED ({_CRC_TABLE}),
+e AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {_BYTES.format("coalesce(text, '')")} AS bytes,
+  md5(concat_ws(':', {", ".join(map(named, ["doc_id", "lang", "n_chars", "source", "text"]))})) AS digest FROM documents),
+d AS MATERIALIZED (SELECT doc_id, size, {_CRC.format("bytes")} AS text_crc32, digest FROM e, tab),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY digest) - 1 AS i FROM d),
+m AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM d)),
+walk(i, n, a, b, x) AS ({steps.format("(SELECT i, n, a, b, i AS x FROM o, m)")} UNION ALL {steps.format("(SELECT * FROM walk WHERE x >= n)")})
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, x // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM o JOIN walk USING (i) WHERE x < n
+"""
+
+
+@query("op12_feistel_shards", _shards_sql())
+def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.sharding import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
