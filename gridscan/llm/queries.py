@@ -226,3 +226,28 @@ def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+VARIANTS_SQL = f"""
+WITH RECURSIVE tab AS MATERIALIZED ({_CRC_TABLE}),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+e AS (SELECT run, n, {_BYTES.format("concat(doc_id, ':', run)")} AS bytes FROM r),
+h AS (SELECT run, n, {_CRC.format("bytes")} AS h FROM e, tab),
+t AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM t WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+cut AS (SELECT word, n, k, left(word, k) AS a, substr(word, k + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS k FROM w)),
+p AS (SELECT x.word, y.word AS other, y.n AS m FROM cut x JOIN cut y USING (k, a, b) WHERE x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN w y ON x.a || x.b = y.word UNION SELECT y.word, x.word, x.n FROM cut x JOIN w y ON x.a || x.b = y.word),
+f AS MATERIALIZED (SELECT word, any_value(n) AS n, count(other) AS n_near, min_by(other, (-m, other)) AS best, max(m) AS m FROM w LEFT JOIN p USING (word) GROUP BY word),
+g AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN m >= 5 * n THEN best END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM f),
+go(word, root) AS (SELECT word, word FROM g UNION ALL SELECT go.word, g.form FROM go JOIN g ON go.root = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN go USING (word) WHERE root NOT IN (SELECT word FROM g WHERE form IS NOT NULL)
+"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscan.llm.spelling import document_variants
+
+    return document_variants(table(spark, sf_dir, "documents"))
