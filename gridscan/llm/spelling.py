@@ -198,7 +198,10 @@ def pairs_in(words: np.ndarray, asking: np.ndarray, size: int = 1 << 20) -> Iter
 def tops(words: DataFrame) -> dict[int, Node]:
     """The top of the tree of each length, from a sample of at most SAMPLE words of LONGEST letters or less."""
     total = words.count()
-    sample = [r.word for r in words.where(F.length("word") <= LONGEST).orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()]
+    # Hashes under a share of their range: tasks send no more than the sample between them.
+    share = int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))
+    drawn = words.where((F.length("word") <= LONGEST) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share))
+    sample = sorted(r.word for r in drawn.select("word").collect())[:SAMPLE]
     leaf = max(1, int(len(sample) * max(CELL_WORDS, total / CELLS) / max(total, 1)))
     by_length: dict[int, list[str]] = {}
     for w in sample:
