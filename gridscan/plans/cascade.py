@@ -15,7 +15,9 @@ from gridscan.functions.scalar import flag
 from gridscan.operators.grid import center_crop, crop_window, data_bounds, overlap_tiles, swath_tiles, tile_grid, with_tile
 from gridscan.operators.joins import scatter_back
 from gridscan.operators.sampling import draw
+from gridscan.plans.lineage import settle, stored
 from gridscan.schema import GROUNDED, TILE
+from gridscan.sources.raster import read_blocks
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -72,17 +74,25 @@ def candidate_tiles(bounds: DataFrame, ts: int, grounded_px: DataFrame | None =
 
 def scan_granule(px: DataFrame, headers: DataFrame, ts: int, k: int, gate: Stage | Column, segment: Stage, threshold: float,
                  min_valid: float = 0.5, v: str = "v", mask: DataFrame | str | None = None, min_grounded: float | None = None,
-                 max_tiles: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 max_tiles: int | None = None, seed: int = 0, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tiles, segmented pixels, funnel) of every granule.
 
     `gate`: an aggregate column over a tile's pixels, computed together with the valid and grounded fractions in
     one pass over the pixels; or a function, pixels of tiles -> one row per tile with `gate_prob`, which only sees
     the valid candidates.  `segment`: pixels of survivors -> the same pixels with `seg`.  `mask`: class column of
     `px`, or another pixel table (granule_id, r, c, cls) on the same grid.
-    Tile keys are small; they prune the pixels before each later pass with semi-joins.
+    Tile keys are small; they prune the pixels before each later pass with semi-joins.  `block`: `px` is a
+    `write_pixels` layout of such blocks; bounds and scores are then stored when they are known, and the passes
+    after them read only the files under the tiles that are left.
     """
     b = data_bounds(px, headers, k, v)
+    b = stored(b, "bounds") if block else b
     pix = anchored(px, b, ts)
+
+    def under(tiles: DataFrame) -> DataFrame:
+        some = pix if not block else anchored(read_blocks(px, tiles.select(*TILE, F.lit(ts).alias("h"), F.lit(ts).alias("w")), block), b, ts)
+        return some.join(tiles.select(*TILE), TILE, "left_semi")
+
     one_pass = [(F.count_if(F.col(v) > 0) / (ts * ts)).alias("valid_frac")]
     if isinstance(gate, Column):
         one_pass.append(gate.alias("gate_prob"))
@@ -96,10 +106,11 @@ def scan_granule(px: DataFrame, headers: DataFrame, ts: int, k: int, gate: Stage
     cand = candidate_tiles(b, ts, grounded, min_grounded, max_tiles, seed)
     scored = stats.where(F.col("valid_frac") >= min_valid).drop("n_grounded").join(cand.select(*TILE), TILE, "left_semi")
     if not isinstance(gate, Column):
-        g = gate(pix.join(scored.select(*TILE), TILE, "left_semi")).select(*TILE, "gate_prob")
-        scored = scored.join(g, TILE, "left")
+        scored = stored(scored, "valid-tiles") if block else scored
+        scored = scored.join(gate(under(scored)).select(*TILE, "gate_prob"), TILE, "left")
     scored = scored.withColumn("gate_flag", flag("gate_prob", threshold))
-    seg_px = segment(pix.join(scored.where("gate_flag").select(*TILE), TILE, "left_semi"))
+    scored = stored(scored, "scored-tiles") if block else scored
+    seg_px = segment(under(scored.where("gate_flag")))
     per = seg_px.groupBy(*TILE).agg(F.avg("seg").alias("seg_mean"))
     tiles = scatter_back(scored, per, TILE, ["seg_mean"])
     c = cand.groupBy("granule_id").agg(F.count(F.lit(1)).alias("candidates"))
@@ -120,18 +131,85 @@ def to_source_grid(headers: DataFrame, values: DataFrame, cols: Sequence[str], b
     return full_grid(headers, block).join(values.select("granule_id", "r", "c", *cols), ["granule_id", "r", "c"], "left")
 
 
-def export_rasters(headers: DataFrame, tiles: DataFrame, seg_px: DataFrame, ts: int, block: int = 1024) -> DataFrame:
+def export_rasters(headers: DataFrame, tiles: DataFrame, seg_px: DataFrame, ts: int, block: int = 1024, area: DataFrame | None = None, margin: int = 0) -> DataFrame:
     """Two aligned rasters: gate_prob over each scored tile's footprint, seg on flagged tiles, NULL elsewhere.
 
-    `tiles`: swath-anchored scored tiles.  Footprints are clipped to the raster by the source grid itself.
+    `tiles`: scored tiles anchored at the corner of `area` (granule_id, row_min, row_max, col_min, col_max), or
+    the overlapping reads of `scan_reads` with the same `margin`; without an area, at the smallest corner among
+    the tiles.  Every cell of the source grid gets the key of the one tile that owns it (`row`, `col`; NULL
+    outside the area), and tiles are joined by that key.  Footprints are clipped to the raster by the grid itself.
     """
-    t = tiles.select(*TILE, "gate_prob")
-    t = t.withColumn("r", F.explode(F.sequence(F.col("row"), F.col("row") + ts - 1))).withColumn(
-        "c", F.explode(F.sequence(F.col("col"), F.col("col") + ts - 1))).select("granule_id", "r", "c", "gate_prob")
-    g = to_source_grid(headers, t, ["gate_prob"], block)
+    if area is None:
+        tiles = settle(tiles.select(*TILE, "gate_prob"))
+        area = crop_window(tiles, headers, ts).select("granule_id", F.col("row0").alias("row_min"), (F.col("row0") + F.col("h")).alias("row_max"),
+                                                      F.col("col0").alias("col_min"), (F.col("col0") + F.col("w")).alias("col_max"))
+    grid = full_grid(headers, block).join(area.select("granule_id", "row_min", "row_max", "col_min", "col_max"), "granule_id", "left")
+    grid = grid.select("granule_id", "r", "c", owner("r", "row_min", "row_max", ts, margin).alias("row"), owner("c", "col_min", "col_max", ts, margin).alias("col"))
+    g = grid.join(tiles.select(*TILE, "gate_prob"), TILE, "left")
     return g.join(seg_px.select("granule_id", "r", "c", "seg"), ["granule_id", "r", "c"], "left")
 
 
+def owner(at: str, first: str, end: str, ts: int, margin: int = 0) -> Column:
+    """Anchor of the one read that owns a position: the last one that has it `margin` or more from its near side.
+
+    Reads of `ts` stand every ts - 2 * margin from `first` on, while their anchor is before `end`.  The first
+    read owns its near side too, the last one all it reaches; positions that no read reaches have no owner.
+    """
+    stride = ts - 2 * margin
+    if stride <= 0:
+        raise ValueError("margin must be smaller than half a tile")
+    last = F.ceil((F.col(end) - F.col(first)) / stride) - 1
+    k = F.least(F.greatest(F.floor((F.col(at) - F.col(first) - margin) / stride), F.lit(0)), last)
+    anchor = (F.col(first) + k * stride).cast("int")
+    return F.when((F.col(at) >= F.col(first)) & (F.col(at) < anchor + ts), anchor)
+
+
+def scan_reads(px: DataFrame, headers: DataFrame, ts: int, k: int, gate: Column, segment: Stage, threshold: float, margin: int,
+               min_valid: float = 0.5, v: str = "v", mask: str | None = None, min_grounded: float | None = None,
+               max_tiles: int | None = None, seed: int = 0, block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reads, seg_px, area) of every granule, scanned by reads that overlap by 2 * `margin`.
+
+    The candidates of `scan_granule` (swath tiles after the grounded cut) span the area of a granule; the area is
+    read anew on the finer grid.  Valid fraction and gate decide on whole reads; reads under `min_valid` have no
+    row.  `segment` sees all pixels of the flagged reads, and of its result each pixel comes from the one read
+    that owns it (`owner`), so no value stems from the edge of a read where a neighbour has it inside.
+    `block` as for `scan_granule`.
+    """
+    b = data_bounds(px, headers, k, v)
+    b = stored(b, "bounds") if block else b
+    grounded = None
+    if mask is not None:
+        grounded = anchored(px.where(F.col(mask) == GROUNDED), b, ts).groupBy(*TILE).agg(F.count(F.lit(1)).alias("n_grounded"))
+    cand = candidate_tiles(b, ts, grounded, min_grounded, max_tiles, seed)
+    reads = overlapped_reads(cand, headers, ts, margin).select(*TILE, "row_min", "row_max", "col_min", "col_max")
+    reads = stored(reads, "reads") if block else settle(reads)
+    area = reads.select("granule_id", "row_min", "row_max", "col_min", "col_max").distinct()
+    pix = pixels_of_reads(px, reads, ts, margin)
+    stats = pix.groupBy(*TILE).agg((F.count_if(F.col(v) > 0) / (ts * ts)).alias("valid_frac"), gate.alias("gate_prob"))
+    scored = stats.where(F.col("valid_frac") >= min_valid).withColumn("gate_flag", flag("gate_prob", threshold))
+    scored = stored(scored, "scored-reads") if block else scored
+    kept = scored.where("gate_flag")
+    if block:
+        px = read_blocks(px, kept.select(*TILE, F.lit(ts).alias("h"), F.lit(ts).alias("w")), block)
+        pix = pixels_of_reads(px, reads, ts, margin)
+    seg = segment(pix.join(kept.select(*TILE), TILE, "left_semi")).join(area, "granule_id")
+    own = (F.col("row") == owner("r", "row_min", "row_max", ts, margin)) & (F.col("col") == owner("c", "col_min", "col_max", ts, margin))
+    return scored, seg.where(own).drop("row_min", "row_max", "col_min", "col_max"), area
+
+
+def export_granule(px: DataFrame, headers: DataFrame, ts: int, k: int, gate: Column, segment: Stage, threshold: float, margin: int = 0,
+                   grid_block: int = 1024, **cuts) -> DataFrame:
+    """(granule_id, r, c, row, col, gate_prob, seg) on the whole source grid of every granule, scan included.
+
+    Without `margin` the swath tiles are scanned once; with it, overlapping reads.  `cuts` go to the scan.
+    """
+    if margin:
+        reads, seg_px, area = scan_reads(px, headers, ts, k, gate, segment, threshold, margin, **cuts)
+        return export_rasters(headers, reads, seg_px, ts, grid_block, area, margin)
+    tiles, seg_px, _ = scan_granule(px, headers, ts, k, gate, segment, threshold, **cuts)
+    return export_rasters(headers, tiles, seg_px, ts, grid_block)
+
+
 def overlapped_reads(positions: DataFrame, headers: DataFrame, ts: int, margin: int, parity: bool = False) -> DataFrame:
     """Finer overlapping anchors over the tiles' bounding window, with the part of each read to keep."""
     w = crop_window(positions, headers, ts)

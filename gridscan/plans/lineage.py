@@ -32,6 +32,13 @@ def settle(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a small table to the shared folder and read it back: its size is known, so it can prune partitions of others."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to reliable storage: lost executors re-read the files, they never replay earlier rounds."""
     sc = df.sparkSession.sparkContext

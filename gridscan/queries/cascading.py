@@ -1,7 +1,7 @@
 """Models, cascades, pluggable stages."""
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gridscan.functions import scalar as S
 from gridscan.functions.stats import looks, resultant
@@ -10,10 +10,11 @@ from gridscan.operators import features as X
 from gridscan.operators import filters as FL
 from gridscan.operators import metrics as M
 from gridscan.operators import models as MD
-from gridscan.operators.grid import clip_footprint, tile_grid, with_tile
+from gridscan.operators.grid import clip_footprint, data_bounds, swath_tiles, tile_grid, with_tile
 from gridscan.operators.joins import common_box, match_ground
 from gridscan.operators.splits import map_blocks
 from gridscan.plans import cascade as CA
+from gridscan.plans.lineage import scratch_path
 from gridscan.queries import views as V
 from gridscan.queries.checking import REPORT, granule_report
 from gridscan.queries.evaluating import speckle_tiles
@@ -22,6 +23,7 @@ from gridscan.queries.grids import px_headers
 from gridscan.queries.joining import _TP, box_pairs, tile_p, two_granules
 from gridscan.queries.registry import query
 from gridscan.queries.stencils import image
+from gridscan.sources.raster import write_pixels
 
 FEATURES = ["e0", "e1", "e2", "e3", "e4", "e5"]
 SMALL = {"numTrees": 10, "maxDepth": 4}
@@ -134,7 +136,60 @@ def _(spark, sf):
     return d.select("granule_id", "r", "c", F.round("gate_prob", 6).alias("gate_prob"), F.round("seg", 6).alias("seg"))
 
 
-@query("m07_overlapped_export", """, h AS (SELECT DISTINCT granule_id FROM px), a AS (SELECT granule_id, unnest(range(0, 90, 10)) AS "row" FROM h),
+# The same scan where every cut rejects tiles.
+_CUTS = _SCAN.replace("FROM px", "FROM scene").replace("px.*", "scene.*")
+
+
+def stored_scene(spark, sf):
+    """The scene in a blocked layout: later passes read only the blocks under the tiles that are left."""
+    path = scratch_path(spark, "scene")
+    write_pixels(V.scene(spark, sf), path, block=32)
+    return spark.read.parquet(path)
+
+
+def scan_cuts(spark, sf):
+    d = stored_scene(spark, sf)
+    return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, gate(), segment, 0.55, 0.3, mask="cls", min_grounded=0.1, block=32)
+
+
+@query("m06_scan_cuts", _CUTS + """, sm AS (SELECT granule_id, "row", col, avg(seg) AS m FROM sg GROUP BY 1, 2, 3)
+    SELECT granule_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, round(vf, 6) AS valid_frac, round(p, 6) AS gate_prob, p >= 0.55 AS gate_flag, round(m, 6) AS seg_mean
+    FROM st LEFT JOIN sm USING (granule_id, "row", col)""", "scene")
+def _(spark, sf):
+    t = scan_cuts(spark, sf)[0]
+    return t.select("granule_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"),
+                    *[F.round(c, 6).alias(c) for c in ("valid_frac", "gate_prob", "seg_mean")], "gate_flag")
+
+
+@query("m06_funnel_cuts", _CUTS + """, t AS (SELECT granule_id, count(*) AS tiles FROM q1 GROUP BY 1), c AS (SELECT granule_id, count(*) AS candidates FROM cn GROUP BY 1),
+    f AS (SELECT granule_id, count(*) AS valid, count(p) AS scored, count(*) FILTER (p >= 0.55) AS flagged FROM st GROUP BY 1)
+    SELECT granule_id, tiles, candidates, coalesce(valid, 0) AS valid, coalesce(scored, 0) AS scored, coalesce(flagged, 0) AS flagged FROM t JOIN c USING (granule_id) LEFT JOIN f USING (granule_id)""", "scene")
+def _(spark, sf):
+    all_tiles = swath_tiles(data_bounds(V.scene(spark, sf), px_headers(spark, sf), 4), V.TS).groupBy("granule_id").agg(F.count(F.lit(1)).alias("tiles"))
+    return all_tiles.join(scan_cuts(spark, sf)[2], "granule_id")
+
+
+def relative(pix):
+    """A segmenter that looks at whole reads: the share of the read's peak."""
+    return pix.withColumn("seg", F.try_divide("v", F.max("v").over(Window.partitionBy(*TILE))))
+
+
+@query("m07_overlapped_export", _CUTS + """, bx AS (SELECT granule_id, min("row") AS y0, least(max("row") + 16, 96) AS y1, min(col) AS x0, least(max(col) + 16, 96) AS x1 FROM cn GROUP BY 1),
+    ra AS (SELECT *, unnest(range(y0, y1, 10)) AS "row" FROM bx), rd AS (SELECT granule_id, "row", unnest(range(x0, x1, 10)) AS col FROM ra),
+    rs AS (SELECT granule_id, "row", col, count(*) FILTER (v > 60000) / CAST(count(v) AS DOUBLE) AS p, max(v) AS peak FROM rd JOIN scene USING (granule_id)
+      WHERE r >= "row" AND r < "row" + 16 AND c >= col AND c < col + 16 GROUP BY 1, 2, 3 HAVING count(v) / 256.0 >= 0.3),
+    h AS (SELECT DISTINCT granule_id FROM px), a AS (SELECT granule_id, unnest(range(0, 96)) AS r FROM h), g AS (SELECT *, unnest(range(0, 96)) AS c FROM a),
+    k AS (SELECT g.*, y0 + 10 * least(greatest((r - y0 - 3) // 10, 0), (y1 - y0 + 9) // 10 - 1) AS y, x0 + 10 * least(greatest((c - x0 - 3) // 10, 0), (x1 - x0 + 9) // 10 - 1) AS x, y0, x0 FROM g LEFT JOIN bx USING (granule_id)),
+    o AS (SELECT granule_id, r, c, CASE WHEN r >= y0 AND r < y + 16 THEN y END AS "row", CASE WHEN c >= x0 AND c < x + 16 THEN x END AS col FROM k)
+    SELECT granule_id, CAST(o.r AS INTEGER) AS r, CAST(o.c AS INTEGER) AS c, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, round(p, 6) AS gate_prob, CASE WHEN p >= 0.55 THEN round(v / peak, 6) END AS seg
+    FROM o LEFT JOIN rs USING (granule_id, "row", col) LEFT JOIN scene USING (granule_id, r, c)""", "scene")
+def _(spark, sf):
+    d = CA.export_granule(stored_scene(spark, sf), px_headers(spark, sf), V.TS, 4, gate(), relative, 0.55, margin=3, grid_block=32,
+                          min_valid=0.3, mask="cls", min_grounded=0.1, block=32)
+    return d.select("granule_id", "r", "c", "row", "col", F.round("gate_prob", 6).alias("gate_prob"), F.round("seg", 6).alias("seg"))
+
+
+@query("m07_stitched_reads", """, h AS (SELECT DISTINCT granule_id FROM px), a AS (SELECT granule_id, unnest(range(0, 90, 10)) AS "row" FROM h),
     b AS (SELECT *, unnest(range(0, 90, 10)) AS col FROM a),
     rd AS (SELECT *, CASE WHEN "row" = 0 THEN 0 ELSE 3 END AS t, CASE WHEN col = 0 THEN 0 ELSE 3 END AS l,
       CASE WHEN "row" + 10 >= 90 THEN least(16, 96 - "row") ELSE 13 END AS bt, CASE WHEN col + 10 >= 90 THEN least(16, 96 - col) ELSE 13 END AS rt FROM b),

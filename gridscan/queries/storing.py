@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridscan.operators.grid import block_average, decimate, with_tile
 from gridscan.operators.metrics import threshold_sweep
 from gridscan.plans.cascade import to_source_grid
-from gridscan.plans.lineage import scratch_path
+from gridscan.plans.lineage import scratch_path, stored
 from gridscan.queries import views as V
 from gridscan.queries.grids import px_headers
 from gridscan.queries.registry import query
@@ -65,6 +65,19 @@ def _(spark, sf):
     return R.read_window(spark.read.parquet(path), "RF_0000", 30, 10, 20, 20, block=32).select("granule_id", "r", "c", "v")
 
 
+@query("s04_pruned_windows", """, w AS (SELECT granule_id, (hash_row * 7) % 90 AS r0, (hash_row * 11) % 90 AS c0 FROM (SELECT granule_id, CAST(right(granule_id, 4) AS BIGINT) + ascii(granule_id) AS hash_row FROM (SELECT DISTINCT granule_id FROM px) WHERE granule_id NOT LIKE 'N%')),
+    a AS (SELECT *, unnest(range(r0, r0 + 12)) AS r FROM w), g AS (SELECT *, unnest(range(c0, c0 + 12)) AS c FROM a)
+    SELECT granule_id, CAST(g.r AS INTEGER) AS r, CAST(g.c AS INTEGER) AS c, coalesce(v, 0.0) AS v FROM g LEFT JOIN px USING (granule_id, r, c)""", "px")
+def _(spark, sf):
+    path = scratch_path(spark, "pixels")
+    R.write_pixels(V.px(spark, sf), path, block=16)
+    d = spark.read.parquet(path)
+    k = F.right("granule_id", F.lit(4)).cast("int") + F.ascii("granule_id")
+    w = d.select("granule_id").distinct().where(~F.col("granule_id").startswith("N")).select(
+        "granule_id", (k * 7 % 90).alias("row"), (k * 11 % 90).alias("col"), F.lit(12).alias("h"), F.lit(12).alias("w"))
+    return R.read_windows(d, stored(w, "windows"), block=16).select("granule_id", "r", "c", "v")
+
+
 @query("s05_multi_band", 'SELECT granule_id, r, c, hh AS "HH", hv AS "HV", vh AS "VH", vv AS "VV" FROM pols', "pols")
 def _(spark, sf):
     return R.pivot_bands(R.unpivot_bands(V.pols(spark, sf)))

@@ -35,6 +35,13 @@ def px(spark, sf) -> DataFrame:
     )
 
 
+def scene(spark, sf) -> DataFrame:
+    """`px` with tiles that are nearly void and tiles without grounded ice, so that every cut of a scan rejects some."""
+    a, b = F.floor(F.col("r") / TS), F.floor(F.col("c") / TS)
+    void = ((a + 2 * b) % 5 == 1) & ((F.col("r") + F.col("c")) % 6 != 0)
+    return px(spark, sf).select("granule_id", "r", "c", F.when(~void, F.col("v")).alias("v"), F.when((2 * a + b) % 5 == 4, 0).otherwise(F.col("cls")).alias("cls"))
+
+
 def pols(spark, sf) -> DataFrame:
     """The same grid with four bands, linear intensity; a band is NULL where it has no sample."""
     li = table(spark, sf, "lineitem")
@@ -123,6 +130,8 @@ CTES = {
         CAST(l_suppkey % 96 AS INTEGER) AS c, max(CASE WHEN l_discount > 0.01 THEN l_extendedprice END) AS v,
         max(l_quantity) AS v2, max(CASE WHEN l_tax >= 0.06 THEN 1 ELSE 0 END) AS cls
         FROM lineitem GROUP BY 1, 2, 3)""",
+    "scene": """scene AS (SELECT granule_id, r, c, CASE WHEN (r // 16 + 2 * (c // 16)) % 5 <> 1 OR (r + c) % 6 = 0 THEN v END AS v,
+        CASE WHEN (2 * (r // 16) + c // 16) % 5 = 4 THEN 0 ELSE cls END AS cls FROM px)""",
     "pt": """pt AS (SELECT *, (r // 16) * 16 AS "row", (c // 16) * 16 AS col FROM px)""",
     "pols": f"""pols AS (SELECT {_GID} AS granule_id, CAST(l_partkey % 96 AS INTEGER) AS r,
         CAST(l_suppkey % 96 AS INTEGER) AS c,
@@ -156,7 +165,7 @@ CTES = {
     "lab_b": "lab_b AS (SELECT doc_id, 1 - toxic AS lab FROM labels)",
     "arr": """arr AS (SELECT event_id, ts AS arrival, user_id AS tile, event_type AS granule, value FROM events)""",
 }
-_NEEDS = {"pt": ["px"]}
+_NEEDS = {"pt": ["px"], "scene": ["px"]}
 
 
 def with_views(body: str, *views: str, recursive: bool = False) -> str:

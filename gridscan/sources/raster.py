@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridscan.schema import POLS
 
@@ -41,12 +41,31 @@ def read_window(px: DataFrame, granule_id: str, row: int, col: int, h: int, w: i
     return px.where(cond)
 
 
-def read_windows(px: DataFrame, windows: DataFrame, fill: float | None = 0.0, v: str = "v") -> DataFrame:
+def read_blocks(stored: DataFrame, windows: DataFrame, block: int) -> DataFrame:
+    """Pixels of a `write_pixels` layout in the blocks that `windows` (granule_id, row, col, h, w) touch.
+
+    The windows become (granule, block row, block column) keys.  Granule and block row are partition columns, so
+    a small `windows` prunes files while the query runs, by each column on its own; windows of no size, or beyond
+    the raster, read nothing.
+    """
+    def touched(at: str, size: str) -> Column:
+        low, high = F.floor(F.col(at) / block).cast("int"), F.floor((F.col(at) + F.col(size) - 1) / block).cast("int")
+        return F.explode(F.sequence(low, high))
+    # Spark prunes by a table that a comparison has narrowed; this one leaves out windows above or left of the raster.
+    some = windows.where((F.col("h") > 0) & (F.col("w") > 0) & (F.col("row") + F.col("h") > 0) & (F.col("col") + F.col("w") > 0))
+    keys = some.withColumn("block_r", touched("row", "h")).withColumn("block_c", touched("col", "w"))
+    return stored.join(keys.select("granule_id", "block_r", "block_c").distinct(), ["granule_id", "block_r", "block_c"], "left_semi")
+
+
+def read_windows(px: DataFrame, windows: DataFrame, fill: float | None = 0.0, v: str = "v", block: int | None = None) -> DataFrame:
     """Many boundless windows at once: (granule_id, row, col, h, w) -> every cell, `fill` where there is no pixel.
 
-    Cells outside the raster exist too, as in a boundless read.  An equi-join on (granule_id, r, c).
+    Cells outside the raster exist too, as in a boundless read.  An equi-join on (granule_id, r, c); with `block`,
+    `px` is a `write_pixels` layout and only the blocks under the windows are read.
     """
-    cells = windows.withColumn("r", F.explode(F.expr("sequence(row, row + h - 1)"))).withColumn(
+    cells = windows.where((F.col("h") > 0) & (F.col("w") > 0)).withColumn("r", F.explode(F.expr("sequence(row, row + h - 1)"))).withColumn(
         "c", F.explode(F.expr("sequence(col, col + w - 1)")))
+    if block:
+        px = read_blocks(px, windows, block)
     out = cells.join(px.select("granule_id", "r", "c", v), ["granule_id", "r", "c"], "left")
     return out if fill is None else out.withColumn(v, F.coalesce(v, F.lit(fill)))
