@@ -1,7 +1,9 @@
 """Models, cascades, pluggable stages."""
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridscan.functions import scalar as S
 from gridscan.functions.stats import looks, resultant
@@ -13,14 +15,15 @@ from gridscan.operators import models as MD
 from gridscan.operators.grid import clip_footprint, data_bounds, swath_tiles, tile_grid, with_tile
 from gridscan.operators.joins import common_box, match_ground
 from gridscan.operators.splits import map_blocks
+from gridscan.plans import acceptance as AC
 from gridscan.plans import cascade as CA
-from gridscan.plans.lineage import scratch_path
+from gridscan.plans.lineage import scratch_path, stored
 from gridscan.queries import views as V
 from gridscan.queries.checking import REPORT, granule_report
-from gridscan.queries.evaluating import speckle_tiles
-from gridscan.queries.featuring import _X1 as RADIOMETRIC
+from gridscan.queries.evaluating import _AUC, SPECKLE_METRICS, speckle_tiles
+from gridscan.queries.featuring import _ORI, _X1 as RADIOMETRIC, X15_RANKED
 from gridscan.queries.grids import px_headers
-from gridscan.queries.joining import _TP, box_pairs, tile_p, two_granules
+from gridscan.queries.joining import _AB, _TP, box_pairs, tile_p, two_granules
 from gridscan.queries.registry import query
 from gridscan.queries.stencils import image
 from gridscan.sources.raster import write_pixels
@@ -252,17 +255,65 @@ def _(spark, sf):
     return MD.matched_ab(ab_pairs(spark, sf), ["e0", "e1", "e2"], "fold", numTrees=5, maxDepth=3, min_train=1)
 
 
-@query("v06_four_step_acceptance")
-def _(spark, sf):
-    z = X.orientation_concentration(X.dominant_orientation(image(spark, sf), "a", V.TS)).select(F.lit("orientation").alias("step"), F.lit("scene R").alias("name"), F.col("R").alias("value"))
+def blend(a, b):
+    return lambda d: d.withColumn("oof", a * F.col("e0") + b * F.col("e1"))
+
+
+def acceptance_chains(spark, sf):
+    """Four new granules against a known one: all steps pass; no overlap and a failed A/B; an oriented scene; no labels."""
+    z = stored(X.dominant_orientation(image(spark, sf), "a", V.TS), "orientations")
+    of = lambda letter: z.where(F.col("granule_id").startswith(letter))
     h, p = box_pairs(spark, sf)
-    sh = X.best_shift(common_box(V.px(spark, sf).withColumn("v", F.log10("v")), h, p, 64), 1, ["ga", "gb"])
-    reg = X.median_shift(sh).select(*[F.col(c).cast("double").alias(c) for c in ("dy", "dx", "peak")]).unpivot([], ["dy", "dx", "peak"], "name", "value")
-    reg = reg.select(F.lit("registration").alias("step"), "name", "value")
-    spk = M.speckle_table(speckle_tiles(spark, sf), ["enl", "rho_row"], "src", ["k", "row", "col"], "A", "R").select(F.lit("speckle").alias("step"), F.col("metric").alias("name"), F.col("ratio").alias("value"))
-    ab = MD.matched_ab(ab_pairs(spark, sf), ["e0", "e1", "e2"], "fold", numTrees=5, maxDepth=3, min_train=1)
-    ab = ab.select(F.lit("matched A/B").alias("step"), F.col("verdict").alias("name"), F.col("delta").alias("value"))
-    return z.unionByName(reg).unionByName(spk).unionByName(ab)
+    boxes = stored(common_box(V.px(spark, sf).withColumn("v", F.log10("v")), h, p, 64), "boxes")
+    tiles, pairs = stored(speckle_tiles(spark, sf), "speckle-tiles"), stored(ab_pairs(spark, sf).drop("agree"), "pairs")
+    common = {"metrics": ["enl", "rho_row"], "features": ["e0", "e1"], "fold": "fold", "min_shared": 20, "reach": 1}
+    fair = pairs.withColumns({"e0_b": F.col("e0_a"), "e1_b": F.col("e1_a") + F.col("e1_b") / 2})
+    chains = [("R like A", AC.accept_against(spark, "R", "A", of("R"), boxes, tiles, fair, score=blend(1.0, 0.1), **common)),
+              ("N unlike A", AC.accept_against(spark, "N", "A", of("N"), None, tiles, pairs, score=blend(1.0, 0.0), **common)),
+              ("R oriented", AC.accept_against(spark, "R", "A", of("R"), boxes, tiles, fair, max_R=0.0, **common)),
+              ("A unlabelled", AC.accept_against(spark, "A", "R", of("A"), boxes, None, pairs.limit(5), **common))]
+    return reduce(DataFrame.unionByName, [c.withColumn("granule", F.lit(n)) for n, c in chains])
+
+
+def _registration(who: str) -> str:
+    return f"""SELECT '{who}' AS granule, 2 AS position, 'registration' AS step, n AS name, CASE WHEN n = 'peak' THEN 'info' WHEN abs(x) <= 1 THEN 'ok' ELSE 'fail' END AS status, x AS measured
+      FROM (SELECT unnest(['dy', 'dx', 'peak']) AS n, unnest([dy, dx, peak]) AS x FROM rg)"""
+
+
+def _orientation(who: str, letter: str, most: float) -> str:
+    return f"""SELECT '{who}' AS granule, 1 AS position, 'orientation' AS step, 'scene R' AS name, CASE WHEN x <= {most} THEN 'ok' ELSE 'fail' END AS status, x AS measured FROM (SELECT sqrt(pow(avg(ux), 2) + pow(avg(uy), 2)) AS x FROM un WHERE l = '{letter}')
+    UNION ALL SELECT '{who}', 1, 'orientation', 'highest region R', 'info', (SELECT max(x) FROM og WHERE l = '{letter}')"""
+
+
+def _speckle(who: str, new: str, known: str) -> str:
+    return f"""SELECT '{who}' AS granule, 3 AS position, 'speckle' AS step, metric || ' ratio' AS name, CASE WHEN x BETWEEN 0.67 AND 1.5 THEN 'ok' ELSE 'warn' END AS status, x AS measured
+      FROM (SELECT metric, quantile_cont(x, 0.5) FILTER (src = '{new}') / nullif(quantile_cont(x, 0.5) FILTER (src = '{known}'), 0) AS x
+        FROM ml WHERE src IN ('{new}', '{known}') AND (k, "row", col) IN (SELECT (k, "row", col) FROM m WHERE src = '{new}') AND (k, "row", col) IN (SELECT (k, "row", col) FROM m WHERE src = '{known}') GROUP BY 1)"""
+
+
+def _matched(who: str, control: str, test: str) -> str:
+    one = lambda x: f"(SELECT {_AUC} FROM (SELECT y, rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rk FROM mp))"
+    return f"""SELECT '{who}' AS granule, 4 AS position, 'matched A/B' AS step, n AS name, CASE WHEN x >= b THEN 'ok' ELSE 'fail' END AS status, x AS measured
+      FROM (SELECT unnest(['control AUC', 'test minus control']) AS n, unnest([u, v - u]) AS x, unnest([0.85, -0.10]) AS b FROM (SELECT {one(control)} AS u, {one(test)} AS v))"""
+
+
+@query("v06_four_step_acceptance", _ORI.replace("un AS (SELECT *,", "un AS (SELECT *, left(granule_id, 1) AS l,") + X15_RANKED + SPECKLE_METRICS + _AB.replace(", a AS", ", fa AS").replace(" b AS", " fb AS") + f""",
+    qe AS (SELECT l, k, quantile_cont("row", [0, 1.0 / 3, 2.0 / 3, 1])[k + 1] AS rlo, quantile_cont("row", [0, 1.0 / 3, 2.0 / 3, 1])[k + 2] AS rhi,
+      quantile_cont(col, [0, 1.0 / 3, 2.0 / 3, 1])[k + 1] AS clo, quantile_cont(col, [0, 1.0 / 3, 2.0 / 3, 1])[k + 2] AS chi FROM un CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2),
+    og AS (SELECT l, sqrt(pow(avg(ux), 2) + pow(avg(uy), 2)) AS x FROM un JOIN qe a USING (l) JOIN qe b USING (l) WHERE "row" BETWEEN a.rlo AND a.rhi AND col BETWEEN b.clo AND b.chi GROUP BY l, a.k, b.k HAVING count(*) >= 5),
+    s1 AS (SELECT * FROM rk1 WHERE rn = 1), rg AS (SELECT median(dy)::DOUBLE AS dy, median(dx)::DOUBLE AS dx, median(peak) AS peak FROM s1 WHERE peak >= (SELECT median(peak) FROM s1)),
+    ml AS (SELECT src, k, "row", col, 'enl' AS metric, enl AS x FROM m UNION ALL SELECT src, k, "row", col, 'rho_row', rho_row FROM m),
+    mp AS (SELECT CAST(a.e0 > 0 AS INTEGER) AS y, a.e0 AS a0, a.e1 AS a1, b.e0 AS b0, b.e1 AS b1 FROM fa a JOIN fb b USING (kx, ky)),
+    ft AS ({_orientation("R like A", "R", 0.7)} UNION ALL {_registration("R like A")} UNION ALL {_speckle("R like A", "R", "A")} UNION ALL {_matched("R like A", "a0 + 0.1 * a1", "a0 + 0.1 * (a1 + b1 / 2)")}
+      UNION ALL {_orientation("N unlike A", "N", 0.7)} UNION ALL {_speckle("N unlike A", "N", "A")} UNION ALL {_matched("N unlike A", "a0", "b0")}
+      UNION ALL {_orientation("R oriented", "R", 0.0)} UNION ALL {_orientation("A unlabelled", "A", 0.7)} UNION ALL {_registration("A unlabelled")}),
+    sk AS (SELECT * FROM (VALUES ('N unlike A', 2, 'registration', 'lacks boxes'), ('R oriented', 2, 'registration', 'after orientation'), ('R oriented', 3, 'speckle', 'after orientation'),
+      ('R oriented', 4, 'matched A/B', 'after orientation'), ('A unlabelled', 3, 'speckle', 'lacks matched'), ('A unlabelled', 4, 'matched A/B', 'lacks pairs')) t(granule, position, step, reason))
+    SELECT granule, position, step, CASE WHEN max(CAST(status = 'fail' AS INTEGER)) OVER (PARTITION BY granule, position) = 1 THEN 'FAIL' ELSE 'PASS' END AS verdict, NULL AS reason, name, status, round(measured, 6) AS measured FROM ft
+    UNION ALL SELECT granule, position, step, 'SKIPPED', reason, NULL, NULL, NULL FROM sk""", "px feat")
+def _(spark, sf):
+    d = acceptance_chains(spark, sf)
+    return d.select("granule", "position", "step", "verdict", "reason", "name", "status", F.round("measured", 6).alias("measured"))
 
 
 @query("z01_pluggable_stage", "SELECT vec_id, round(p_a, 6) AS gate_prob, p_a >= 0.5 AS gate_flag, CASE WHEN p_a >= 0.5 THEN round(e0 * e0 + e1 * e1, 6) END AS seg FROM feat", "feat")

@@ -177,11 +177,14 @@ def speckle_tiles(spark, sf):
     return d.withColumn("src", F.substring("granule_id", 1, 1)).withColumn("k", F.substring("granule_id", 2, 20))
 
 
-@query("e17_speckle_table", DEN + nb("n1", "den", "a", 4) + """, b AS (SELECT granule_id, "row", col, r, c, a, a - avg(nv) AS x FROM n1
+SPECKLE_METRICS = nb("n1", "den", "a", 4) + """, b AS (SELECT granule_id, "row", col, r, c, a, a - avg(nv) AS x FROM n1
       GROUP BY granule_id, "row", col, r, c, a),
     z AS (SELECT granule_id, "row", col, r, c, a, x - avg(x) OVER (PARTITION BY granule_id, "row", col) AS x FROM b),
     m AS (SELECT substr(z.granule_id, 1, 1) AS src, substr(z.granule_id, 2) AS k, z."row", z.col, CASE WHEN avg(z.x * z.x) < 1e-20 THEN 0.0 ELSE avg(z.x * d.x) / avg(z.x * z.x) END AS rho_row,
-      pow(avg(z.a) / nullif(stddev_pop(z.a), 0), 2) AS enl FROM z LEFT JOIN z d ON d.granule_id = z.granule_id AND d."row" = z."row" AND d.r = z.r + 1 AND d.c = z.c GROUP BY 1, 2, 3, 4),
+      pow(avg(z.a) / nullif(stddev_pop(z.a), 0), 2) AS enl FROM z LEFT JOIN z d ON d.granule_id = z.granule_id AND d."row" = z."row" AND d.r = z.r + 1 AND d.c = z.c GROUP BY 1, 2, 3, 4)"""
+
+
+@query("e17_speckle_table", DEN + SPECKLE_METRICS + """,
     mt AS (SELECT * FROM m WHERE src IN ('A', 'R') AND (k, "row", col) IN (SELECT (k, "row", col) FROM m WHERE src = 'A') AND (k, "row", col) IN (SELECT (k, "row", col) FROM m WHERE src = 'R')),
     l AS (SELECT src, 'enl' AS metric, enl AS x FROM mt UNION ALL SELECT src, 'rho_row', rho_row FROM mt)
     SELECT metric, round(quantile_cont(x, 0.5) FILTER (src = 'A'), 6) AS median_a, round(quantile_cont(x, 0.5) FILTER (src = 'R'), 6) AS median_b,

@@ -240,6 +240,14 @@ def _(spark, sf):
     return d.select("grp", "n", *[F.round(c, 6).alias(c) for c in ("mean_dist", "share_near", "median_dist")])
 
 
+X15_RANKED = """, ba AS (SELECT granule_id AS ga, substr(granule_id, 2) AS k, r - 8 AS br, c - 10 AS bc, log10(v) AS va FROM px WHERE granule_id LIKE 'A%'),
+    bb AS (SELECT granule_id AS gb, substr(granule_id, 2) AS k, r - 4 AS br, c - 3 AS bc, log10(v) AS vb FROM px WHERE granule_id LIKE 'R%'),
+    bx AS (SELECT ga, gb, br, bc, va, vb FROM ba JOIN bb USING (k, br, bc) WHERE br BETWEEN 0 AND 63 AND bc BETWEEN 0 AND 63),
+    shy AS (SELECT unnest(range(-1, 2)) AS dy), shx AS (SELECT unnest(range(-1, 2)) AS dx),
+    rr1 AS (SELECT l.ga, l.gb, dy, dx, corr(l.va, m.vb) AS peak FROM bx l CROSS JOIN shy CROSS JOIN shx JOIN bx m ON m.ga = l.ga AND m.gb = l.gb AND m.br = l.br + dy AND m.bc = l.bc + dx GROUP BY 1, 2, 3, 4),
+    rk1 AS (SELECT *, row_number() OVER (PARTITION BY ga, gb ORDER BY round(peak, 9) DESC, abs(dy) + abs(dx), dy, dx) AS rn FROM rr1)"""
+
+
 @query("x15_best_shift", """, a AS (SELECT granule_id AS ga, substr(granule_id, 2) AS k, r - 8 AS br, c - 10 AS bc, log10(v) AS va FROM px WHERE granule_id LIKE 'A%'),
     b AS (SELECT granule_id AS gb, substr(granule_id, 2) AS k, r - 4 AS br, c - 3 AS bc, log10(v) AS vb FROM px WHERE granule_id LIKE 'R%'),
     bx AS (SELECT ga, gb, br, bc, va, vb FROM a JOIN b USING (k, br, bc) WHERE br BETWEEN 0 AND 63 AND bc BETWEEN 0 AND 63),
