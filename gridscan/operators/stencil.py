@@ -21,10 +21,25 @@ def by_tile(px: DataFrame, tile: Sequence[str] = TILE) -> DataFrame:
     return px.repartition(*tile)
 
 
-def densify(tiles: DataFrame, px: DataFrame, ts: int, cols: Sequence[str]) -> DataFrame:
-    """Every pixel of every tile; NULL where the pixel table has no row.  Comes out clustered by tile."""
-    d = expand(tiles.select(*TILE), ts).join(px.select("granule_id", "r", "c", *cols), ["granule_id", "r", "c"], "left")
-    return by_tile(d)
+def densify(tiles: DataFrame, px: DataFrame, ts: int, cols: Sequence[str], origin: tuple[int, int] | None = None) -> DataFrame:
+    """Every pixel of every tile; NULL where the pixel table has no row.  Comes out clustered by tile.
+
+    Pixels get their tile key from the places where tiles begin (modulo `ts`, per granule) and are shuffled once,
+    as many as there are; the dense raster is made behind that shuffle, from tile keys, and never moves itself.
+    `origin`: all tiles stand on the one grid that begins there, so the places need not be gathered.
+    """
+    t = tiles.select(*TILE).distinct() if origin is None else tiles.select(*TILE)
+    if origin is None:
+        at = t.select("granule_id", F.pmod("row", F.lit(ts)).alias("_r0"), F.pmod("col", F.lit(ts)).alias("_c0")).distinct()
+        px, r0, c0 = px.join(at, "granule_id"), F.col("_r0"), F.col("_c0")
+    else:
+        r0, c0 = F.lit(origin[0]), F.lit(origin[1])
+    corner = lambda x, o: (F.col(x) - F.pmod(F.col(x) - o, F.lit(ts))).cast("int")
+    known = px.select("granule_id", corner("r", r0).alias("row"), corner("c", c0).alias("col"), "r", "c", *cols, F.lit(None).cast("boolean").alias("_in"))
+    ints = [F.col(x).cast("int").alias(x) for x in ("row", "col")]
+    empty = expand(by_tile(t.select("granule_id", *ints)), ts).select(*known.columns[:5], *[F.lit(None).cast(px.schema[c].dataType).alias(c) for c in cols], F.lit(True).alias("_in"))
+    both = by_tile(known).unionByName(empty).groupBy(*known.columns[:5])
+    return both.agg(*[F.max(c).alias(c) for c in cols], F.max("_in").alias("_in")).where("_in").drop("_in")
 
 
 def neighbour(v: Column | str, dr: int, dc: int, tile: Sequence[str] = TILE) -> Column:
@@ -39,6 +54,20 @@ def neighbour(v: Column | str, dr: int, dc: int, tile: Sequence[str] = TILE) ->
     return F.max(v).over(w)
 
 
+def neighbour_dense(v: str, dr: int, dc: int, ts: int, tile: Sequence[str] = TILE) -> Column:
+    """`neighbour` on dense tiles: in row-major order it stands dr * ts + dc rows on, so one sort serves all directions.
+
+    A tile that lacks pixels stops the job: `densify` it first.
+    """
+    w, off = W.partitionBy(*tile).orderBy("r", "c"), dr * ts + dc
+    at = (lambda x: F.lead(x, off).over(w)) if off >= 0 else (lambda x: F.lag(x, -off).over(w))
+    r, c = F.col("r") + dr, F.col("c") + dc
+    inside = r.between(F.col("row"), F.col("row") + ts - 1) & c.between(F.col("col"), F.col("col") + ts - 1)
+    found = (at("r") == r) & (at("c") == c)
+    gap = F.raise_error(F.lit("a tile is not dense")).cast("double")
+    return F.when(inside, F.when(F.coalesce(found, F.lit(False)), at(v)).otherwise(gap))
+
+
 def _origin(axis: str) -> str:
     return {"r": "row", "c": "col"}[axis]
 
@@ -179,10 +208,13 @@ def median_filter(df: DataFrame, v: str, k: int, ts: int, out: str = "med", tile
     return d.withColumn(out, (lo + hi) / 2).drop("_l")
 
 
-def gradient(df: DataFrame, v: str, ts: int, gr: str = "gr", gc: str = "gc", tile: Sequence[str] = TILE) -> DataFrame:
-    """Central differences, one-sided at the tile edge."""
+def gradient(df: DataFrame, v: str, ts: int, gr: str = "gr", gc: str = "gc", tile: Sequence[str] = TILE, dense: bool = False) -> DataFrame:
+    """Central differences, one-sided at the tile edge.  `dense`: no pixel is missing, so both axes share one sort."""
+    def near(dr, dc):
+        return neighbour_dense(v, dr, dc, ts, tile) if dense else neighbour(v, dr, dc, tile)
+
     def one(axis, dr, dc):
-        nxt, prv = neighbour(v, dr, dc, tile), neighbour(v, -dr, -dc, tile)
+        nxt, prv = near(dr, dc), near(-dr, -dc)
         x = F.col(v)
         first, last = F.col(axis) == F.col(_origin(axis)), F.col(axis) == F.col(_origin(axis)) + ts - 1
         return F.when(first, nxt - x).when(last, x - prv).otherwise((nxt - prv) / 2)
@@ -212,10 +244,10 @@ def diagonal_acf(df: DataFrame, v: str, ts: int, min_pairs: int = 101, tile: Seq
 
 
 def residual_rho1(df: DataFrame, v: str, ts: int, k: int = 9, tile: Sequence[str] = TILE) -> DataFrame:
-    """Lag-1 autocorrelation per axis of what is left after a k x k mean; 0 for a flat tile."""
+    """Lag-1 autocorrelation per axis of what is left after a k x k mean; 0 for a flat tile.  Tiles are dense."""
     d = box_mean(df, {"_bg": v}, k, ts, tile=tile).withColumn("_r", F.col(v) - F.col("_bg"))
     d = d.withColumn("_r", F.col("_r") - F.avg("_r").over(W.partitionBy(*tile)))
-    d = d.withColumn("_down", neighbour("_r", 1, 0, tile)).withColumn("_right", neighbour("_r", 0, 1, tile))
+    d = d.withColumns({"_down": neighbour_dense("_r", 1, 0, ts, tile), "_right": neighbour_dense("_r", 0, 1, ts, tile)})
     den = F.avg(F.col("_r") * F.col("_r"))
 
     def rho(n):
@@ -229,7 +261,7 @@ def structure_tensor(df: DataFrame, v: str, ts: int, smooth: Sequence[float] | i
 
     `smooth`: kernel weights (e.g. `gaussian_weights(2.0)`), or an odd box size.
     """
-    d = sobel(df, v, ts, tile=tile) if derivative == "sobel" else gradient(df, v, ts, tile=tile)
+    d = sobel(df, v, ts, tile=tile) if derivative == "sobel" else gradient(df, v, ts, tile=tile, dense=True)
     prods = {"arr": F.col("gr") * F.col("gr"), "arc": F.col("gr") * F.col("gc"), "acc": F.col("gc") * F.col("gc")}
     if isinstance(smooth, int):
         d = box_mean(d, prods, smooth, ts, tile=tile)

@@ -113,7 +113,7 @@ _GLCM = _GLCM.replace("AS n FROM sy GROUP BY ALL", 'AS n FROM sy GROUP BY granul
 
 @query("x04_cooccurrence", _GLCM, "px")
 def _(spark, sf):
-    d = X.cooccurrence(gate(spark, sf))
+    d = X.cooccurrence(gate(spark, sf), ts=TS)
     return rk(d, [c for c in d.columns if c.startswith("glcm")])
 
 

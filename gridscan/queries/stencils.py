@@ -16,7 +16,7 @@ def image(spark, sf):
     """Dense tiles: a = filled log image, lv = the log image with gaps."""
     t = tile_grid(px_headers(spark, sf), TS).select("granule_id", "row", "col")
     d = V.px(spark, sf).select("granule_id", "r", "c", F.log10("v").alias("lv"))
-    return ST.densify(t, d, TS, ["lv"]).withColumn("a", F.coalesce("lv", F.lit(4.0)))
+    return ST.densify(t, d, TS, ["lv"], (0, 0)).withColumn("a", F.coalesce("lv", F.lit(4.0)))
 
 
 DEN = """, gh AS (SELECT DISTINCT granule_id FROM px), gr_ AS (SELECT granule_id, unnest(range(0, 96)) AS r FROM gh),
@@ -112,7 +112,7 @@ _GRAD = DEN + """, sh AS (SELECT *, lead(a) OVER (PARTITION BY granule_id, c ORD
 
 @query("w08_gradient", _GRAD + " SELECT granule_id, r, c, round(gr, 6) AS gr, round(gc, 6) AS gc FROM gd", "px")
 def _(spark, sf):
-    return out(ST.gradient(image(spark, sf), "a", TS), gr="gr", gc="gc")
+    return out(ST.gradient(image(spark, sf), "a", TS, dense=True), gr="gr", gc="gc")
 
 
 _DIAG = """, l AS (SELECT granule_id, "row", col, r, c, log10(v) AS lg FROM pt),

@@ -47,3 +47,32 @@ def test_top_k_per_class_is_limited_before_the_shuffle(spark):
     from gridscan.operators.sampling import per_class
     d = spark.range(1000).select("id", (F.col("id") % 3).cast("string").alias("cls"), F.rand(2).alias("p"))
     assert "WindowGroupLimit" in plan(per_class(d, 5, "cls", "p", ["id"]))
+
+
+def test_dense_raster_is_made_behind_the_one_shuffle_of_pixels(spark):
+    """Pixels and tile keys are shuffled once each; two sorts at most for eight co-occurrence directions."""
+    from gridscan.operators.features import cooccurrence
+    from gridscan.operators.grid import tile_grid
+    heads = spark.createDataFrame([("g", 64, 64)], "granule_id string, height int, width int")
+    d = ST.densify(tile_grid(heads, 16), pixels(spark), 16, ["v"], (0, 0))
+    p = plan(cooccurrence(d, "v", ts=16))
+    assert p.count("Exchange hashpartitioning") == 2 and p.count(" Sort ") <= 2
+
+
+def test_neighbours_by_offset_are_the_neighbours(spark):
+    import pytest
+    d = ST.by_tile(with_tile(pixels(spark, 24), 8)).withColumn("v", F.when(F.col("r") * 7 % 5 != 2, F.col("v")))
+    for dr, dc in ((0, 1), (0, -2), (1, 1), (3, -3), (-1, 2), (7, -7), (-8, 0), (2, 9)):
+        both = d.select(ST.neighbour("v", dr, dc).alias("a"), ST.neighbour_dense("v", dr, dc, 8).alias("b"))
+        assert both.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
+    with pytest.raises(Exception, match="not dense"):
+        d.where("r <> 3 OR c <> 5").select(ST.neighbour_dense("v", 0, 1, 8)).collect()
+
+
+def test_tiles_may_begin_anywhere_and_overlap(spark):
+    tiles = spark.createDataFrame([("g", 3, 5), ("g", 11, 5), ("g", 7, 9), ("g", 60, 60), ("h", 0, 0), ("g", 3, 5)], "granule_id string, row int, col int")
+    px = pixels(spark).where("(r + c) % 3 <> 0")
+    got = {(x.granule_id, x.row, x.col, x.r, x.c): x.v for x in ST.densify(tiles, px, 8, ["v"]).collect()}
+    known = {("g", x.r, x.c): x.v for x in px.collect()}
+    want = {(g, a, b, r, c): known.get((g, r, c)) for g, a, b in {tuple(t) for t in tiles.collect()} for r in range(a, a + 8) for c in range(b, b + 8)}
+    assert got == want
