@@ -130,11 +130,17 @@ def outside_boxes(points: DataFrame, boxes: DataFrame, cell: float, x: str = "x_
 
 
 def outside_tiles(train: DataFrame, val: DataFrame, k: int, key: Sequence[str] = ("granule_id",)) -> DataFrame:
-    """Train tiles more than k tiles (Chebyshev) from every val tile; each val tile lists (2k+1)^2 cells."""
-    off = F.sequence(F.lit(-k), F.lit(k))
-    v = val.select(*key, "ti", "tj").distinct().withColumn("_i", F.explode(off)).withColumn("_j", F.explode(off))
-    v = v.select(*key, (F.col("ti") + F.col("_i")).alias("ti"), (F.col("tj") + F.col("_j")).alias("tj")).distinct()
-    return train.join(v, [*key, "ti", "tj"], "left_anti")
+    """Train tiles more than k tiles (Chebyshev) from every val tile.
+
+    Separable: each val tile marks its own column, 2k + 1 rows; a range frame of k to either side along each grid
+    row spreads the marks, so no cell of the square around a tile is listed.
+    """
+    marks = val.select(*key, "ti", "tj").distinct().withColumn("ti", F.explode(F.sequence(F.col("ti") - k, F.col("ti") + k)))
+    marks = marks.distinct().withColumn("_mark", F.lit(True))
+    both = train.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    along = W.partitionBy(*key, "ti").orderBy("tj").rangeBetween(-k, k)
+    near = both.withColumn("_near", F.max("_mark").over(along))
+    return near.where(~F.col("_mark") & ~F.col("_near")).select(*train.columns)
 
 
 def distance_to_positive(grid: DataFrame, positive: str, key: Sequence[str] = ("granule_id",)) -> DataFrame:
@@ -203,13 +209,19 @@ def score_minus_label(tiles: DataFrame, label_px: DataFrame, p: str, label: str,
 def common_box(px: DataFrame, headers: DataFrame, pairs: DataFrame, side: int, every: int = 1, v: str = "v") -> DataFrame:
     """Pixels of two granules inside one map box, keyed by position in the box, every `every`-th row and column.
 
-    `pairs`: (ga, gb, bx0, by1).  Only positions present in both remain: the common shape.
+    `pairs`: (ga, gb, bx0, by1).  Only positions present in both remain: the common shape.  Each box lists the
+    blocks of `side` pixels that it touches (3 x 3 at most), and pixels meet only the boxes of their own block.
     """
     h = headers.select("granule_id", "px_m", "origin_x", "origin_y")
+    block = lambda x: F.floor(x / side).cast("int")
 
     def one(gcol, out):
-        p = pairs.select(gcol, F.col("ga").alias("_ga"), F.col("gb").alias("_gb"), "bx0", "by1").withColumnRenamed(gcol, "granule_id")
-        d = px.select("granule_id", "r", "c", v).join(h, "granule_id").join(p, "granule_id")
+        p = pairs.select(gcol, F.col("ga").alias("_ga"), F.col("gb").alias("_gb"), "bx0", "by1").withColumnRenamed(gcol, "granule_id").join(h, "granule_id")
+        r0, c0 = (F.col("origin_y") - F.col("by1")) / F.col("px_m"), (F.col("bx0") - F.col("origin_x")) / F.col("px_m")
+        # Positions are rounded, hence one pixel to spare on either side.
+        for name, first in (("_kr", r0), ("_kc", c0)):
+            p = p.withColumn(name, F.explode(F.sequence(block(first - 1), block(first + side))))
+        d = px.select("granule_id", "r", "c", v, block(F.col("r")).alias("_kr"), block(F.col("c")).alias("_kc")).join(p, ["granule_id", "_kr", "_kc"])
         br = F.bround((F.col("by1") - (F.col("origin_y") - F.col("r") * F.col("px_m"))) / F.col("px_m")).cast("int")
         bc = F.bround((F.col("origin_x") + F.col("c") * F.col("px_m") - F.col("bx0")) / F.col("px_m")).cast("int")
         d = d.select(F.col("_ga").alias("ga"), F.col("_gb").alias("gb"), br.alias("br"), bc.alias("bc"), F.col(v).alias(out))

@@ -63,9 +63,10 @@ def spaced_pick(cands: DataFrame, min_sep: int, seed: int = SEED, n: int | None
     """Greedy pick in seeded order with Chebyshev separation >= min_sep, as parallel rounds.
 
     A round accepts every undecided tile that comes before all undecided tiles within reach, then drops the
-    tiles the new picks block; that is exactly the sequential greedy result.  Reach is expressed as cell keys,
-    and each cell keeps one minimum, so no pair of tiles is ever emitted.  Rounds grow with the longest chain
-    of conflicts (logarithmic for random orders); each is checkpointed.
+    tiles the new picks block; that is exactly the sequential greedy result.  Reach is separable: each tile
+    stands in the 2m + 1 grid rows it reaches, and a range frame of m to either side along each row does the
+    rest, so no pair of tiles is ever emitted and no cell of the square is listed.  Rounds grow with the longest
+    chain of conflicts (logarithmic for random orders); each is checkpointed.
     """
     cols = cands.columns
     und = cut_lineage(cands.withColumn("_h", order_key(seed, *key, "ti", "tj")))
@@ -73,18 +74,23 @@ def spaced_pick(cands: DataFrame, min_sep: int, seed: int = SEED, n: int | None
     if m <= 0:
         picked = und
     else:
-        off = F.sequence(F.lit(-m), F.lit(m))
+        along = W.partitionBy(*key, "ti").orderBy("tj").rangeBetween(-m, m)
 
-        def reach(d: DataFrame, *extra: str) -> DataFrame:
-            e = d.select(*key, "ti", "tj", *extra).withColumn("_i", F.explode(off)).withColumn("_j", F.explode(off))
-            return e.select(*key, (F.col("ti") + F.col("_i")).alias("ti"), (F.col("tj") + F.col("_j")).alias("tj"), *extra)
+        def in_rows(d: DataFrame) -> DataFrame:
+            """Each tile once in every grid row it reaches; `_own` where it stands itself."""
+            e = d.withColumn("_i", F.explode(F.sequence(F.lit(-m), F.lit(m))))
+            return e.withColumn("ti", F.col("ti") + F.col("_i")).withColumn("_own", F.col("_i") == 0).drop("_i")
 
         picked = None
         while True:
-            best = reach(und, "_h").groupBy(*key, "ti", "tj").agg(F.min("_h").alias("_best"))
-            won = cut_lineage(und.join(best, [*key, "ti", "tj"]).where(F.col("_h") == F.col("_best")).drop("_best"))
+            best = in_rows(und).withColumn("_best", F.min("_h").over(along))
+            decided = cut_lineage(best.where("_own").select(*und.columns, (F.col("_h") == F.col("_best")).alias("_won")))
+            won = decided.where("_won").drop("_won")
             picked = won if picked is None else picked.unionByName(won)
-            und = cut_lineage(und.join(reach(won).distinct(), [*key, "ti", "tj"], "left_anti"))
+            marks = in_rows(won.select(*key, "ti", "tj")).select(*key, "ti", "tj", F.lit(True).alias("_mark"))
+            rest = decided.where(~F.col("_won")).drop("_won").withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+            rest = rest.withColumn("_near", F.max("_mark").over(along)).where(~F.col("_mark") & ~F.col("_near"))
+            und = cut_lineage(rest.select(*und.columns))
             if und.isEmpty():
                 break
     if n is not None:

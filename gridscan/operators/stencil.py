@@ -86,23 +86,27 @@ def _reflect(df: DataFrame, axis: str, h: int, ts: int) -> DataFrame:
     return df.withColumn("_pos", F.explode(pos))
 
 
-def kernel_pass(df: DataFrame, cols: Mapping[str, Column | str], weights: Sequence[float], axis: str, ts: int,
+def kernel_pass(df: DataFrame, cols: Mapping[str, Column | str], weights: Sequence[float] | Mapping[str, Sequence[float]], axis: str, ts: int,
                 tile: Sequence[str] = TILE) -> DataFrame:
-    """Weighted sum along one axis with a reflected border; `weights` has odd length, centre in the middle."""
-    h = len(weights) // 2
+    """Weighted sum along one axis with a reflected border; `weights` has odd length, centre in the middle.
+
+    One list serves all columns, or each column of the result has its own, all of one length.
+    """
+    own = weights if isinstance(weights, Mapping) else {o: weights for o in cols}
+    h = max((len(w) for w in own.values()), default=0) // 2
     p = _reflect(df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(f"_in_{o}") for o, c in cols.items()]), axis, h, ts)
     w = W.partitionBy(*tile, _other(axis)).orderBy("_pos")
     outs = {}
     for o in cols:
         x = F.col(f"_in_{o}")
         terms = []
-        for i, wt in enumerate(weights):
+        for i, wt in enumerate(own[o]):
             k = i - h
             if wt == 0:
                 continue
             at = x if k == 0 else (F.lead(x, k).over(w) if k > 0 else F.lag(x, -k).over(w))
             terms.append(at * float(wt))
-        outs[o] = sum(terms[1:], terms[0])
+        outs[o] = sum(terms[1:], terms[0]) if terms else x * 0.0
     keep = [c for c in df.columns if c not in cols]
     return p.select(*keep, "_pos", *[e.alias(o) for o, e in outs.items()]).where(F.col("_pos") == F.col(axis)).drop("_pos")
 

@@ -185,9 +185,21 @@ _K = [[0.1, 0.2, 0.0], [-0.3, 1.0, 0.4], [0.05, 0.0, -0.25]]
     SELECT d.granule_id, d.r, d.c, round(sum(CAST(wt AS DOUBLE) * n.a), 6) AS v FROM den d CROSS JOIN kk JOIN den n ON n.granule_id = d.granule_id
       AND n.r = least(greatest(d.r + i, d."row"), d."row" + 15) AND n.c = least(greatest(d.c + j, d.col), d.col + 15) GROUP BY 1, 2, 3""", "px")
 def _(spark, sf):
-    d = X.convolve_tiles(packed(spark, sf), _K).select("*", F.posexplode("data").alias("i", "v"))
-    return d.select("granule_id", (F.col("row") + F.floor(F.col("i") / TS)).cast("int").alias("r"),
-                    (F.col("col") + F.col("i") % TS).cast("int").alias("c"), F.round("v", 6).alias("v"))
+    d = X.convolve(image(spark, sf), "a", _K, TS, "v")
+    return d.select("granule_id", "r", "c", F.round("v", 6).alias("v"))
+
+
+# Rank 2: a ridge along one diagonal that no single separable pass can give.
+_RANK_2 = [[a * x + b * y for x, y in zip((1, 2, 3, 2, 1), (-1, 0.5, 0, 1, -2))] for a, b in ((0.1, 0), (0.2, 0.1), (0.3, -0.2), (0.1, 0.4), (0, 0.3))]
+
+
+@query("x10_low_rank", DEN + ", kk AS (SELECT * FROM (VALUES " + ", ".join(f"({i - 2}, {j - 2}, {w!r})" for i, row in enumerate(_RANK_2) for j, w in enumerate(row)) + f""") t(i, j, wt)),
+    nn AS (SELECT d.granule_id, d.r, d.c, d."row" AS y, d.col AS x, d.r + i AS p, d.c + j AS q, wt FROM den d CROSS JOIN kk),
+    mm AS (SELECT granule_id, r, c, wt, CASE WHEN p < y THEN 2 * y - 1 - p WHEN p > y + 15 THEN 2 * (y + 16) - 1 - p ELSE p END AS p, CASE WHEN q < x THEN 2 * x - 1 - q WHEN q > x + 15 THEN 2 * (x + 16) - 1 - q ELSE q END AS q FROM nn)
+    SELECT mm.granule_id, mm.r, mm.c, round(sum(CAST(wt AS DOUBLE) * n.a), 5) AS v FROM mm JOIN den n ON n.granule_id = mm.granule_id AND n.r = p AND n.c = q GROUP BY 1, 2, 3""", "px")
+def _(spark, sf):
+    d = X.convolve(image(spark, sf), "a", _RANK_2, TS, "v")
+    return d.select("granule_id", "r", "c", F.round("v", 5).alias("v"))
 
 
 @query("x11_spectrum")

@@ -76,3 +76,15 @@ def test_tiles_may_begin_anywhere_and_overlap(spark):
     known = {("g", x.r, x.c): x.v for x in px.collect()}
     want = {(g, a, b, r, c): known.get((g, r, c)) for g, a, b in {tuple(t) for t in tiles.collect()} for r in range(a, a + 8) for c in range(b, b + 8)}
     assert got == want
+
+
+def test_reach_lists_no_squares(spark):
+    """Chebyshev reach makes 2k + 1 rows a tile, with range frames in place of the other axis."""
+    from gridscan.operators.joins import outside_tiles
+    t = spark.range(400).select(F.lit("g").alias("granule_id"), (F.col("id") / 20).cast("int").alias("ti"), (F.col("id") % 20).cast("int").alias("tj"), (F.col("id") % 57 == 5).alias("val"))
+    d = outside_tiles(t.where("NOT val"), t.where("val"), 3)
+    marked = {(r.ti, r.tj) for r in t.where("val").collect()}
+    want = {(r.ti, r.tj) for r in t.where("NOT val").collect() if all(max(abs(r.ti - a), abs(r.tj - b)) > 3 for a, b in marked)}
+    assert d.columns == t.columns and {(r.ti, r.tj) for r in d.collect()} == want and want
+    p = plan(outside_tiles(t.where("NOT val"), t.where("val"), 3))
+    assert p.count("Generate explode") == 1 and "Join" not in p and "rangeframe" in p.lower()

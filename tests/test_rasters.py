@@ -136,11 +136,17 @@ def test_spectrum_twin(spark):
 
 
 def test_convolve_twin(spark):
-    a = np.random.default_rng(4).random((6, 7))
-    k = np.arange(9.0).reshape(3, 3)
-    p = np.pad(a, 1, mode="symmetric")
-    want = sum(k[i, j] * p[i:i + 6, j:j + 7] for i in range(3) for j in range(3))
-    np.testing.assert_allclose(np.array(X.convolve_tiles(packed(spark, a, 1), k).first().data).reshape(6, 7), want)
+    rng = np.random.default_rng(4)
+    a = rng.random((8, 8))
+    for k in (np.arange(9.0).reshape(3, 3), rng.random((5, 5)), np.outer([1, 2, 1], [1, 0, -1.0]), np.zeros((3, 3))):
+        h = len(k) // 2
+        p = np.pad(a, h, mode="symmetric")
+        want = sum(k[i, j] * p[i:i + 8, j:j + 8] for i in range(len(k)) for j in range(len(k)))
+        d = X.convolve(frame(spark, a, ts=8), "v", k.tolist(), 8, "out")
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and plan.count(" Sort ") <= 2
+        np.testing.assert_allclose(grid_of(d, "out", (8, 8)), want, atol=1e-9)
+    assert [len(X.low_rank(k)) for k in (np.ones((3, 3)), np.outer([1, 2, 1], [1, 0, -1]) + np.eye(3), np.zeros((3, 3)))] == [1, 3, 0]
 
 
 def components(spark, a, ts, batch=1):
@@ -228,6 +234,24 @@ def test_best_shift_finds_known_offset(spark):
     assert (s.dy, s.dx) == (1, -2) and s.peak > 0.99
 
 
+def test_best_shift_equals_plain_correlations_on_ragged_boxes(spark):
+    rng = np.random.default_rng(8)
+    for trial in range(2):
+        a, b = rng.normal(5, 1, (9, 11)), rng.normal(5, 1, (9, 11))
+        there = rng.random((9, 11)) < 0.7
+        rows = [("k", r, c + 3, float(a[r, c]) if rng.random() < 0.9 else None, float(b[r, c])) for r in range(9) for c in range(11) if there[r, c]]
+        va, vb = ({(r, c): x[i] for x in rows for r, c in [(x[1], x[2])]} for i in (3, 4))
+        peaks = {}
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                both = [(va[p], vb[p[0] + dy, p[1] + dx]) for p in va if va[p] is not None and (p[0] + dy, p[1] + dx) in vb]
+                peaks[dy, dx] = np.corrcoef(*zip(*both))[0, 1]
+        best = max(peaks, key=peaks.get)
+        d = X.best_shift(spark.createDataFrame(rows, "k string, br int, bc int, va double, vb double"), 2, ["k"])
+        s = d.first()
+        assert (s.dy, s.dx) == best and abs(s.peak - peaks[best]) < 1e-9
+
+
 def test_empty_raster_has_null_bounds_and_no_tiles(spark):
     h = spark.createDataFrame([("g", 20, 20)], "granule_id string, height int, width int")
     px = spark.createDataFrame([], "granule_id string, r int, c int, v double")
