@@ -124,11 +124,15 @@ def _(spark, sf):
     return d.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "iou", "precision", "recall")])
 
 
+# Strata of the grounded fraction (from, below, name).
+CUTS = [(0.0, 0.05, "shelf / sea ice"), (0.05, 0.95, "mixed"), (0.95, 1.01, "grounded")]
+
+
 @query("e10_stratify_fixed", _CV + f""", g AS (SELECT CASE WHEN val < 0.05 THEN 'shelf / sea ice' WHEN val < 0.95 THEN 'mixed' WHEN val < 1.01 THEN 'grounded' END AS stratum,
       count(*) AS n, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cv WHERE val >= 0 GROUP BY 1)
     SELECT stratum, n, round({_IOU}, 6) AS iou, round({_P}, 6) AS "precision", round({_R}, 6) AS recall FROM g WHERE stratum IS NOT NULL""", "seg")
 def _(spark, sf):
-    d = M.stratify_fixed(conf_with_value(spark, sf), "val")
+    d = M.stratify_fixed(conf_with_value(spark, sf), "val", CUTS)
     return d.select("stratum", "n", *[F.round(c, 6).alias(c) for c in ("iou", "precision", "recall")])
 
 
