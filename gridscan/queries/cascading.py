@@ -277,7 +277,7 @@ def acceptance_chains(spark, sf):
 
 def _registration(who: str) -> str:
     return f"""SELECT '{who}' AS granule, 2 AS position, 'registration' AS step, n AS name, CASE WHEN n = 'peak' THEN 'info' WHEN abs(x) <= 1 THEN 'ok' ELSE 'fail' END AS status, x AS measured
-      FROM (SELECT unnest(['dy', 'dx', 'peak']) AS n, unnest([dy, dx, peak]) AS x FROM rg)"""
+      FROM (SELECT unnest(['dy', 'dx', 'peak']) AS n, unnest([dy, dx, peak]) AS x FROM rg) WHERE EXISTS (SELECT 1 FROM bx)"""
 
 
 def _orientation(who: str, letter: str, most: float) -> str:
@@ -308,7 +308,8 @@ def _matched(who: str, control: str, test: str) -> str:
       UNION ALL {_orientation("N unlike A", "N", 0.7)} UNION ALL {_speckle("N unlike A", "N", "A")} UNION ALL {_matched("N unlike A", "a0", "b0")}
       UNION ALL {_orientation("R oriented", "R", 0.0)} UNION ALL {_orientation("A unlabelled", "A", 0.7)} UNION ALL {_registration("A unlabelled")}),
     sk AS (SELECT * FROM (VALUES ('N unlike A', 2, 'registration', 'lacks boxes'), ('R oriented', 2, 'registration', 'after orientation'), ('R oriented', 3, 'speckle', 'after orientation'),
-      ('R oriented', 4, 'matched A/B', 'after orientation'), ('A unlabelled', 3, 'speckle', 'lacks matched'), ('A unlabelled', 4, 'matched A/B', 'lacks pairs')) t(granule, position, step, reason))
+      ('R oriented', 4, 'matched A/B', 'after orientation'), ('A unlabelled', 3, 'speckle', 'lacks matched'), ('A unlabelled', 4, 'matched A/B', 'lacks pairs')) t(granule, position, step, reason)
+      UNION ALL SELECT unnest(['R like A', 'A unlabelled']), 2, 'registration', 'lacks boxes' WHERE NOT EXISTS (SELECT 1 FROM bx))
     SELECT granule, position, step, CASE WHEN max(CAST(status = 'fail' AS INTEGER)) OVER (PARTITION BY granule, position) = 1 THEN 'FAIL' ELSE 'PASS' END AS verdict, NULL AS reason, name, status, round(measured, 6) AS measured FROM ft
     UNION ALL SELECT granule, position, step, 'SKIPPED', reason, NULL, NULL, NULL FROM sk""", "px feat")
 def _(spark, sf):
