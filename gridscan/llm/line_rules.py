@@ -1,8 +1,9 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (lower case, single spaces, digits as 0) and hashed together with their host.  A line
-that many different texts of a host share is boilerplate: it is removed, and a document that loses most of
-its words with it is rejected.  Exact copies count as one text, so a copied document is not its own boilerplate.
+that more than `MAX_DOCS` distinct documents of a host hold is boilerplate: it is removed, and a document that
+loses most of its words with it is rejected.  The limit is a number of documents, whatever the size of the host.
+Copies are documents: deduplicate first where lines should be counted over different texts only.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridscan.llm.common import long_lists, written
 
-#: A line goes when more than MIN_DOCS and more than SHARE of the different texts of its host have it.
-MIN_DOCS, SHARE = 10, 0.01
+#: A line goes when more distinct documents of its host than this have it.
+MAX_DOCS = 10
 #: A document is depleted when it loses more than this share of its words.
 DEPLETED = 0.5
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -26,9 +27,9 @@ DIGITS = str.maketrans("123456789", "000000000")
 
 
 def line_key(host: str | None, found: list[bytes]) -> int:
-    """Signed 64-bit key of a line's normalised words under its host."""
+    """Signed 64-bit key of a line's normalised words under its host; a null host differs from an empty one."""
     norm = b" ".join(found).decode().lower().translate(DIGITS).encode()
-    return xxhash.xxh3_64_intdigest((host or "").encode() + b"\n" + norm) - (1 << 63)
+    return xxhash.xxh3_64_intdigest((b"" if host is None else b"@" + host.encode()) + b"\n" + norm) - (1 << 63)
 
 
 def repeated_words(found: list[bytes]) -> int:
@@ -80,23 +81,22 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-               min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+               max_docs: int = MAX_DOCS, depleted: float = DEPLETED) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, n_removed_words, removed_lines (keys), host and `_content` (names the row for `rows_of`).
 
-    Null text has no words and fails; a null host is a host of its own.  Null ids stay null, repeated rows are
-    judged alike.  Other columns are not read; an empty table gives an empty one.
+    A document is a pair of id and text within a host, so repeated rows count once for a line and are judged
+    alike, and rows without an id count once a text.  Null text has no words and fails; a null host is a host of
+    its own.  Texts of any length are read whole; other columns are not read; an empty table gives an empty one.
     """
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_content"),
-                       F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("_text"))
+                       F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("_text"))
     found = written(base.mapInArrow(_measure_batches, "_id long, _content long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<bigint>, sizes array<bigint>")
                     .withColumn("row", F.monotonically_increasing_id()), "measures")
 
-    texts = found.groupBy("host", "_content").agg(F.min("row").alias("row"))
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    limits = hosts.select("host", F.greatest(F.lit(float(min_docs)), share * F.col("texts")).alias("limit"))
-    lines = found.join(texts.select("row"), "row", "left_semi").select("host", F.explode("lines").alias("line"))
-    frequent = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).join(limits, "host").where("n > limit").select("line").distinct()
+    documents = found.groupBy("host", "_id", "_content").agg(F.min("row").alias("row")).select("row")
+    lines = found.join(documents, "row", "left_semi").select(F.explode("lines").alias("line"))
+    frequent = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("line")  # keys name the host
     frequent = written(frequent, "frequent-lines")
 
     each = found.select("row", F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("sizes").alias("size"))).alias("x")).select("row", F.col("x.line").alias("line"), F.col("x.size").alias("size"))
@@ -108,8 +108,12 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"), "host", "_content")
 
 
-def without_lines(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `report` keeps, their text without the lines it removes; other columns as they are."""
+def without_lines(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of `docs` that `report` keeps, their text without the lines it removes; other columns as they are.
+
+    Rows and judgements meet by id, text and host, nulls like values; rows alike in all three are judged alike and
+    all stay.  Null texts, which have no words, are never kept.  An empty table gives an empty one.
+    """
 
     @F.pandas_udf("string")
     def stripped(texts: pd.Series, hosts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -121,5 +125,5 @@ def without_lines(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", te
 
     r = report.where("kept").select(F.col("doc_id").alias("_id"), "_content", F.col("host").alias("_host"), "removed_lines").dropDuplicates(["_id", "_content", "_host"])
     content = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(r, F.col(id_col).eqNullSafe(r["_id"]) & (content == r["_content"]))
-    return joined.select(*[stripped(F.col(text_col), "_host", "removed_lines").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    joined = docs.join(r, docs[id_col].cast("long").eqNullSafe(r["_id"]) & (content == r["_content"]) & docs[host_col].cast("string").eqNullSafe(r["_host"]))
+    return joined.select(*[stripped(docs[text_col], r["_host"], r["removed_lines"]).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -24,14 +24,13 @@ def query(name: str, sql: str | None = None):
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 LINES_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
 tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS k FROM tri WHERE n > 1) GROUP BY 1),
 l AS (SELECT doc_id, host, text, line, len(lw) AS n, regexp_replace(lower(array_to_string(lw, ' ')), '[1-9]', '0', 'g') AS norm
   FROM (SELECT *, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(lw) > 0),
-lim AS (SELECT host, greatest(10, 0.01 * count(DISTINCT text)) AS most FROM d GROUP BY 1),
-freq AS (SELECT host, norm FROM l JOIN lim USING (host) GROUP BY host, norm, most HAVING count(DISTINCT text) > most),
-lost AS (SELECT doc_id, count(DISTINCT norm) AS k, sum(n) AS n FROM l JOIN freq USING (host, norm) GROUP BY 1),
+freq AS (SELECT host, norm FROM l GROUP BY host, norm HAVING count(DISTINCT doc_id) > 10),
+lost AS (SELECT doc_id, count(DISTINCT l.norm) AS k, sum(n) AS n FROM l JOIN freq ON l.norm = freq.norm AND l.host IS NOT DISTINCT FROM freq.host GROUP BY 1),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,

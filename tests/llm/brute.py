@@ -64,24 +64,19 @@ def line_measures(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(twice)
 
 
-def line_removals(rows, min_docs, share):
-    """Per (doc_id, text, host) row: words that stand in lines above the limits."""
+def line_removals(rows, max_docs):
+    """Per (doc_id, text, host) row: words that stand in lines of more distinct documents than the limit."""
     digits = re.compile("[1-9]")
 
     def norm(line):
         return digits.sub("0", " ".join(WORDS.findall(line)).lower())
 
-    texts, docs = defaultdict(set), defaultdict(set)
-    for _, text, host in rows:
-        texts[host].add(text or "")
+    docs = defaultdict(set)
+    for i, text, host in rows:
         for line in (text or "").split("\n"):
             if WORDS.search(line):
-                docs[host, norm(line)].add(text)
-    out = []
-    for _, text, host in rows:
-        limit = max(min_docs, share * len(texts[host]))
-        out.append(sum(len(WORDS.findall(x)) for x in (text or "").split("\n") if WORDS.search(x) and len(docs[host, norm(x)]) > limit))
-    return out
+                docs[host, norm(line)].add((i, text))
+    return [sum(len(WORDS.findall(x)) for x in (text or "").split("\n") if WORDS.search(x) and len(docs[host, norm(x)]) > max_docs) for _, text, host in rows]
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -144,17 +144,17 @@ def test_passages_in_many_shards(docs, rows, monkeypatch):
 def test_line_rules(spark, docs, odd, rows):
     rng = random.Random(4)
     lines = [prose(rng, 8) for _ in range(6)]
-    made = [(i, "\n".join([prose(rng, 20), rng.choice(lines).upper().replace("1", "7"), rng.choice(lines), "", prose(rng, 20)]), rng.choice(["a", "b", None])) for i in range(80)]
+    made = [(i, "\n".join([prose(rng, 20), rng.choice(lines).upper().replace("1", "7"), rng.choice(lines), "", prose(rng, 20)]), rng.choice(["a", "b", "", None])) for i in range(120)]
     made += [(500, lines[0], "a"), (501, None, "a"), (502, "x y x y x y\nx y\n x y", "b"), (503, made[0][1], made[0][2])]
     d = spark.createDataFrame(made, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in line_rules.line_rules(d, min_docs=4, share=0.1).collect()}
-    for (i, text, host), lost in zip(made, brute.line_removals([(a, b, c or "") for a, b, c in made], 4, 0.1)):
+    got = {r.doc_id: r for r in line_rules.line_rules(d, max_docs=8).collect()}
+    for (i, text, host), lost in zip(made, brute.line_removals(made, 8)):
         r, want = got[i], brute.line_measures(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert r.n_removed_words == lost and r.kept == (not r.base_failed and lost <= want[0] / 2)
     assert any(r.n_removed_words for r in got.values())
-    clean = {r.doc_id: r.text for r in line_rules.without_lines(d, line_rules.line_rules(d, min_docs=4, share=0.1)).collect()}
+    clean = {r.doc_id: r.text for r in line_rules.without_lines(d, line_rules.line_rules(d, max_docs=8)).collect()}
     assert set(clean) == {i for i, r in got.items() if r.kept}
     assert all(len(clean[i].split()) == got[i].n_words - got[i].n_removed_words for i in clean)
     for r in line_rules.line_rules(docs).collect():
@@ -163,6 +163,35 @@ def test_line_rules(spark, docs, odd, rows):
     assert line_rules.line_rules(empty(docs)).count() == 0
 
 
+def test_line_limit_is_the_same_for_hosts_of_any_size(spark):
+    rng = random.Random(8)
+    head, foot, rare = prose(rng, 12), prose(rng, 9), prose(rng, 11)
+    page = lambda *lines: "\n".join([prose(rng, 60), *lines])
+    rows = [(i, page(*[head] * (i < 11), *[rare] * (i < 10)), "large") for i in range(1500)]
+    rows += [(2000 + i, page(*[foot] * (i < 11)), "small") for i in range(12)]
+    rows += [(3000, page(foot), "large")] * 15 + [(3001 + i, rows[0][1], None) for i in range(11)] + [(3100 + i, rows[0][1], "") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    report = line_rules.line_rules(d)
+    got = sorted((r.doc_id, r.n_removed_words, r.kept) for r in report.collect())
+    want = brute.line_removals(rows, line_rules.MAX_DOCS)
+    assert got == sorted((i, n, n <= len(t.split()) / 2) for (i, t, _), n in zip(rows, want))
+    assert [n for n in want[:12]] == [12] * 11 + [0] and {n for (i, _, _), n in zip(rows, want) if i == 3000 or i >= 3100} == {0}
+    # Eleven copies under the null host condemn themselves, ten under the empty one do not; rows that stand twice all stay.
+    clean = line_rules.without_lines(d.withColumn("removed_lines", F.lit("x")).withColumn("_host", F.lit("y")), report)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for (i, t, _), n in zip(rows, want) if n <= len(t.split()) / 2)
+    assert clean.columns == ["doc_id", "text", "source", "removed_lines", "_host"]
+
+
+def test_lines_are_removed_by_the_host_of_their_row(spark):
+    """Rows that share id and text but not host lose only what their own host repeats."""
+    rng = random.Random(9)
+    line, text = prose(rng, 10), prose(rng, 70)
+    rows = [(1, f"{text}\n{line}", h) for h in ("a", "b", "b", None)] + [(10 + i, f"{prose(rng, 55)}\n{line}", "a") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.without_lines(d, line_rules.line_rules(d)).where("doc_id = 1").collect()
+    assert sorted((r.source or "-", r.text) for r in got) == [("-", f"{text}\n{line}"), ("a", text), ("b", f"{text}\n{line}"), ("b", f"{text}\n{line}")]
+
+
 def test_automata_match_regular_expressions():
     rng = random.Random(1)
     for pattern in (r"ab*c|(?:de)+", r"[a-c]{2,3}d?", r"(?i:ab)+[0-9]{2,}", r"a(b|c(d|e)*)f"):
