@@ -30,6 +30,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def laid_out(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like `written`, in buckets by `keys`: later joins and groupings on them need no shuffle of this table.
+
+    The catalog names the table only while it is written; its files stay until `discard`.
+    """
+    spark = df.sparkSession
+    path, n = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(table_name)
+    release(spark)
+    back = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    back.written_to = path
+    return back
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from gridscan.llm.common import discard, gram_hashes, word_hashes, words, written
+from gridscan.llm.common import ODD, discard, gram_hashes, laid_out, mix, word_hashes, words, written
 
 WINDOW, GRAM = 13, 7
 SHARD_PATTERNS, SHARD_STRETCHES = 10_000, 100_000
@@ -68,16 +68,18 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _anchor_places(batches: Iterator[pa.RecordBatch], window: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """(anchor, content) or, `whole`, (anchor, id, content, first window, number of windows)."""
+    """(anchor, number of rows of a slice with it) or, `whole`, (anchor, id, content, first window, number of windows)."""
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             _, h, sizes = hashed(part.column(2).to_pylist())
             anchor, of, first, n = anchors(h, sizes, window)
-            ids, contents = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
             if not whole:
-                yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(contents[of])], names=["anchor", "_content"])
+                _, once = np.unique(mix(anchor + ODD * of.astype(np.uint64)), return_index=True)  # a text counts once
+                found, times = np.unique(anchor[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_longs(found), _longs(times)], names=["anchor", "times"])
                 continue
+            ids, contents = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(ids[of]), _longs(contents[of]), _longs(first), _longs(n)], names=["anchor", "_id", "_content", "first", "n"])
 
 
@@ -232,20 +234,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_content"), F.col(text_col).alias("_text"))
     named = base.where("_id IS NOT NULL")
 
-    # Copies of one text: the first stays to be judged, from the others every window goes.
+    # Copies of one text: the first stays to be judged, from the others every window goes.  Texts move once, to
+    # where all later joins on (id, content) find them.
     counted = named.select("_id", "_content", F.sha2(F.coalesce("_text", F.lit("")), 256).alias("sha")).distinct()
     firsts = written(counted.groupBy("sha").agg(F.min("_id").alias("first_id")), "first-copies")
-    copies = written(counted.join(firsts, "sha").select("_id", "_content", (F.col("_id") > F.col("first_id")).alias("copy")).distinct(), "copies")
+    copies = written(counted.join(firsts, "sha").groupBy("_id", "_content").agg(F.min(F.col("_id") > F.col("first_id")).alias("copy")), "copies")
+    texts = laid_out(named.join(copies, ["_id", "_content"]), ["_id", "_content"], "texts")
+    judged = texts.where("NOT copy").select("_id", "_content", "_text")
 
     # Joins with sets of unique keys hash those and leave the many rows unsorted.
     among = lambda rows, keys, on: rows.join(keys.hint("shuffle_hash"), on, "left_semi")
-    pairs = named.mapInArrow(lambda b: _anchor_places(b, window, False), "anchor long, _content long")
-    recurring = written(pairs.groupBy("anchor").agg(F.min("_content").alias("lo"), F.max("_content").alias("hi")).where("lo <> hi").select("anchor"), "anchors")
-    places = among(named.mapInArrow(lambda b: _anchor_places(b, window, True), "anchor long, _id long, _content long, first long, n long"), recurring, "anchor")
-    places = written(among(places, copies.where("NOT copy").select("_id", "_content"), ["_id", "_content"]), "places")
+    times = judged.mapInArrow(lambda b: _anchor_places(b, window, False), "anchor long, times long")
+    recurring = written(times.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor"), "anchors")
+    places = judged.mapInArrow(lambda b: _anchor_places(b, window, True), "anchor long, _id long, _content long, first long, n long")
+    places = written(among(places, recurring, "anchor"), "places")
 
     def with_text(runs: DataFrame) -> DataFrame:
-        return base.join(runs, ["_id", "_content"]).select("_id", "_content", "_text", *[c for c in runs.columns if c[0] != "_"])
+        return judged.join(runs, ["_id", "_content"]).select("_id", "_content", "_text", *[c for c in runs.columns if c[0] != "_"])
 
     # A window has one anchor, so the anchor as a second key changes no group.
     runs = places.groupBy("_id", "_content").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("runs"))
@@ -259,12 +264,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = used.join(parts, "shard").groupBy("_id", "_content").agg(F.collect_list(F.struct("first", "n", "shard", "parts")).alias("runs"))
     wanted = confirmed.groupBy("_id").agg(F.collect_set("window").alias("wanted"))
     runs = written(runs.join(wanted, "_id", "left"), "runs")
+    discard(places, recurring, telling, confirmed, parts)
     dealt = with_text(runs).mapInArrow(lambda b: _dealt(b, window), "shard long, part long, _id long, _content long, first long, phrase binary, starts array<int>")
     both = dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("starts").isNull())
     located = both.mapInArrow(lambda b: _locate(b, window), "_id long, _content long, start long, n long")
 
     ranges = located.union(copies.where("copy").select("_id", "_content", F.lit(-1).cast("long"), F.lit(0).cast("long")))
     ranges = written(ranges.groupBy("_id", "_content").agg(F.collect_set(F.struct("start", "n")).alias("ranges")), "ranges")
-    discard(places, confirmed, runs, recurring, telling)
-    out = base.join(ranges, ["_id", "_content"], "left").select(F.col("_id").alias("doc_id"), "_text", "ranges")
+    discard(runs, firsts, copies)
+    out = texts.join(ranges, ["_id", "_content"], "left").select(F.col("_id").alias("doc_id"), "_text", "ranges")
+    out = out.union(base.where("_id IS NULL").select("_id", "_text", F.lit(None).cast(out.schema["ranges"].dataType)))
     return out.mapInArrow(lambda b: _kept(b, window), "doc_id long, n_words long, n_removed long, text string")
