@@ -11,8 +11,8 @@ bucket not everybody is compared with everybody:
 1. all members meet the smallest one;
 2. in buckets that then still hold several components, all meet the largest one;
 3. what is left are pairs of different components.  The parity sketches of two sets differ in no more bits
-   than the sets differ in elements, so they bound the distance from below, exactly; only pairs that this
-   bound, the sizes and the minhash bits leave open are compared.
+   than the sets differ in elements, so they bound the distance from below, exactly; pairs that this bound
+   and the sizes leave open are compared in full, no estimate stands between.
 
 No pair that could join two components goes unexamined, whatever the size of a family of near copies.
 """
@@ -35,9 +35,6 @@ SHINGLE = 5
 LINK = 85  # per cent of the union
 #: Bound on the share of links at the least similarity that meet in no bucket, and of bucket keys a set where rows can be spared.
 MISS, KEYS = 6e-4, 170
-#: A bit of every minhash makes a sketch that spares most full comparisons.  Texts of similarity s agree on a
-#: share of (1 + s) / 2; a margin of 5 standard deviations lets go of no link in a million.
-MARGIN = 5.0
 #: Words of the parity sketch: bit j tells whether an odd number of shingles fall on j.
 PARITY = [f"p{k}" for k in range(8)]
 
@@ -47,7 +44,7 @@ def banding(link: int) -> tuple[int, int]:
     s, found = link / 100, []
     for rows in range(1, 9):
         tables = 1 if s == 1 else max(1, math.ceil(math.log(MISS / 2) / math.log(1 - s**rows)))
-        if rows == 1 or tables**2 <= KEYS and 2 * rows * tables <= 128:  # a bit each in two words
+        if rows == 1 or tables**2 <= KEYS and 2 * rows * tables <= 128:
             found.append((rows, tables))
     return found[-1]
 
@@ -74,15 +71,13 @@ def least_hashes(s: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def bands(s: np.ndarray, by: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(band values of both collections, two words of minhash bits and those of the parity sketch) of a non-empty set."""
+    """(band values of both collections, words of the parity sketch) of a non-empty set."""
     low = least_hashes(s, by)
     value = np.arange(len(by) // rows, dtype=np.uint64)
     for j in range(rows):
         value = mix(value * np.uint64(31) + low.reshape(-1, rows)[:, j])
-    bits = np.zeros(128, np.uint8)
-    bits[:len(by)] = mix(low) & np.uint64(1)
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * len(PARITY)), minlength=64 * len(PARITY)).astype(np.uint8) & 1
-    return value, np.packbits(np.r_[bits, odd]).view(np.uint64)
+    return value, np.packbits(odd).view(np.uint64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], rows: int, tables: int) -> Iterator[pa.RecordBatch]:
@@ -92,13 +87,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], rows: int, tables: int) -> It
             part = batch.slice(at, 1024)
             sets = [shingle_set(t) for t in part.column(2).to_pylist()]
             prints = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in sets]
-            made = [bands(x, by, rows) if len(x) else (np.empty(0, np.uint64), np.zeros(2 + len(PARITY), np.uint64)) for x in sets]
+            made = [bands(x, by, rows) if len(x) else (np.empty(0, np.uint64), np.zeros(len(PARITY), np.uint64)) for x in sets]
             half = lambda shift: pa.array(np.array([(p >> shift) & (2**64 - 1) for p in prints], np.uint64).view(np.int64))
             sketch = np.array([m[1] for m in made], np.uint64).reshape(len(made), -1).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), half(64), half(0),
                 long_lists([m[0] for m in made]), *[pa.array(np.ascontiguousarray(x)) for x in sketch.T],
-            ], names=["_id", "_content", "n", "f0", "f1", "bands", "s0", "s1", *PARITY])
+            ], names=["_id", "_content", "n", "f0", "f1", "bands", *PARITY])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +104,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(a: str, b: str, link: int) -> Column:
-    """Neither the sizes nor the sketches of two members rule a link out."""
+    """Neither the sizes nor the parity sketches of two members rule a link out; both bounds are exact."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = lambda names: reduce(add, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in names])
-    rows, tables = banding(link)
-    bits, p = 2 * rows * tables, (1 + link / 100) / 2
-    most = bits * (1 - p) + MARGIN * (bits * p * (1 - p)) ** 0.5
-    near = (100 + link) * apart(PARITY) <= (100 - link) * (n + m)
-    return (100 * F.least(n, m) >= link * F.greatest(n, m)) & near & (apart(["s0", "s1"]) <= int(most))
+    apart = reduce(add, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in PARITY])
+    return (100 * F.least(n, m) >= link * F.greatest(n, m)) & ((100 + link) * apart <= (100 - link) * (n + m))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
@@ -177,13 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answer each.  Other columns are not read; an empty table gives an empty one.
     """
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_content"), F.col(text_col).alias("_text"))
-    sketch = ["s0", "s1", *PARITY]
-    schema = "_id long, _content long, n long, f0 long, f1 long, bands array<bigint>, " + ", ".join(f"{x} long" for x in sketch)
+    schema = "_id long, _content long, n long, f0 long, f1 long, bands array<bigint>, " + ", ".join(f"{x} long" for x in PARITY)
     rows, tables = banding(link)
     sig = written(base.mapInArrow(partial(_signatures, rows=rows, tables=tables), schema), "signatures")
 
     # Documents of one set are one class, stood for by its smallest id; one id may still stand for several sets.
-    best = F.min(F.struct("_id", "_content", "bands", *sketch))
+    best = F.min(F.struct("_id", "_content", "bands", *PARITY))
     classes = written(sig.where("n > 0 AND _id IS NOT NULL").groupBy("f0", "f1", "n").agg(best.alias("c")).select("f0", "f1", "n", F.col("c._id").alias("rep"), "c.*").drop("_id"), "classes")
 
     # Only keys and names go through the large shuffle; what else members need joins those that share a bucket.
@@ -192,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed = classes.select(F.explode(keys).alias("key"), "rep", "_content")
     filled = hashed.select("key").groupBy("key").count().where("count > 1").select("key")
     shared = written(hashed.join(filled, "key"), "shared-buckets")
-    known = classes.select("rep", "_content", F.struct("rep", "_content", "n", *sketch).alias("m"))
+    known = classes.select("rep", "_content", F.struct("rep", "_content", "n", *PARITY).alias("m"))
     members = written(shared.join(known, ["rep", "_content"]).select("key", "m"), "members")
 
     wanted = members.select("m.rep", "m._content").distinct()
