@@ -83,16 +83,16 @@ def _anchor_places(batches: Iterator[pa.RecordBatch], window: int, whole: bool)
             yield pa.RecordBatch.from_arrays([_longs(anchor), _longs(ids[of]), _longs(contents[of]), _longs(first), _longs(n)], names=["anchor", "_id", "_content", "first", "n"])
 
 
-def _runs(part: pa.RecordBatch, window: int) -> tuple[list[list[bytes]], np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of rows (id, content, text, runs): words of each text, text of each run, fields of the runs, offsets into the hashes of their windows, and those."""
-    split, h, sizes = hashed(part.column(2).to_pylist())
+def _runs(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of rows (id, content, text, runs): text of each run, fields of the runs, and the hashes of their windows."""
+    _, h, sizes = hashed(part.column(2).to_pylist())
     runs, counts = part.column(3).flatten(), pa.compute.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
     fields = [runs.field(k).to_numpy() for k in range(runs.type.num_fields)]
     of = np.repeat(np.arange(len(counts)), counts)
     first, n = fields[:2]
     offsets = np.r_[0, np.cumsum(n)]
     begin = (np.cumsum(sizes) - sizes)[of] + first
-    return split, of, fields, offsets, gram_hashes(h, window)[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], n)]
+    return of, fields, gram_hashes(h, window)[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], n)]
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -100,32 +100,42 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            _, of, (_, n, anchor), _, windows = _runs(part, window)
+            of, (_, n, anchor), windows = _runs(part, window)
             ids = part.column(0).to_numpy(zero_copy_only=False)[of]
             yield pa.RecordBatch.from_arrays([_longs(windows), _longs(np.repeat(anchor, n)), _longs(np.repeat(ids, n))], names=["window", "anchor", "_id"])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of text, one a run (first, n, shard, parts), and before them patterns: stretches with confirmed windows that first stand in their document."""
-    names = ["shard", "part", "_id", "_content", "first", "phrase", "starts"]
+def _dealt(batches: Iterator[pa.RecordBatch], window: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of text, one a run (first, n, shard, parts), and patterns: stretches with confirmed windows that first stand in their document.
+
+    A shard and a part are one number; `lane` is twice that for patterns, one more for stretches.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            split, of, fields, offsets, windows = _runs(part, window)
-            ids, contents, wanted = (part.column(k).to_pylist() for k in (0, 1, 4))
-            known = [set(w or ()) for w in wanted]
-            windows, rows = windows.view(np.int64).tolist(), []
-            for k, (t, first, n, shard, parts) in enumerate(zip(of.tolist(), *[f.tolist() for f in fields])):
-                phrase = b" ".join(split[t][first:first + n + window - 1])
-                rows.append((shard, (ids[t] * 31 + first) % parts, ids[t], contents[t], first, phrase, None))
-                if known[t]:
-                    starts = [j for j, x in enumerate(windows[offsets[k]:offsets[k + 1]]) if x in known[t]]
-                    if starts:
-                        rows += [(shard, p, ids[t], contents[t], first, phrase, starts) for p in range(parts)]
-            if rows:
-                cols = list(zip(*rows))
-                types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types)], names=names)
+            split = [words(t) for t in part.column(2).to_pylist()]
+            runs, counts = part.column(3).flatten(), pa.compute.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
+            first, n, shard, parts = (runs.field(k).to_numpy() for k in range(4))
+            of = np.repeat(np.arange(len(counts)), counts)
+            ids, contents = (part.column(k).to_numpy(zero_copy_only=False)[of] for k in (0, 1))
+            phrases = [b" ".join(split[t][f:f + m]) for t, f, m in zip(of.tolist(), first.tolist(), (n + window - 1).tolist())]
+            lane = 2 * (shard + shards * ((ids * 31 + first) % parts)) + 1
+            at, lanes, starts = [], [], [None] * len(of)
+            ends = np.cumsum(counts)
+            for t in part.column(4).is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+                known = set(part.column(4)[t].as_py())
+                found = gram_hashes(word_hashes(split[t]), window).view(np.int64).tolist()
+                for k in range(ends[t] - counts[t], ends[t]):
+                    held = [j for j, x in enumerate(found[first[k]:first[k] + n[k]]) if x in known]
+                    for p in range(parts[k] if held else 0):
+                        at.append(k)
+                        lanes.append(2 * (int(shard[k]) + shards * p))
+                        starts.append(held)
+            rows = np.r_[np.arange(len(of)), np.array(at, np.int64)]
+            yield pa.RecordBatch.from_arrays([
+                _longs(np.r_[lane, np.array(lanes, np.int64)]), _longs(ids[rows]), _longs(contents[rows]), _longs(first[rows]),
+                pa.array(phrases + [phrases[k] for k in at], pa.binary()), pa.array(starts, pa.list_(pa.int32())),
+            ], names=["lane", "_id", "_content", "first", "phrase", "starts"])
 
 
 class Automaton:
@@ -171,7 +181,7 @@ class Automaton:
 
 
 def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, patterns before stretches, to covered ranges (id, content, start, n).
+    """Rows sorted by lane, so patterns before stretches, to covered ranges (id, content, start, n).
 
     A pattern row has the word offsets of the windows that its document is the first to hold.
     """
@@ -179,11 +189,13 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     for batch in batches:
         out: list[tuple] = []
         for at in range(0, batch.num_rows, 4096):
-            for s, p, i, c, first, phrase, starts in zip(*[x.to_pylist() for x in batch.slice(at, 4096).columns]):
-                if (s, p) != shard:
-                    shard, machine = (s, p), Automaton(window)
-                if starts is not None:
-                    machine.add(phrase, starts, i)
+            part = batch.slice(at, 4096)
+            longs = [part.column(k).to_numpy().tolist() for k in range(4)]
+            for row, (lane, i, c, first, phrase) in enumerate(zip(*longs, part.column(4).to_pylist())):
+                if lane >> 1 != shard:
+                    shard, machine = lane >> 1, Automaton(window)
+                if not lane & 1:
+                    machine.add(phrase, part.column(5)[row].as_py(), i)
                     continue
                 if machine.machine is None:
                     machine.compile()
@@ -265,8 +277,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = confirmed.groupBy("_id").agg(F.collect_set("window").alias("wanted"))
     runs = written(runs.join(wanted, "_id", "left"), "runs")
     discard(places, recurring, telling, confirmed, parts)
-    dealt = with_text(runs).mapInArrow(lambda b: _dealt(b, window), "shard long, part long, _id long, _content long, first long, phrase binary, starts array<int>")
-    both = dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("starts").isNull())
+    dealt = with_text(runs).mapInArrow(lambda b: _dealt(b, window, shards), "lane long, _id long, _content long, first long, phrase binary, starts array<int>")
+    # One long key: rows are sorted by radix, not compared.
+    both = dealt.repartition(F.shiftright("lane", 1)).sortWithinPartitions("lane")
     located = both.mapInArrow(lambda b: _locate(b, window), "_id long, _content long, start long, n long")
 
     ranges = located.union(copies.where("copy").select("_id", "_content", F.lit(-1).cast("long"), F.lit(0).cast("long")))
