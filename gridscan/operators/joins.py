@@ -27,11 +27,15 @@ def join_context(tiles: DataFrame, ctx: DataFrame, ts: int, nrow: int, ncol: int
 
 
 def lookup_context(tiles: DataFrame, ctx: DataFrame, x: str, y: str, x0: float, y0: float, cell: float, nrow: int,
-                   ncol: int) -> DataFrame:
-    """Context cell under the tile centre on one fixed grid; a centre outside it stops the job."""
+                   ncol: int, strict: bool = True) -> DataFrame:
+    """Context cell under the tile centre on one fixed grid; a centre outside it stops the job.
+
+    `strict=False`: such a tile stays, without a context.
+    """
     gi, gj = world_cell(x, y, x0, y0, cell, nrow, ncol)
-    bad = F.raise_error(F.lit("a tile centre is outside the context grid")).cast("int")
-    t = tiles.withColumn("gi", F.when(gi >= 0, gi).otherwise(bad)).withColumn("gj", gj)
+    if strict:
+        gi = F.when(gi >= 0, gi).otherwise(F.raise_error(F.lit("a tile centre is outside the context grid")).cast("int"))
+    t = tiles.withColumn("gi", gi).withColumn("gj", gj)
     return t.join(ctx, ["gi", "gj"], "left")
 
 

@@ -26,3 +26,18 @@ def test_fold_fits_share_their_rows(spark, tmp_path):
         assert any(r[name] is not None for r in want)
         assert all(got[r.id][n] == (None if r[name] is None else pytest.approx(r[name])) for r in want)
     assert jobs <= 9 * 2 * len(folds)
+
+
+def test_tiles_beyond_the_context_grid_stay(spark, sf, tmp_path):
+    """j02_context_centre against its SQL where the map outgrows the six rows of the context grid."""
+    from oracle import compare, connect
+    from gridscan.queries import ORACLE, QUERIES
+    for name in ("part", "embeddings"):
+        d = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "embeddings":
+            d = d.unionByName(d.withColumn("vec_id", F.col("vec_id") + 14900))
+        d.coalesce(1).write.parquet(str(tmp_path / "t" / name))
+        next((tmp_path / "t" / name).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    assert spark.read.parquet(str(tmp_path / "embeddings.parquet")).where("vec_id >= 15000").count() > 0
+    con = connect(str(tmp_path))
+    assert compare(spark, con, str(tmp_path), QUERIES["j02_context_centre"], ORACLE["j02_context_centre"]) is None
