@@ -150,8 +150,8 @@ def stored_scene(spark, sf):
     return spark.read.parquet(path)
 
 
-def scan_cuts(spark, sf):
-    d = stored_scene(spark, sf)
+def scan_cuts(spark, sf, d=None):
+    d = stored_scene(spark, sf) if d is None else d
     return CA.scan_granule(d, px_headers(spark, sf), V.TS, 4, gate(), segment, 0.55, 0.3, mask="cls", min_grounded=0.1, block=32)
 
 
@@ -168,8 +168,9 @@ def _(spark, sf):
     f AS (SELECT granule_id, count(*) AS valid, count(p) AS scored, count(*) FILTER (p >= 0.55) AS flagged FROM st GROUP BY 1)
     SELECT granule_id, tiles, candidates, coalesce(valid, 0) AS valid, coalesce(scored, 0) AS scored, coalesce(flagged, 0) AS flagged FROM t JOIN c USING (granule_id) LEFT JOIN f USING (granule_id)""", "scene")
 def _(spark, sf):
-    all_tiles = swath_tiles(data_bounds(V.scene(spark, sf), px_headers(spark, sf), 4), V.TS).groupBy("granule_id").agg(F.count(F.lit(1)).alias("tiles"))
-    return all_tiles.join(scan_cuts(spark, sf)[2], "granule_id")
+    d = stored_scene(spark, sf)
+    all_tiles = swath_tiles(data_bounds(d, px_headers(spark, sf), 4), V.TS).groupBy("granule_id").agg(F.count(F.lit(1)).alias("tiles"))
+    return all_tiles.join(scan_cuts(spark, sf, d)[2], "granule_id")
 
 
 def relative(pix):

@@ -20,15 +20,26 @@ def pivot_bands(long: DataFrame, bands: Sequence[str] = POLS) -> DataFrame:
     return long.groupBy("granule_id", "r", "c").pivot("band", list(bands)).agg(F.max("v"))
 
 
+# Fixed value: stored layouts depend on it.
+PARTS = 32
+
+
+def granule_part(granule: Column | str = "granule_id") -> Column:
+    """The part of a layout that holds a granule: `PARTS` of them, however many granules there are."""
+    return F.pmod(F.crc32(granule), F.lit(PARTS)).cast("int")
+
+
 def write_pixels(px: DataFrame, path: str, block: int = 4096, mode: str = "errorifexists") -> None:
-    """Pixels laid out for windowed reads: partitioned by granule and block row, sorted by block column.
+    """Pixels laid out for windowed reads: partitioned by granule part and block row, sorted by granule and block column.
 
-    Rows are spread by (granule, block row, block column), so no task holds a whole granule.
+    Rows are spread by (granule part, block row, block column), so no task holds a whole granule, and the number of
+    files follows the blocks of a raster, not the number of granules; inside a file, row groups are pruned by granule.
     """
-    out = (px.withColumn("block_r", F.floor(F.col("r") / block).cast("int"))
+    out = (px.withColumn("granule_part", granule_part())
+           .withColumn("block_r", F.floor(F.col("r") / block).cast("int"))
            .withColumn("block_c", F.floor(F.col("c") / block).cast("int")))
-    (out.repartition("granule_id", "block_r", "block_c").sortWithinPartitions("granule_id", "block_r", "block_c", "r")
-     .write.mode(mode).partitionBy("granule_id", "block_r").parquet(path))
+    (out.repartition("granule_part", "block_r", "block_c").sortWithinPartitions("granule_part", "block_r", "granule_id", "block_c", "r")
+     .write.mode(mode).partitionBy("granule_part", "block_r").parquet(path))
 
 
 def read_window(px: DataFrame, granule_id: str, row: int, col: int, h: int, w: int, block: int | None = None) -> DataFrame:
@@ -36,7 +47,8 @@ def read_window(px: DataFrame, granule_id: str, row: int, col: int, h: int, w: i
     cond = ((F.col("granule_id") == granule_id) & F.col("r").between(row, row + h - 1)
             & F.col("c").between(col, col + w - 1))
     if block:
-        cond = (cond & F.col("block_r").between(row // block, (row + h - 1) // block)
+        cond = (cond & (F.col("granule_part") == granule_part(F.lit(granule_id)))
+                & F.col("block_r").between(row // block, (row + h - 1) // block)
                 & F.col("block_c").between(col // block, (col + w - 1) // block))
     return px.where(cond)
 
@@ -44,7 +56,7 @@ def read_window(px: DataFrame, granule_id: str, row: int, col: int, h: int, w: i
 def read_blocks(stored: DataFrame, windows: DataFrame, block: int) -> DataFrame:
     """Pixels of a `write_pixels` layout in the blocks that `windows` (granule_id, row, col, h, w) touch.
 
-    The windows become (granule, block row, block column) keys.  Granule and block row are partition columns, so
+    The windows become (granule, block row, block column) keys.  Granule part and block row are partition columns, so
     a small `windows` prunes files while the query runs, by each column on its own; windows of no size, or beyond
     the raster, read nothing.
     """
@@ -53,8 +65,9 @@ def read_blocks(stored: DataFrame, windows: DataFrame, block: int) -> DataFrame:
         return F.explode(F.sequence(low, high))
     # Spark prunes by a table that a comparison has narrowed; this one leaves out windows above or left of the raster.
     some = windows.where((F.col("h") > 0) & (F.col("w") > 0) & (F.col("row") + F.col("h") > 0) & (F.col("col") + F.col("w") > 0))
-    keys = some.withColumn("block_r", touched("row", "h")).withColumn("block_c", touched("col", "w"))
-    return stored.join(keys.select("granule_id", "block_r", "block_c").distinct(), ["granule_id", "block_r", "block_c"], "left_semi")
+    keys = some.withColumn("block_r", touched("row", "h")).withColumn("block_c", touched("col", "w")).withColumn("granule_part", granule_part())
+    on = ["granule_part", "granule_id", "block_r", "block_c"]
+    return stored.join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def read_windows(px: DataFrame, windows: DataFrame, fill: float | None = 0.0, v: str = "v", block: int | None = None) -> DataFrame:

@@ -41,3 +41,22 @@ def test_tiles_beyond_the_context_grid_stay(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "embeddings.parquet")).where("vec_id >= 15000").count() > 0
     con = connect(str(tmp_path))
     assert compare(spark, con, str(tmp_path), QUERIES["j02_context_centre"], ORACLE["j02_context_centre"]) is None
+
+
+def many_granules(spark, n, side=32):
+    return spark.range(n * side * side).select(F.concat(F.lit("g"), F.floor(F.col("id") / side ** 2).cast("string")).alias("granule_id"),
+                                               (F.floor(F.col("id") / side) % side).cast("int").alias("r"), (F.col("id") % side).cast("int").alias("c"), F.rand(1).alias("v"))
+
+
+def test_files_follow_blocks_not_granules(spark, tmp_path):
+    """Three times the granules in the same number of files; a window still reads few of them."""
+    from gridscan.sources import raster as R
+    files = {}
+    for n in (100, 300):
+        R.write_pixels(many_granules(spark, n), str(tmp_path / str(n)), block=16)
+        files[n] = len(list((tmp_path / str(n)).rglob("*.parquet")))
+    assert max(files.values()) <= 2 * 2 * R.PARTS
+    d = spark.read.parquet(str(tmp_path / "300"))
+    got = R.read_window(d, "g7", 20, 3, 8, 30, block=16)
+    assert got.count() == 8 * 29 and d.count() == 300 * 1024
+    assert got.select(F.input_file_name()).distinct().count() <= 2
