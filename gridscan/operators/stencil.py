@@ -17,8 +17,17 @@ from gridscan.operators.grid import expand
 from gridscan.schema import TILE
 
 
-def by_tile(px: DataFrame, tile: Sequence[str] = TILE) -> DataFrame:
-    return px.repartition(*tile)
+# Pixels a task gets of a dense raster: sorts and windows of a chain hold a few hundred bytes for each.
+TASK_PIXELS = 1 << 18
+
+
+def by_tile(px: DataFrame, tile: Sequence[str] = TILE, parts: int | None = None) -> DataFrame:
+    return px.repartition(*tile) if parts is None else px.repartition(parts, *tile)
+
+
+def dense_parts(tiles: DataFrame, ts: int) -> int:
+    """Partitions for all pixels of the tiles: they grow with the raster, a task's share does not.  Counts the tiles."""
+    return max(tiles.sparkSession.sparkContext.defaultParallelism, math.ceil(tiles.count() * ts * ts / TASK_PIXELS))
 
 
 def densify(tiles: DataFrame, px: DataFrame, ts: int, cols: Sequence[str], origin: tuple[int, int] | None = None) -> DataFrame:
@@ -29,6 +38,7 @@ def densify(tiles: DataFrame, px: DataFrame, ts: int, cols: Sequence[str], origi
     `origin`: all tiles stand on the one grid that begins there, so the places need not be gathered.
     """
     t = tiles.select(*TILE).distinct() if origin is None else tiles.select(*TILE)
+    parts = dense_parts(t, ts)
     if origin is None:
         at = t.select("granule_id", F.pmod("row", F.lit(ts)).alias("_r0"), F.pmod("col", F.lit(ts)).alias("_c0")).distinct()
         px, r0, c0 = px.join(at, "granule_id"), F.col("_r0"), F.col("_c0")
@@ -37,8 +47,8 @@ def densify(tiles: DataFrame, px: DataFrame, ts: int, cols: Sequence[str], origi
     corner = lambda x, o: (F.col(x) - F.pmod(F.col(x) - o, F.lit(ts))).cast("int")
     known = px.select("granule_id", corner("r", r0).alias("row"), corner("c", c0).alias("col"), "r", "c", *cols, F.lit(None).cast("boolean").alias("_in"))
     ints = [F.col(x).cast("int").alias(x) for x in ("row", "col")]
-    empty = expand(by_tile(t.select("granule_id", *ints)), ts).select(*known.columns[:5], *[F.lit(None).cast(px.schema[c].dataType).alias(c) for c in cols], F.lit(True).alias("_in"))
-    both = by_tile(known).unionByName(empty).groupBy(*known.columns[:5])
+    empty = expand(by_tile(t.select("granule_id", *ints), parts=parts), ts).select(*known.columns[:5], *[F.lit(None).cast(px.schema[c].dataType).alias(c) for c in cols], F.lit(True).alias("_in"))
+    both = by_tile(known, parts=parts).unionByName(empty).groupBy(*known.columns[:5])
     return both.agg(*[F.max(c).alias(c) for c in cols], F.max("_in").alias("_in")).where("_in").drop("_in")
 
 

@@ -60,3 +60,19 @@ def test_files_follow_blocks_not_granules(spark, tmp_path):
     got = R.read_window(d, "g7", 20, 3, 8, 30, block=16)
     assert got.count() == 8 * 29 and d.count() == 300 * 1024
     assert got.select(F.input_file_name()).distinct().count() <= 2
+
+
+def test_a_task_has_a_bounded_part_of_a_dense_raster(spark, monkeypatch):
+    """Partitions grow with the raster and are not put together again."""
+    from gridscan.operators import stencil as ST
+    from gridscan.operators.grid import tile_grid
+    if hasattr(ST, "TASK_PIXELS"):
+        monkeypatch.setattr(ST, "TASK_PIXELS", 4096)
+    for n in (40, 120):
+        d = many_granules(spark, n)
+        heads = d.select("granule_id").distinct().select("granule_id", F.lit(32).alias("height"), F.lit(32).alias("width"))
+        dense = ST.densify(tile_grid(heads, 16).select("granule_id", "row", "col"), d, 16, ["v"], (0, 0))
+        per_task = [r["count"] for r in dense.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(per_task) == n * 1024 and max(per_task) <= 4 * 4096
+        parts = dense.rdd.getNumPartitions()
+        assert parts >= n * 1024 / 4096
