@@ -9,12 +9,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridscan.functions.stats import n_true, share
-from gridscan.operators.aggregates import reciprocity
-from gridscan.operators.filters import valid_fraction_bands
+from gridscan.functions.stats import n_true, pearson, share
 from gridscan.operators.grid import with_tile
 from gridscan.operators.splits import band_split, check_split
 from gridscan.operators.stencil import by_tile
+from gridscan.plans.lineage import stored
 from gridscan.plans.ordering import exact_quantiles
 from gridscan.schema import EPSG, GROUND_M, NOISE_FLOOR_DB, POLS, TILE
 
@@ -81,29 +80,40 @@ def label_suite(px: DataFrame, tiles: DataFrame, target: str, key: Sequence[str]
 def granule_suite(wide: DataFrame, headers: DataFrame, mask: DataFrame, label_origin: tuple[float, float], ts: int, min_tiles: int = 50,
                   cross_r: float = 0.99, co_r: float = 0.95, floor_db: float = NOISE_FLOOR_DB, min_valid: float = 0.99,
                   min_grounded: float = 0.95, px_m: float = GROUND_M, epsg: int = EPSG) -> DataFrame:
-    """Six acceptance checks per granule: completeness, grid, reciprocity, noise floor, alignment, coverage."""
+    """Six acceptance checks per granule: completeness, grid, reciprocity, noise floor, alignment, coverage.
+
+    `wide` is read twice: once per granule for bands and correlations, once per tile for noise and valid fractions; the
+    tile table is stored.  Two bands without common pixels have no
+    correlation or noise level and fail.
+    """
     g = ["granule_id"]
     bands = [p.lower() for p in POLS]
-    full = wide.groupBy(*g).agg(sum((F.max(F.col(b).isNotNull().cast("int")) for b in bands), F.lit(0)).alias("n"))
-    out = _report(full, g, [_row("completeness", F.col("n") == len(bands), F.col("n"), f"{len(bands)} bands")])
+    pairs = (("hv", "vh", cross_r), ("hh", "vv", co_r))
+
+    def correlation(a, b):
+        both = (F.col(a) > 0) & (F.col(b) > 0)
+        return pearson(F.log10(F.when(both, F.col(a))), F.log10(F.when(both, F.col(b))), 100)
+    full = wide.groupBy(*g).agg(sum((F.max(F.col(b).isNotNull().cast("int")) for b in bands), F.lit(0)).alias("n"),
+                                *[correlation(a, b).alias(f"r_{a}") for a, b, _ in pairs])
+    out = _report(full, g, [_row("completeness", F.col("n") == len(bands), F.col("n"), f"{len(bands)} bands"),
+                            *[_row(f"reciprocity {a}/{b}", F.col(f"r_{a}") >= lo, F.col(f"r_{a}"), f">= {lo:g}") for a, b, lo in pairs]])
+    dr, dc = (F.col("origin_y") - label_origin[1]) / -F.col("px_m"), (F.col("origin_x") - label_origin[0]) / F.col("px_m")
+    frac = F.greatest(F.abs(dr - F.bround(dr)), F.abs(dc - F.bround(dc)))
     out = out.unionByName(_report(headers, g, [
-        _row("grid", (F.abs(F.col("px_m") - px_m) <= 1e-6) & (F.col("epsg") == epsg), F.col("px_m"), f"{px_m:g} m, EPSG:{epsg}")]))
-    for a, b, lo in (("hv", "vh", cross_r), ("hh", "vv", co_r)):
-        out = out.unionByName(_report(reciprocity(wide, a, b), g, [_row(f"reciprocity {a}/{b}", F.col("r") >= lo, F.col("r"), f">= {lo:g}")]))
-    tiles = by_tile(with_tile(wide.select("granule_id", "r", "c", ((F.col("hv") + F.col("vh")) / 2).alias("_x")), ts)).groupBy(*TILE).agg(
-        (10 * F.log10(F.percentile("_x", F.lit(0.5)))).alias("db"))
-    med = exact_quantiles(tiles, "db", [0.5], g).select(*g, F.col("q")[0].alias("m"))
+        _row("grid", (F.abs(F.col("px_m") - px_m) <= 1e-6) & (F.col("epsg") == epsg), F.col("px_m"), f"{px_m:g} m, EPSG:{epsg}"),
+        _row("label grid alignment", frac <= 1e-4, frac, "integer offset")]))
+    cross = (F.col("hv") + F.col("vh")) / 2
+    tiles = by_tile(with_tile(wide.select("granule_id", "r", "c", *bands), ts)).groupBy(*TILE).agg(
+        (10 * F.log10(F.percentile(cross, F.lit(0.5)))).alias("db"), F.least(*[n_true(F.col(b) > 0) / (ts * ts) for b in bands]).alias("valid_frac"))
+    tiles = stored(tiles, "suite-tiles")
     m = F.col("m")
     noise = F.struct(F.lit("noise floor").alias("name"),
                      F.when(m > floor_db + 3, "ok").when(m > floor_db, "warn").otherwise("fail").alias("status"),
                      m.alias("measured"), F.lit(f"> {floor_db:g} dB").alias("bound"))
-    out = out.unionByName(_report(med, g, [noise]))
-    dr, dc = (F.col("origin_y") - label_origin[1]) / -F.col("px_m"), (F.col("origin_x") - label_origin[0]) / F.col("px_m")
-    frac = F.greatest(F.abs(dr - F.bround(dr)), F.abs(dc - F.bround(dc)))
-    out = out.unionByName(_report(headers, g, [_row("label grid alignment", frac <= 1e-4, frac, "integer offset")]))
+    med = exact_quantiles(tiles, "db", [0.5], g).select(*g, F.col("q")[0].alias("m"))
+    out = out.unionByName(_report(tiles.select(*g).distinct().join(med, g, "left"), g, [noise]))
     gnd = with_tile(mask.where(F.col("cls") == 1), ts).groupBy(*TILE).agg((F.count(F.lit(1)) / (ts * ts)).alias("gf"))
-    ok = valid_fraction_bands(wide, ts, bands).join(gnd, TILE, "left")
-    cov = ok.groupBy(*g).agg(n_true((F.col("valid_frac") >= min_valid) & (F.col("gf") >= min_grounded)).alias("n"))
+    cov = tiles.join(gnd, TILE, "left").groupBy(*g).agg(n_true((F.col("valid_frac") >= min_valid) & (F.col("gf") >= min_grounded)).alias("n"))
     return out.unionByName(_report(cov, g, [_row("coverage", F.col("n") >= min_tiles, F.col("n"), f">= {min_tiles} tiles")]))
 
 

@@ -1,6 +1,7 @@
 """Work that must not grow faster than its tables: jobs, files and partitions, on small tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,18 @@ def test_a_task_has_a_bounded_part_of_a_dense_raster(spark, monkeypatch):
         assert sum(per_task) == n * 1024 and max(per_task) <= 4 * 4096
         parts = dense.rdd.getNumPartitions()
         assert parts >= n * 1024 / 4096
+
+
+def test_granule_suite_reads_its_bands_twice(spark, tmp_path):
+    """Few scans whatever the checks; bands without a common pixel fail the reciprocity check instead of leaving no row."""
+    from gridscan.operators.checks import granule_suite
+    d = many_granules(spark, 2).select("granule_id", "r", "c", *[F.when((F.col("granule_id") == "g0") | (F.col("c") % 2 == k % 2), F.col("v") + 1).alias(b) for k, b in enumerate(("hh", "vv", "hv", "vh"))])
+    d.write.parquet(str(tmp_path / "w"))
+    w = spark.read.parquet(str(tmp_path / "w"))
+    heads = spark.createDataFrame([(g, 5.0, 0.0, 0.0, 3031) for g in ("g0", "g1")], "granule_id string, px_m double, origin_x double, origin_y double, epsg int")
+    rep = granule_suite(w, heads, w.withColumn("cls", F.lit(1)), (0.0, 0.0), 16)
+    got = {(r.granule_id, r.name): r.status for r in rep.collect()}
+    assert len(got) == 14
+    assert all(got["g1", f"reciprocity {n}"] == "fail" and got["g0", f"reciprocity {n}"] == "ok" for n in ("hh/vv", "hv/vh"))
+    # Bands once here (the tile table is stored by now), and the mask, which stands on the same file.
+    assert len(re.findall(r"Relation \[[^]]*hh#", rep._jdf.queryExecution().optimizedPlan().toString())) == 2
