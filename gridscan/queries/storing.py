@@ -194,7 +194,7 @@ def _(spark, sf):
     path = scratch_path(spark, "shard")
     d = V.px(spark, sf)
     lab = with_tile(d, V.TS).groupBy(*TILE).agg((F.count_if(F.col("cls") == 1) / 256).alias("pf")).where("pf >= 0.2")
-    shard = T.pack_shard(lab, d, V.TS, "v2", "cls", ["pf"]).withColumn("granule_part", R.granule_part())
+    shard = T.pack_shard(stored(lab, "shard-labels"), d, V.TS, "v2", "cls", ["pf"]).withColumn("granule_part", R.granule_part())
     T.write_bundle(shard, path, {"source": "px"}, ["granule_part"])
     o = spark.read.parquet(path)
     return o.select("granule_id", "row", "col", F.round("pf", 6).alias("pf"), F.col("n").cast("long").alias("n"), "v2", "cls", F.round("coverage", 6).alias("coverage"))

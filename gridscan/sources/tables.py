@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from gridscan.functions.scalar import clean_granule_id
-from gridscan.functions.stats import share
 from gridscan.operators.features import pack
 from gridscan.operators.grid import block_average, with_tile
 from gridscan.schema import TILE, TILE_LABELS
@@ -91,5 +90,7 @@ def from_json_report(doc: DataFrame, schema: str, col: str = "report") -> DataFr
 def pack_shard(labels: DataFrame, px: DataFrame, ts: int, image: str, target: str, keep: Sequence[str], cover_theta: float = 0.2) -> DataFrame:
     """Training shard: labelled tiles with their image and target arrays; coverage is recomputed from the target shipped."""
     d = with_tile(px.select("granule_id", "r", "c", image, target), ts).join(labels.select(*TILE), TILE, "left_semi")
-    cov = d.groupBy(*TILE).agg(share(F.col(target) > cover_theta).alias("coverage"))
-    return labels.select(*TILE, *keep).join(pack(d, TILE, [image, target]), TILE).join(cov, TILE)
+    packed = pack(d, TILE, [image, target])
+    # The arrays hold every pixel of a tile, so the coverage needs no second pass over the pixels.
+    covered = F.size(F.filter(target, lambda x: F.coalesce(x > cover_theta, F.lit(False)))) / F.col("n")
+    return labels.select(*TILE, *keep).join(packed.withColumn("coverage", covered), TILE)

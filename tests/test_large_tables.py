@@ -92,3 +92,14 @@ def test_granule_suite_reads_its_bands_twice(spark, tmp_path):
     assert all(got["g1", f"reciprocity {n}"] == "fail" and got["g0", f"reciprocity {n}"] == "ok" for n in ("hh/vv", "hv/vh"))
     # Bands once here (the tile table is stored by now), and the mask, which stands on the same file.
     assert len(re.findall(r"Relation \[[^]]*hh#", rep._jdf.queryExecution().optimizedPlan().toString())) == 2
+
+
+def test_a_shard_reads_its_pixels_once(spark, tmp_path):
+    from gridscan.operators.grid import with_tile
+    from gridscan.sources import tables as T
+    many_granules(spark, 2).withColumn("cls", (F.col("c") % 3 == 0).cast("int")).write.parquet(str(tmp_path / "p"))
+    px = spark.read.parquet(str(tmp_path / "p"))
+    labels = spark.createDataFrame(with_tile(px, 16).select("granule_id", "row", "col").distinct().withColumn("pf", F.lit(1.0)).collect())
+    d = T.pack_shard(labels, px, 16, "v", "cls", ["pf"])
+    assert all(r.coverage == pytest.approx(sum(r.cls) / 256) and r.n == 256 for r in d.collect()) and d.count() == 8
+    assert len(re.findall(r"Relation \[[^]]*cls#", d._jdf.queryExecution().optimizedPlan().toString())) == 1
