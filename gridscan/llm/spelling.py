@@ -29,6 +29,8 @@ COLUMN = np.zeros(256, np.int64)
 COLUMN[ord("a"):ord("z") + 1] = np.arange(26)
 COLUMN[0xC0:0x100] = np.arange(26, 90)
 LETTERS = 90
+#: The bit of a letter in a sketch; two letters may share one.
+BIT = np.where(np.arange(256) >= ord("a"), np.uint64(1) << (COLUMN % 64).astype(np.uint64), np.uint64(0))
 #: Words that one batch counts before it hands them on.
 HELD = 200_000
 #: The trees' tops: words in the sample, letters of its longest word, cells in all, least words worth a cell of their own.
@@ -92,12 +94,15 @@ def letters(words: list[str]) -> np.ndarray:
 
 
 def counts_of(codes: np.ndarray) -> np.ndarray:
-    """Letter-count vectors (words, 90)."""
-    n, width = codes.shape
-    out = np.zeros((n, LETTERS), np.int32)
+    """Letter-count vectors (words, 90), the counts of one letter side by side."""
+    n = len(codes)
     row, at = np.nonzero(codes)
-    np.add.at(out, (row, COLUMN[codes[row, at]]), 1)
-    return out
+    return np.bincount(COLUMN[codes[row, at]] * n + row, minlength=LETTERS * n).astype(np.int32).reshape(LETTERS, n).T
+
+
+def sketches(codes: np.ndarray) -> np.ndarray:
+    """One bit a letter: whether its count is odd.  A letter that comes or goes changes one bit."""
+    return np.bitwise_xor.reduce(BIT[codes], axis=1)
 
 
 @dataclass
@@ -180,13 +185,14 @@ def pairs_in(words: np.ndarray, asking: np.ndarray, size: int = 1 << 20) -> Iter
         return
     up, down = (1, 1) if words.shape[1] == asking.shape[1] else (1, 0)
     vectors, theirs = counts_of(words), counts_of(asking)
+    bits, their_bits = sketches(words), sketches(asking)
     tree = grown(vectors, np.arange(len(words)), LEAF)
     for leaf, rows in reach(tree, theirs, np.arange(len(asking)), up, down):
         members = leaf.members
-        for at in range(0, len(rows), max(1, size // (len(members) * LETTERS))):
-            some = rows[at:at + max(1, size // (len(members) * LETTERS))]
-            apart = vectors[members][None] - theirs[some][:, None]
-            a, b = np.nonzero(np.abs(apart).sum(2) == up + down)
+        for at in range(0, len(rows), max(1, size // len(members))):
+            some = rows[at:at + max(1, size // len(members))]
+            # Odd counts differ in no more letters than the counts: no pair is lost before the letters are verified.
+            a, b = np.nonzero(np.bitwise_count(bits[members][None] ^ their_bits[some][:, None]) <= up + down)
             a, b = some[a], members[b]
             fit = verified(asking[a], words[b])
             if fit.any():
@@ -220,11 +226,17 @@ def _dealt(trees: dict[int, Node], slices: dict[tuple[int, int], int] | None):
     """
     one = Node(cell=0)
 
+    def batch_of(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        rows, sizes = np.concatenate([o[0] for o in out]), [len(o[0]) for o in out]
+        fixed = [pa.array(np.repeat(np.array(x), sizes)) for x in list(zip(*out))[1:]]
+        word, n = (batch.column(k).take(pa.array(rows)) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([*fixed[:3], word, n, fixed[3]], names=["length", "cell", "slice", "word", "n", "asks"])
+
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = np.array(batch.column(0).to_pylist(), object)
-            n = batch.column(1).to_numpy()
             lengths = np.fromiter(map(len, words), np.int64, len(words))
+            out, held = [], 0
             for length in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == length)
                 vectors = counts_of(letters(words[rows].tolist()))
@@ -233,13 +245,17 @@ def _dealt(trees: dict[int, Node], slices: dict[tuple[int, int], int] | None):
                 for other, up, down, ask in asks:
                     for leaf, some in reach(trees.get(other, one), vectors, everyone, up, down):
                         cuts = (slices or {}).get((other, leaf.cell), 1)
-                        hashed = np.fromiter((zlib.crc32(w.encode()) % cuts for w in words[rows[some]]), np.int64, len(some))
+                        mine = rows[some]
+                        if cuts > 1 and not ask:
+                            hashed = np.fromiter((zlib.crc32(w.encode()) % cuts for w in words[mine]), np.int64, len(mine))
                         for k in range(cuts):
-                            mine = rows[some] if ask else rows[some][hashed == k]
-                            if len(mine):
-                                fixed = [pa.array(np.full(len(mine), x, np.int64)) for x in (other, leaf.cell, k)]
-                                yield pa.RecordBatch.from_arrays([*fixed, pa.array(words[mine].tolist(), pa.string()), pa.array(n[mine]), pa.array(np.full(len(mine), ask))],
-                                                                 names=["length", "cell", "slice", "word", "n", "asks"])
+                            out.append((mine if ask or cuts == 1 else mine[hashed == k], other, leaf.cell, k, ask))
+                            held += len(out[-1][0])
+                            if held > HELD:
+                                yield batch_of(batch, out)
+                                out, held = [], 0
+            if out:
+                yield batch_of(batch, out)
 
     return body
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -130,3 +131,30 @@ def test_documents(spark, counts):
     rows += rows[:20]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("n", F.lit(1)).repartition(6)
     assert got_of(spelling.document_variants(docs, every=19)) == plain(plain_words(rows, every=19))
+
+
+def test_sketches_lose_no_pair():
+    rng = random.Random(3)
+    for length in (6, 9):
+        words = sorted({"".join(rng.choice(ABC) for _ in range(length)) for _ in range(300)})
+        for pick, most in ((lambda w, k: w[:k] + rng.choice(ABC) + w[k + 1:], 2), (lambda w, k: w[:k] + w[k + 1:], 1)):
+            edited = [pick(w, rng.randrange(length)) for w in words]
+            apart = np.bitwise_count(spelling.sketches(spelling.letters(words)) ^ spelling.sketches(spelling.letters(edited)))
+            assert apart.max() <= most
+
+
+def test_words_are_dealt_in_few_batches(monkeypatch):
+    """Once every cell that a batch of words asks was a batch of its own."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice(ABC[:26]) for _ in range(rng.choice([7, 8]))) for _ in range(2000)})
+    trees = {n: spelling.grown(spelling.counts_of(spelling.letters([w for w in words if len(w) == n])), np.arange(sum(len(w) == n for w in words)), 20, []) for n in (7, 8)}
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array(range(len(words)))], names=["word", "n"])
+    rows = {}
+    for held in (10**6, 100):
+        monkeypatch.setattr(spelling, "HELD", held)
+        dealt = list(spelling._dealt(trees, {(7, 3): 2})(iter([batch])))
+        assert held == 100 or len(dealt) == 1
+        rows[held] = Counter(tuple(r.values()) for b in dealt for r in b.to_pylist())
+    assert rows[100] == rows[10**6] and max(rows[100].values()) == 1
+    own = Counter((w, n) for _, _, _, w, n, asks in rows[100] if not asks)
+    assert own == Counter(zip(words, range(len(words))))
