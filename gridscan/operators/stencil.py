@@ -149,6 +149,33 @@ def _box_pass(df: DataFrame, names: Sequence[str], k: int, axis: str, ts: int, t
     return p.select(*keep, "_pos", *[F.sum(n).over(w).alias(n) for n in names]).where(F.col("_pos") == F.col(axis)).drop("_pos")
 
 
+#: Widest window whose samples are fetched one by one from the tile's one sorted order; wider ones slide along lines.
+NARROW = 15
+
+
+def _whole(df: DataFrame, ts: int, tile: Sequence[str]) -> Column:
+    """Does a pixel stand at its row-major place in a tile that has all its pixels?"""
+    place = (F.col("r") - F.col("row")) * ts + F.col("c") - F.col("col") + 1
+    return (F.row_number().over(W.partitionBy(*tile).orderBy("r", "c")) == place) & (F.count(F.lit(1)).over(W.partitionBy(*tile)) == ts * ts)
+
+
+def _mirrored_sums(df: DataFrame, names: Sequence[str], k: int, axis: str, ts: int, tile: Sequence[str]) -> DataFrame:
+    """Sums of k pixels with a reflected border, on dense tiles in row-major order: no copies, no sort of its own.
+
+    A mirrored pixel stands within reach itself, so near the edge a sample counts twice instead.
+    """
+    h, step = k // 2, ts if axis == "r" else 1
+    w = W.partitionBy(*tile).orderBy("r", "c")
+    p = F.col(axis) - F.col(_origin(axis))
+    at = lambda n, d: F.col(n) if d == 0 else F.lead(n, d * step).over(w) if d > 0 else F.lag(n, -d * step).over(w)
+    offsets = range(-h, h + 1)
+    times = {d: F.when((p + d).between(0, ts - 1), 1 + (2 * p + d + 1 <= h).cast("int") + (2 * p + d >= 2 * ts - 1 - h).cast("int")).otherwise(0) for d in offsets}
+    keep = [c for c in df.columns if c not in names]
+    near = df.select(*keep, *[at(n, d).alias(f"{n}_{d + h}") for n in names for d in offsets], *[times[d].alias(f"_t_{d + h}") for d in offsets])
+    term = lambda n, i: F.when(F.col(f"_t_{i}") > 0, F.col(f"{n}_{i}") * F.col(f"_t_{i}")).otherwise(0)
+    return near.select(*keep, *[sum((term(n, i) for i in range(1, k)), term(n, 0)).alias(n) for n in names])
+
+
 def box_mean(df: DataFrame, cols: Mapping[str, Column | str], k: int, ts: int, border: str = "reflect",
              tile: Sequence[str] = TILE) -> DataFrame:
     """k x k mean of several columns at once, over the valid samples of the window.
@@ -157,16 +184,27 @@ def box_mean(df: DataFrame, cols: Mapping[str, Column | str], k: int, ts: int, b
     """
     if border != "forward" and k % 2 == 0:
         raise ValueError("a centred window needs an odd size")
-    d = df
-    names = []
-    for o, c in cols.items():
-        x = F.col(c) if isinstance(c, str) else c
-        d = d.withColumn(f"_s_{o}", F.coalesce(x.cast("double"), F.lit(0.0))).withColumn(f"_n_{o}", x.isNotNull().cast("int"))
-        names += [f"_s_{o}", f"_n_{o}"]
+    narrow = border == "reflect" and k <= NARROW
+    if k // 2 > ts and border == "reflect":
+        raise ValueError("window is wider than two tiles")
+    d = df.withColumn("_whole", _whole(df, ts, tile)) if narrow else df
+    gap = F.raise_error(F.lit("a tile is not dense")).cast("long")
+    # Counts of several columns are the digits of one long: windows carry it instead of a column each.
+    bits = (k * k).bit_length()
+    per = 62 // bits
+    xs = {o: F.col(c) if isinstance(c, str) else c for o, c in cols.items()}
+    d = d.withColumns({f"_s_{o}": F.coalesce(x.cast("double"), F.lit(0.0)) for o, x in xs.items()} | {f"_v_{o}": x.isNotNull() for o, x in xs.items()})
+    counts = {}
+    for at in range(0, len(cols), per):
+        n = sum((F.when(F.col(f"_v_{o}"), F.lit(1 << bits * i)).otherwise(0).cast("long") for i, o in enumerate(list(cols)[at:at + per])), F.lit(0).cast("long"))
+        counts[f"_n_{at // per}"] = F.when(F.col("_whole"), n).otherwise(gap) if narrow else n
+    names = [f"_s_{o}" for o in cols] + list(counts)
+    d = d.withColumns(counts).drop("_whole", *[f"_v_{o}" for o in cols])
     for axis in ("c", "r"):
-        d = _box_pass(d, names, k, axis, ts, tile, border)
-    for o in cols:
-        d = d.withColumn(o, F.try_divide(F.col(f"_s_{o}"), F.col(f"_n_{o}")))
+        d = _mirrored_sums(d, names, k, axis, ts, tile) if narrow else _box_pass(d, names, k, axis, ts, tile, border)
+    for i, o in enumerate(cols):
+        n = F.shiftright(f"_n_{i // per}", bits * (i % per)).bitwiseAND((1 << bits) - 1)
+        d = d.withColumn(o, F.try_divide(F.col(f"_s_{o}"), n))
     return d.drop(*names)
 
 
