@@ -29,6 +29,30 @@ def test_fold_fits_share_their_rows(spark, tmp_path):
     assert jobs <= 9 * 2 * len(folds)
 
 
+def test_folds_share_their_code_and_read_few_partitions(spark):
+    """A second table with other boxes compiles next to nothing, 16 small partitions are not 16 tasks a job; every fold has its own rows."""
+    from gridscan.operators import models as MD
+    from gridscan.operators.splits import buffered_folds, fold_test, fold_train
+    compiled = lambda: spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount()
+    st, params, feats = spark.sparkContext.statusTracker(), {"numTrees": 2, "maxDepth": 1}, ["e", "x_m"]
+    for shift in (0.0, 37.0):
+        rng = random.Random(4)
+        rows = [(i, 100.0 * (i % 20) + shift if i != 5 else None, 100.0 * (i // 20) + shift, rng.random() if i % 7 else None, rng.randrange(2) if i % 11 else None) for i in range(400)]
+        d = spark.createDataFrame(rows, "id long, x_m double, y_m double, e double, y int").repartition(16, "id").persist()
+        folds = buffered_folds(d, 500.0, 100.0).orderBy("bx", "by").collect()
+        code, jobs = compiled(), set(st.getJobIdsForGroup(None))
+        got = MD.buffered_out_of_fold(d, 500.0, 100.0, {"a": feats}, **params)
+        code, jobs = compiled() - code, set(st.getJobIdsForGroup(None)) - jobs
+        got = {r.id: (r.fold, r.a) for r in got.collect()}
+    assert len(folds) == 16 and code <= 3 * len(folds)
+    assert sum(st.getStageInfo(s).numCompletedTasks for s in {s for j in jobs for s in st.getJobInfo(j).stageIds}) <= 40 * len(folds)
+    one = d.coalesce(1)
+    for i in (1, len(folds) - 1):
+        want = MD.score_tiles(fold_test(one, folds[i], 500.0), MD.fit_gate(fold_train(one, folds[i]), feats, **params), feats, "a").collect()
+        assert any(r.a is not None for r in want) and any(r.a is None for r in want)
+        assert all(got[r.id] == (i, None if r.a is None else pytest.approx(r.a)) for r in want)
+
+
 def test_tiles_beyond_the_context_grid_stay(spark, sf, tmp_path):
     """j02_context_centre against its SQL where the map outgrows the six rows of the context grid."""
     from oracle import compare, connect
